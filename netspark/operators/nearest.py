@@ -1,0 +1,151 @@
+"""The k best right rows for every left row, without ever emitting all pairs.
+
+Scores are computed block against block inside a task; only k candidates per left
+row leave it. A right side whose measured size fits is sent to the tasks once;
+a larger one is cut into blocks and every (left block, right block) is one group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Right-side bytes that may be sent to every executor.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Score digits kept, so equal rows tie whatever block they were computed in.
+DIGITS = 12
+
+_CANDIDATE = "struct<right_id:bigint,score:double>"
+
+
+def cosine_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Dot product of rows that already have length 1 (or 0)."""
+    return left @ right.T
+
+
+def negative_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Minus the Euclidean distance, so that the nearest row scores highest."""
+    out = np.empty((len(left), len(right)))
+    rows = max(1, 4_000_000 // max(1, right.size))
+    for start in range(0, len(left), rows):
+        part = left[start : start + rows]
+        gap = part[:, None, :] - right[None, :, :]
+        out[start : start + rows] = -np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+    return out
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _best(
+    left_ids, left: np.ndarray, right_ids: np.ndarray, right: np.ndarray, k: int, score, skip_self
+) -> list[list[dict]]:
+    """k candidates per left row; right rows are ordered by id, so ties keep the first."""
+    scores = np.round(score(left, right), DIGITS)
+    if skip_self:
+        scores[np.asarray(left_ids)[:, None] == right_ids[None, :]] = -np.inf
+    k = min(k, scores.shape[1])
+    if k == 1:
+        order = np.argmax(scores, axis=1)[:, None]
+    else:
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    found = np.take_along_axis(scores, order, axis=1)
+    return [
+        [{"right_id": int(right_ids[j]), "score": float(s)} for j, s in zip(js, ss) if s > -np.inf]
+        for js, ss in zip(order, found)
+    ]
+
+
+def top_k(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    k: int,
+    score: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    skip_self: bool = False,
+    block_rows: int = 4096,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """(id, best: array of (right_id, score), best first) for every left row.
+
+    Both sides have ``id`` (bigint) and ``vector`` (array<double>, one length).
+    """
+    size = right.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0)).alias("cells"),
+    ).first()
+    if size.rows == 0:
+        empty = F.array().cast(f"array<{_CANDIDATE}>")
+        return left.select("id", empty.alias("best"))
+    if size.cells * 8 <= max_broadcast_bytes:
+        return _against_broadcast(left, right, k, score, skip_self)
+    return _block_by_block(left, right, size.rows, k, score, skip_self, block_rows)
+
+
+def _against_broadcast(left, right, k, score, skip_self) -> DataFrame:
+    table = right.select("id", "vector").orderBy("id").toPandas()
+    shared = left.sparkSession.sparkContext.broadcast(
+        (table["id"].to_numpy(), _matrix(table["vector"]))
+    )
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        right_ids, right_rows = shared.value
+        for batch in batches:
+            if len(batch):
+                best = _best(
+                    batch["id"], _matrix(batch["vector"]), right_ids, right_rows, k, score, skip_self
+                )
+                yield pd.DataFrame({"id": batch["id"], "best": best})
+
+    return left.select("id", "vector").mapInPandas(search, f"id bigint, best array<{_CANDIDATE}>")
+
+
+def _block_by_block(left, right, right_rows, k, score, skip_self, block_rows) -> DataFrame:
+    left_blocks = max(1, -(-left.count() // block_rows))
+    right_blocks = max(1, -(-right_rows // block_rows))
+
+    def placed(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int):
+        return df.select(
+            "id",
+            "vector",
+            F.pmod(F.xxhash64("id"), F.lit(own_blocks)).alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).cast("bigint").alias(other),
+        )
+
+    def search(left_part: pd.DataFrame, right_part: pd.DataFrame) -> pd.DataFrame:
+        if not len(left_part) or not len(right_part):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "best": pd.Series(dtype=object)})
+        right_part = right_part.sort_values("id")
+        best = _best(
+            left_part["id"],
+            _matrix(left_part["vector"]),
+            right_part["id"].to_numpy(),
+            _matrix(right_part["vector"]),
+            k,
+            score,
+            skip_self,
+        )
+        return pd.DataFrame({"id": left_part["id"], "best": best})
+
+    partial = (
+        placed(left, "lb", left_blocks, "rb", right_blocks)
+        .groupBy("lb", "rb")
+        .cogroup(placed(right, "rb", right_blocks, "lb", left_blocks).groupBy("lb", "rb"))
+        .applyInPandas(search, f"id bigint, best array<{_CANDIDATE}>")
+    )
+    rank = Window.partitionBy("id").orderBy(F.desc("score"), "right_id")
+    best = (
+        partial.select("id", F.inline("best"))
+        .withColumn("_n", F.row_number().over(rank))
+        .filter(F.col("_n") <= k)
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("_n", "right_id", "score"))).alias("b"))
+    )
+    return best.select(
+        "id", F.transform("b", lambda c: F.struct(c["right_id"], c["score"])).cast(f"array<{_CANDIDATE}>").alias("best")
+    )

@@ -173,3 +173,41 @@ def _order_statistic(values: DataFrame, rows: int, rank: int, exact_rows: int) -
             rank -= count
     share = rank / (rows - 1) if rows > 1 else 0.0
     return float(values.agg(F.percentile(v, F.lit(share))).first()[0])
+
+
+def with_running_sums(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    measures: list[str],
+    *,
+    tie: str,
+    bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """Add ``<measure>_total``: running sum per key in (value, tie) order, peers included."""
+    bucketed = df.withColumn("_bucket", time_bucket(value, bucket_seconds))
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    sums = bucketed.groupBy(*keys, "_bucket").agg(
+        *[F.sum(name).alias(f"_sum_{name}") for name in measures]
+    )
+    carried = sums.select(
+        *keys,
+        "_bucket",
+        *[F.coalesce(F.sum(f"_sum_{m}").over(earlier), F.lit(0)).alias(f"_carry_{m}") for m in measures],
+    )
+    inside = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy(value, tie)
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = {
+        f"{m}_total": F.col(f"_carry_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))
+        for m in measures
+    }
+    return (
+        bucketed.join(carried, [*keys, "_bucket"])
+        .withColumns(totals)
+        .drop("_bucket", *[f"_carry_{m}" for m in measures])
+    )
