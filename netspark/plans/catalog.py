@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from netspark.plans import feature_queries  # noqa: F401
+from netspark.plans import (  # noqa: F401
+    alert_queries,
+    feature_queries,
+    graph_queries,
+    signature_queries,
+)
 from netspark.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
