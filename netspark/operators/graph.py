@@ -227,22 +227,29 @@ def eigenvector_centrality(
     Some rounds are planned together and end in one checkpoint with one test; without
     convergence the column is null and ``converged`` is false.
     """
-    links = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("w")))
     nodes = cut_lineage(_nodes(edges))
     n = nodes.count()
+    # A step is x + A'x: every node also sends itself its own value.
+    own = nodes.select(
+        F.col("ip").alias("src"), F.col("ip").alias("dst"), F.lit(1.0).alias("w"), F.lit(1.0).alias("own")
+    )
+    links = cut_lineage(
+        edges.select(
+            "src", "dst", F.col("weight").cast("double").alias("w"), F.lit(0.0).alias("own")
+        ).unionByName(own)
+    )
     state = nodes.withColumn("x", F.lit(1.0 / max(n, 1)))
     done, converged = 0, n == 0
     while done < max_rounds and not converged:
         steps = min(rounds_per_checkpoint, max_rounds - done)
-        for step in range(steps):
-            received = state.join(links, F.col("ip") == F.col("src")).select(
-                F.col("dst").alias("ip"), F.lit(0.0).alias("old"), (F.col("x") * F.col("w")).alias("x")
-            )
-            own = state.select("ip", F.col("x").alias("old"), "x")
+        for _ in range(steps):
             state = (
-                own.unionByName(received)
-                .groupBy("ip")
-                .agg(F.sum("old").alias("old"), F.sum("x").alias("x"))
+                state.join(links, F.col("ip") == F.col("src"))
+                .groupBy(F.col("dst").alias("ip"))
+                .agg(
+                    F.sum(F.col("x") * F.col("w")).alias("x"),
+                    F.sum(F.col("x") * F.col("own")).alias("old"),
+                )
             )
         state = cut_lineage(state)
         # Both vectors are scaled to length 1 before they are compared.

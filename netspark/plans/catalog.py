@@ -4,6 +4,8 @@ from netspark.plans import (  # noqa: F401
     alert_queries,
     feature_queries,
     graph_queries,
+    intel_queries,
+    outbound_queries,
     signature_queries,
 )
 from netspark.plans.registry import QUERIES

@@ -64,7 +64,7 @@ def detect_brute_force(inputs):
     oracle=f"""WITH l AS (SELECT src_ip, dst_ip, dst_port, {_W60}, tcp_flags,
         lead(tcp_flags, 1) OVER w AS f2, lead(tcp_flags, 2) OVER w AS f3 FROM (
           SELECT packet_id, timestamp, src_ip, dst_ip, dst_port, 40000 AS src_port,
-            CASE packet_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 16 ELSE 17 END AS tcp_flags,
+            CASE packet_id // 6 % 3 WHEN 0 THEN 2 WHEN 1 THEN 16 ELSE 17 END AS tcp_flags,
             CAST(floor(timestamp / 60) * 60 AS DOUBLE) AS tw FROM signature_packets) s
         WHERE dst_port IN (22, 3389, 5900, 23, 445)
         WINDOW w AS (PARTITION BY src_ip, dst_ip, dst_port, src_port, tw ORDER BY timestamp, packet_id))
@@ -72,7 +72,8 @@ def detect_brute_force(inputs):
       WHERE tcp_flags = 2 AND f2 = 16 AND f3 % 2 = 1 GROUP BY ALL""",
 )
 def detect_login_attempts(inputs):
-    flags = F.when(F.col("packet_id") % 3 == 0, 2).when(F.col("packet_id") % 3 == 1, 16).otherwise(17)
+    turn = F.floor(F.col("packet_id") / 6) % 3
+    flags = F.when(turn == 0, 2).when(turn == 1, 16).otherwise(17)
     shaped = _packets(inputs).withColumns({"src_port": F.lit(40000), "tcp_flags": flags})
     return sig.login_attempts(shaped)
 
