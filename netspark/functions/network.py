@@ -62,10 +62,11 @@ def size_classes(length: Column) -> dict[str, Column]:
 
 def ipv4_to_long(ip: Column) -> Column:
     """Dotted quad to a number; null for anything else."""
-    octets = F.transform(F.split(ip, r"\."), lambda part: part.try_cast("bigint"))
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, part: acc * 256 + part)
-    valid = (F.size(octets) == 4) & F.forall(octets, lambda part: part.between(0, 255))
-    return F.when(valid, number)
+    number = F.lit(0).cast("bigint")
+    for position in range(1, 5):
+        octet = F.split_part(ip, F.lit("."), F.lit(position)).try_cast("int")
+        number = number * 256 + F.when(octet.between(0, 255), octet)
+    return F.when(F.split_part(ip, F.lit("."), F.lit(5)) == "", number)
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -87,11 +88,10 @@ def in_networks(ip: Column, networks: list[str] | None = None) -> Column:
 
 
 def direction(src: Column, dst: Column, networks: list[str] | None = None) -> Column:
-    """``internal``, ``outbound``, ``inbound`` or ``external``; null if an end is unknown."""
-    src_in, dst_in = in_networks(src, networks), in_networks(dst, networks)
-    return (
-        F.when(src_in & dst_in, "internal")
-        .when(src_in & ~dst_in, "outbound")
-        .when(~src_in & dst_in, "inbound")
-        .when(~src_in & ~dst_in, "external")
-    )
+    """``internal``, ``outbound``, ``inbound`` or ``external``; null if an end is unknown.
+
+    Looked up by position, so each membership test is evaluated once per row.
+    """
+    names = F.array(*[F.lit(n) for n in ("external", "inbound", "outbound", "internal")])
+    src_in, dst_in = (in_networks(ip, networks).cast("int") for ip in (src, dst))
+    return names[src_in * 2 + dst_in]

@@ -220,7 +220,7 @@ def eigenvector_centrality(
     *,
     max_rounds: int = 100,
     tolerance: float = 1e-6,
-    rounds_per_checkpoint: int = 5,
+    rounds_per_checkpoint: int = 10,
 ) -> DataFrame:
     """Weighted in-edge eigenvector centrality by power iteration.
 

@@ -5,6 +5,7 @@ from netspark.plans import (  # noqa: F401
     feature_queries,
     graph_queries,
     intel_queries,
+    model_queries,
     outbound_queries,
     signature_queries,
 )
