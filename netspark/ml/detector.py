@@ -17,6 +17,7 @@ from netspark.ml.outlier_factor import OutlierFactor
 from netspark.ml.preprocess import Scaler
 from netspark.ml.reduce import Projection, to_matrix
 from netspark.operators import ordering
+from netspark.session import cut_lineage
 
 FOREST, BOUNDARY, FACTOR, ENSEMBLE = "isolation_forest", "one_class_svm", "lof", "ensemble"
 MODEL_TYPES = (FOREST, BOUNDARY, FACTOR, ENSEMBLE)
@@ -76,12 +77,15 @@ class AnomalyDetector:
         forest = boundary = factor = None
         if model_type in (FOREST, ENSEMBLE):
             forest = IsolationForest.fit(rows, prepare=prepare, **(forest_options or {}))
+        if model_type != FOREST:
+            # Read many times from here on, so the prepared rows are written once.
+            vectors = cut_lineage(detector._vectors(rows))
         if model_type in (BOUNDARY, ENSEMBLE):
             options = dict(boundary_options or {})
             options.setdefault("nu", NU if contamination is None else contamination)
-            boundary = Boundary.fit(rows, prepare=prepare, **options)
+            boundary = Boundary.fit(vectors.withColumnRenamed("vector", "features"), **options)
         if model_type in (FACTOR, ENSEMBLE):
-            factor = OutlierFactor.fit(detector._vectors(rows), **(factor_options or {}))
+            factor = OutlierFactor.fit(vectors, **(factor_options or {}))
         detector = replace(detector, forest=forest, boundary=boundary, factor=factor)
         if contamination is not None:
             detector = detector._with_contamination(rows, contamination)

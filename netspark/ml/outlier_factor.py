@@ -60,8 +60,8 @@ class OutlierFactor:
 
     @staticmethod
     def fit(train: DataFrame, *, k: int = NEIGHBOURS, **options) -> OutlierFactor:
-        """``train`` has ``id`` and ``vector``."""
-        train = cut_lineage(train.select("id", "vector"))
+        """``train`` has ``id`` and ``vector``; pass a table or a checkpoint, it is read often."""
+        train = train.select("id", "vector")
         links = cut_lineage(_links(train, train, k, skip_self=True, **options))
         radius = links.groupBy("id").agg(F.max("distance").alias("k_distance"))
         known = cut_lineage(radius.join(_density(links, radius), "id"))
