@@ -15,6 +15,9 @@ WELL_KNOWN_PORTS = [
 # Networks that count as inside.
 INTERNAL_NETWORKS = ["192.168.1.0/24", "10.0.0.0/8", "172.16.0.0/12"]
 
+_OCTET = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+DOTTED_QUAD = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+
 # Size class, lowest length, length it stays below.
 SIZE_CLASSES = [
     ("tiny", None, 64),
@@ -62,11 +65,9 @@ def size_classes(length: Column) -> dict[str, Column]:
 
 def ipv4_to_long(ip: Column) -> Column:
     """Dotted quad to a number; null for anything else."""
-    number = F.lit(0).cast("bigint")
-    for position in range(1, 5):
-        octet = F.split_part(ip, F.lit("."), F.lit(position)).try_cast("int")
-        number = number * 256 + F.when(octet.between(0, 255), octet)
-    return F.when(F.split_part(ip, F.lit("."), F.lit(5)) == "", number)
+    octets = F.split(ip, r"\.").cast("array<bigint>")
+    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, octet: acc * 256 + octet)
+    return F.when(ip.rlike(DOTTED_QUAD), number)
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -82,9 +83,13 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
 
 def in_networks(ip: Column, networks: list[str] | None = None) -> Column:
     """True when the address lies in one of the networks (a short, fixed list)."""
-    number = ipv4_to_long(ip)
     bounds = [cidr_bounds(net) for net in (networks or INTERNAL_NETWORKS)]
-    return reduce(lambda a, b: a | b, [number.between(low, high) for low, high in bounds])
+
+    def inside(number: Column) -> Column:
+        return reduce(lambda a, b: a | b, [number.between(low, high) for low, high in bounds])
+
+    # The one-element array binds the number, so it is computed once for all networks.
+    return F.exists(F.array(ipv4_to_long(ip)), inside)
 
 
 def direction(src: Column, dst: Column, networks: list[str] | None = None) -> Column:
@@ -94,4 +99,4 @@ def direction(src: Column, dst: Column, networks: list[str] | None = None) -> Co
     """
     names = F.array(*[F.lit(n) for n in ("external", "inbound", "outbound", "internal")])
     src_in, dst_in = (in_networks(ip, networks).cast("int") for ip in (src, dst))
-    return names[src_in * 2 + dst_in]
+    return F.get(names, src_in * 2 + dst_in)
