@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from netspark.ml.reduce import to_matrix
 from netspark.operators import ordering
+from netspark.session import cut_lineage
 
 NU = 0.01
 FEATURES = 128
@@ -84,7 +85,8 @@ class Boundary:
         def margin(values: pd.Series) -> pd.Series:
             return pd.Series(fourier(prepare(to_matrix(values, width))) @ normal)
 
-        rho = ordering.exact_quantiles(df.select(margin("features").alias("m")), "m", [nu])[0]
+        margins = cut_lineage(df.select(margin("features").alias("m")))
+        rho = ordering.exact_quantiles(margins, "m", [nu])[0]
         return Boundary(fourier, normal, rho)
 
     def scores(self, matrix: np.ndarray) -> np.ndarray:

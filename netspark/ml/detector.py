@@ -95,7 +95,7 @@ class AnomalyDetector:
         forest, factor = self.forest, self.factor
         if forest is not None:
             raw = self._matrix_scores({"s": forest.raw_scores})
-            scored = rows.select(raw("features")["s"].alias("s"))
+            scored = cut_lineage(rows.select(raw("features")["s"].alias("s")))
             forest = forest.with_offset(contamination_offset(scored, "s", contamination))
         if factor is not None:
             factor = factor.with_offset(contamination_offset(factor.known, "raw", contamination))

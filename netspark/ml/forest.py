@@ -29,18 +29,23 @@ def average_path(n: float) -> float:
 def tree_samples(
     df: DataFrame, *, trees: int, rows: int, seed: int, total: int, id_column: str = "id"
 ) -> DataFrame:
-    """(tree, id, features): for each tree the ``rows`` rows with the smallest hash.
+    """(tree, id, features): ``rows`` rows per tree, uniform and without repeats.
 
-    A threshold on the hash, with a wide margin, leaves about ``rows`` candidates per
-    tree before anything is shuffled; the same rows are chosen however data is partitioned.
+    One hash per row picks the rows that take part at all, about ``trees x rows`` of
+    them; only those are tried against every tree. A wide margin on both thresholds
+    leaves enough candidates, of which the smallest draws are kept. The same rows are
+    chosen however the data is partitioned.
     """
     spread = 2**52
     chance = min(1.0, (rows + 8.0 * math.sqrt(rows) + 32.0) / max(total, 1))
-    draw = F.pmod(F.xxhash64(F.col(id_column), F.col("tree"), F.lit(seed)), F.lit(spread))
+    taking_part = min(1.0, trees * chance)
+    draw = lambda *parts: F.pmod(F.xxhash64(F.col(id_column), *parts), F.lit(spread))
     candidates = (
-        df.select(id_column, "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("_draw", draw)
-        .filter(F.col("_draw") <= int(chance * spread))
+        df.select(id_column, "features")
+        .filter(draw(F.lit(seed)) <= int(taking_part * spread))
+        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        .withColumn("_draw", draw(F.col("tree"), F.lit(seed)))
+        .filter(F.col("_draw") <= int(chance / taking_part * spread))
     )
     order = Window.partitionBy("tree").orderBy("_draw", id_column)
     return (

@@ -14,6 +14,7 @@ from netspark.ml.features import feature_array
 from netspark.ml.preprocess import Scaler
 from netspark.ml.reduce import Projection
 from netspark.operators import ordering
+from netspark.session import cut_lineage
 
 LENGTH = 10
 ENCODING = 8
@@ -56,10 +57,13 @@ class SequenceDetector:
         entity: str = "src_ip",
     ) -> SequenceDetector:
         scaler = Scaler.fit(packets.select(feature_array(features).alias("features")))
-        runs = scaled_sequences(packets, scaler, features, length=length, entity=entity)
+        # Read by two fits and the threshold, so the shuffled runs are written once.
+        runs = cut_lineage(
+            scaled_sequences(packets, scaler, features, length=length, entity=entity)
+        )
         projection = Projection.fit(runs, "flat", k=encoding)
         detector = SequenceDetector(features, scaler, projection, 0.0, length, entity)
-        errors = runs.select(detector._error()("flat").alias("e"))
+        errors = cut_lineage(runs.select(detector._error()("flat").alias("e")))
         limit = ordering.exact_quantiles(errors, "e", [quantile])[0]
         return SequenceDetector(features, scaler, projection, limit, length, entity)
 

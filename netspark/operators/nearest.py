@@ -114,7 +114,7 @@ def _block_by_block(left, right, right_rows, k, score, skip_self, block_rows) ->
             "id",
             "vector",
             F.pmod(F.xxhash64("id"), F.lit(own_blocks)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).cast("bigint").alias(other),
+            F.explode(F.sequence(*[F.lit(i).cast("bigint") for i in (0, other_blocks - 1)])).alias(other),
         )
 
     def search(left_part: pd.DataFrame, right_part: pd.DataFrame) -> pd.DataFrame:

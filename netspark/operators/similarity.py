@@ -32,15 +32,11 @@ MAX_TERMS = 1000
 SIMILARITY_THRESHOLD = 0.7
 
 
-def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-case words of the whole text, stop words left out."""
-    words = F.regexp_extract_all(
+def tokens(text: Column) -> Column:
+    """Lower-case words of the whole text."""
+    return F.regexp_extract_all(
         F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0)
     )
-    stop = STOP_WORDS if stop_words is None else stop_words
-    if not stop:
-        return words
-    return F.filter(words, lambda word: ~word.isin(*stop))
 
 
 def term_statistics(
@@ -51,10 +47,10 @@ def term_statistics(
     Counted per (document, term) first, so a word in every document is already small
     when terms are shuffled.
     """
+    stop = STOP_WORDS if stop_words is None else stop_words
     words = corpus.select(
-        F.col(id_column).alias("_doc"),
-        F.explode(tokens(F.col(text_column), stop_words)).alias("term"),
-    )
+        F.col(id_column).alias("_doc"), F.explode(tokens(F.col(text_column))).alias("term")
+    ).filter(~F.col("term").isin(*stop))
     per_document = words.groupBy("_doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     return per_document.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
@@ -67,14 +63,16 @@ class TermModel:
 
     terms: list[str]
     idf: list[float]
-    stop_words: list[str] | None = None
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = list(zip(self.terms, self.idf))
         return spark.createDataFrame(rows, "term string, idf double")
 
     def transform(self, df: DataFrame, text_column: str, output: str = "vector") -> DataFrame:
-        """Add the L2-normalised tf-idf row as array<double>; no shuffle."""
+        """Add the L2-normalised tf-idf row as array<double>; no shuffle.
+
+        Stop words are not in the vocabulary, so they need no filter here.
+        """
         if not self.terms:
             return df.withColumn(output, F.array().cast("array<double>"))
         counter = CountVectorizerModel.from_vocabulary(self.terms, "_tokens", "_counts")
@@ -83,7 +81,7 @@ class TermModel:
         )
         scale = Normalizer(p=2.0, inputCol="_weights", outputCol="_unit")
         counted = counter.transform(
-            df.withColumn("_tokens", tokens(F.col(text_column), self.stop_words))
+            df.withColumn("_tokens", tokens(F.col(text_column)))
         )
         unit = scale.transform(weigh.transform(counted))
         return unit.withColumn(output, vector_to_array("_unit")).drop(
@@ -111,7 +109,7 @@ def fit_terms(
         .orderBy("term")
     )
     rows = top.collect()  # bounded by max_terms
-    return TermModel([r.term for r in rows], [r.idf for r in rows], stop_words)
+    return TermModel([r.term for r in rows], [r.idf for r in rows])
 
 
 def weights_long(model: TermModel, df: DataFrame, *, id_column: str, text_column: str) -> DataFrame:

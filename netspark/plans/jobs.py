@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from netspark.functions import calendar, network
 from netspark.ml import detector as det
 from netspark.ml import preprocess, reduce
-from netspark.ml.features import numeric_columns, feature_array
+from netspark.ml.features import feature_array, numeric_columns
 from netspark.operators import alerts as al
 from netspark.operators import flows, graph
+from netspark.session import cut_lineage
 
 
 def packet_feature_table(
@@ -50,16 +51,21 @@ def reduce_feature_table(
 ) -> DataFrame:
     """Keep the k best numeric features by F-test with a label, else k components."""
     names = numeric_columns(table)
-    vectors = table.select(
-        F.col(id_column),
-        feature_array(names).alias("features"),
-        *([] if label is None else [F.col(label).alias("label")]),
+    # The joins behind the table are costly and every fit reads it, so it is written once.
+    vectors = cut_lineage(
+        table.select(
+            F.col(id_column),
+            feature_array(names).alias("features"),
+            *([] if label is None else [F.col(label).alias("label")]),
+        )
     )
     if label is None:
         fitted = reduce.Projection.fit(vectors, k=k)
         return fitted.columns(vectors).drop("features")
     positions, _ = reduce.select_k_best(vectors, k)
-    return table.select(id_column, *[names[i] for i in positions])
+    return vectors.select(
+        id_column, *[F.col("features")[i].alias(names[i]) for i in positions]
+    )
 
 
 def train_and_evaluate(
