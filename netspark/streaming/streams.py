@@ -252,7 +252,7 @@ def gap_statistics(state: DataFrame) -> DataFrame:
     return state.select(
         "src_ip",
         F.col("mean").alias("mean_inter_arrival"),
-        F.sqrt(F.try_divide(F.col("m2"), F.nullif(F.col("n") - 1, F.lit(0)))).alias(
+        F.when(F.col("n") > 1, F.sqrt(F.try_divide(F.col("m2"), F.col("n") - 1))).alias(
             "std_inter_arrival"
         ),
         F.col("low").alias("min_inter_arrival"),
