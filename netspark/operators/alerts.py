@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netspark.functions import calendar
 from netspark.functions import severity as sev
 from netspark.operators import ordering
+from netspark.session import cut_lineage
 
 # Channel, enabled, lowest severity that it takes.
 DEFAULT_CHANNELS = [("email", True, "high"), ("chat", True, "medium"), ("card", False, "high")]
@@ -119,11 +120,15 @@ def outbound_batches(
 def alert_summary(alerts: DataFrame, *, top: int = 10) -> DataFrame:
     """Long form (section, key, value): totals, severities, types, top sources, time range.
 
-    Alerts are aggregated once by (severity, type, source); every section is a roll-up
-    of that much smaller table.
+    Alerts are read and aggregated once, by (severity, type, source); every section is a
+    roll-up of that much smaller table, which is written for them to share.
     """
-    base = alerts.groupBy("severity", "type", "src_ip").agg(
-        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")
+    base = cut_lineage(
+        alerts.groupBy("severity", "type", "src_ip").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("timestamp").alias("lo"),
+            F.max("timestamp").alias("hi"),
+        )
     )
 
     def section(name: str, rows: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -248,26 +253,22 @@ def score_histogram(
 
 
 def score_quartiles(detections: DataFrame) -> DataFrame:
-    """Box-plot numbers per prediction: quartiles, and whisker fences at 1.5 IQR.
-
-    Scores are counted per distinct value first, so the percentile sees values with
-    frequencies rather than rows.
-    """
-    counted = detections.groupBy("prediction", "anomaly_score").agg(F.count(F.lit(1)).alias("n"))
-    boxes = counted.groupBy("prediction").agg(
-        F.percentile("anomaly_score", F.lit([0.25, 0.5, 0.75]).cast("array<double>"), F.col("n")).alias("q"),
-        F.sum("n").alias("packets"),
-    )
-    spread = F.col("q")[2] - F.col("q")[0]
-    return boxes.select(
-        "prediction",
-        "packets",
-        F.col("q")[0].alias("q1"),
-        F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"),
-        (F.col("q")[0] - spread * 1.5).alias("low_fence"),
-        (F.col("q")[2] + spread * 1.5).alias("high_fence"),
-    )
+    """Box-plot numbers per prediction: quartiles, and whisker fences at 1.5 IQR."""
+    boxes = []
+    for prediction in (-1, 1):
+        scores = detections.filter(F.col("prediction") == prediction).select("anomaly_score")
+        q1, median, q3 = ordering.exact_quantiles(scores, "anomaly_score", [0.25, 0.5, 0.75])
+        fences = [None, None] if q1 is None else [q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)]
+        count = scores.agg(F.count(F.lit(1)).alias("packets"))
+        numbers = zip(("q1", "median", "q3", "low_fence", "high_fence"), (q1, median, q3, *fences))
+        boxes.append(
+            count.filter(F.col("packets") > 0).select(
+                F.lit(prediction).alias("prediction"),
+                "packets",
+                *[F.lit(v).cast("double").alias(n) for n, v in numbers],
+            )
+        )
+    return boxes[0].unionByName(boxes[1])
 
 
 def timeline(packets: DataFrame, results: DataFrame, *, on: str = "timestamp") -> DataFrame:
@@ -308,7 +309,11 @@ def alert_detail(
 
 
 def traffic_around(
-    alerts: DataFrame, packets: DataFrame, *, around_seconds: float = 5.0
+    alerts: DataFrame,
+    packets: DataFrame,
+    *,
+    around_seconds: float = 5.0,
+    max_bucket_rows: int = ordering.MAX_BUCKET_ROWS,
 ) -> DataFrame:
     """For every alert: packets and bytes of its pair within the time band, ends included.
 
@@ -316,6 +321,9 @@ def traffic_around(
     paired with packets. Totals run per time bucket; bucket sums carry over.
     """
     band = F.lit(float(around_seconds))
+    order = lambda side, key: F.struct(
+        F.lit(side).alias("side"), F.col(key).cast("bigint").alias("id")
+    )
     marks = alerts.filter(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()).select(
         "src_ip",
         "dst_ip",
@@ -323,8 +331,16 @@ def traffic_around(
         F.inline(
             F.array(
                 # Below all packets at the lower end, above all of them at the upper end.
-                F.struct((F.col("timestamp") - band).alias("t"), F.lit(0).alias("o"), F.lit(-1).alias("sign")),
-                F.struct((F.col("timestamp") + band).alias("t"), F.lit(2).alias("o"), F.lit(1).alias("sign")),
+                F.struct(
+                    (F.col("timestamp") - band).alias("t"),
+                    order(0, "alert_id").alias("o"),
+                    F.lit(-1).alias("sign"),
+                ),
+                F.struct(
+                    (F.col("timestamp") + band).alias("t"),
+                    order(2, "alert_id").alias("o"),
+                    F.lit(1).alias("sign"),
+                ),
             )
         ),
     ).withColumns({"n": F.lit(0).cast("bigint"), "bytes": F.lit(0).cast("bigint")})
@@ -333,13 +349,18 @@ def traffic_around(
         "dst_ip",
         F.lit(None).cast("bigint").alias("alert_id"),
         F.col("timestamp").alias("t"),
-        F.lit(1).alias("o"),
+        order(1, "packet_id").alias("o"),
         F.lit(0).alias("sign"),
         F.lit(1).cast("bigint").alias("n"),
         F.col("length").cast("bigint").alias("bytes"),
     )
     totals = ordering.with_running_sums(
-        rows.unionByName(marks), ["src_ip", "dst_ip"], "t", ["n", "bytes"], tie="o"
+        rows.unionByName(marks),
+        ["src_ip", "dst_ip"],
+        "t",
+        ["n", "bytes"],
+        tie="o",
+        max_bucket_rows=max_bucket_rows,
     )
     return (
         totals.filter(F.col("sign") != 0)

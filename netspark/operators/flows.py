@@ -43,13 +43,19 @@ def _length_stats(prefix: str = "length", value: str = "length") -> list[Column]
 
 
 def flow_features(
-    packets: DataFrame, *, window_seconds: float = 60, approximate_distinct: bool = False
+    packets: DataFrame,
+    *,
+    window_seconds: float = 60,
+    approximate_distinct: bool = False,
+    protocols: Iterable[str] = (),
 ) -> DataFrame:
     """Per (flow, window): length statistics, distinct counts and rates.
 
     All inputs of one flow and window are combined map-side first; exact distinct
-    counts are pre-aggregated per value by the planner.
+    counts are pre-aggregated per value by the planner. ``protocols`` adds the columns
+    of :func:`protocol_distribution` from the same scan.
     """
+    protocols = list(protocols)
     distinct = F.approx_count_distinct if approximate_distinct else F.count_distinct
     seconds = F.lit(float(window_seconds))
     keyed = with_flow_keys(packets, window_seconds=window_seconds)
@@ -62,13 +68,17 @@ def flow_features(
             distinct("protocol").alias("protocol_nunique"),
             distinct("src_port").alias("src_port_nunique"),
             distinct("dst_port").alias("dst_port_nunique"),
+            F.count("protocol").alias("_known"),
+            *[F.count_if(F.col("protocol") == name).alias(name) for name in protocols],
         )
         .withColumns(
             {
                 "packet_rate": F.col("length_count") / seconds,
                 "byte_rate": F.col("length_sum").cast("double") / seconds,
+                **{f"ratio_{n}": F.try_divide(F.col(n), F.col("_known")) for n in protocols},
             }
         )
+        .drop("_known")
     )
 
 

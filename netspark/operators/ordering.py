@@ -1,8 +1,10 @@
 """Order-dependent building blocks that stay even when one key holds most rows.
 
 A window over a hot key would put all of its rows into one task. Here rows are
-windowed per (key, time bucket); only one small row per (key, bucket) is windowed
-over the whole key, to carry values across bucket edges. Results are exact.
+windowed per (key, bucket), where buckets follow the order; only one small row per
+(key, bucket) is windowed over the whole key, to carry values across bucket edges.
+Buckets are time slots as long as none of them is too full; otherwise the rows are
+cut into ranges of equal size, whatever their keys and times. Results are exact.
 """
 
 from __future__ import annotations
@@ -10,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netspark.session import cut_lineage
+
 DEFAULT_BUCKET_SECONDS = 60.0
+#: Rows that one (key, bucket) group may hold in a window.
+MAX_BUCKET_ROWS = 5_000_000
 #: Rows (or distinct values) that one task may hold for an exact percentile.
 EXACT_PERCENTILE_ROWS = 1_000_000
 
@@ -20,6 +26,36 @@ def time_bucket(order: str | Column, seconds: float = DEFAULT_BUCKET_SECONDS) ->
     return F.floor(column / F.lit(float(seconds)))
 
 
+def with_buckets(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    tie: str,
+    *,
+    bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+    max_bucket_rows: int = MAX_BUCKET_ROWS,
+) -> DataFrame:
+    """Add ``_bucket``: within a key, every row of a bucket precedes those of later ones.
+
+    Group sizes are counted first, on the key and order columns alone. When a time slot
+    of one key is too full (a burst, or many rows at one instant), all rows are range
+    partitioned by (keys, value, tie) and written once, so that the range number is
+    fixed data for everything that follows.
+    """
+    slotted = df.withColumn("_bucket", time_bucket(value, bucket_seconds))
+    sizes = (
+        slotted.groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.max("n").alias("fullest"), F.sum("n").alias("rows"))
+        .first()
+    )
+    if (sizes.fullest or 0) <= max_bucket_rows:
+        return slotted
+    ranges = -(-2 * sizes.rows // max_bucket_rows)
+    ranged = df.repartitionByRange(int(ranges), *keys, value, tie)
+    return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id().cast("bigint")))
+
+
 def with_previous(
     df: DataFrame,
     key: str,
@@ -28,9 +64,12 @@ def with_previous(
     *,
     tie: str = "packet_id",
     bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+    max_bucket_rows: int = MAX_BUCKET_ROWS,
 ) -> DataFrame:
     """Previous ``value`` of the same key in (value, tie) order; null for a null key."""
-    bucketed = df.withColumn("_bucket", time_bucket(value, bucket_seconds))
+    bucketed = with_buckets(
+        df, [key], value, tie, bucket_seconds=bucket_seconds, max_bucket_rows=max_bucket_rows
+    )
     inside = Window.partitionBy(key, "_bucket").orderBy(value, tie)
     edges = (
         bucketed.filter(F.col(key).isNotNull())
@@ -55,12 +94,15 @@ def with_rank(
     *,
     tie: str,
     bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+    max_bucket_rows: int = MAX_BUCKET_ROWS,
 ) -> DataFrame:
     """1-based position in (value, tie) order, per key or over everything without keys.
 
     Equal to ``row_number``: position inside the bucket plus the rows of all earlier buckets.
     """
-    bucketed = df.withColumn("_bucket", time_bucket(value, bucket_seconds))
+    bucketed = with_buckets(
+        df, keys, value, tie, bucket_seconds=bucket_seconds, max_bucket_rows=max_bucket_rows
+    )
     earlier = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     earlier = earlier.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -88,6 +130,7 @@ def with_history(
     tie: str,
     chunk_rows: int = 4096,
     bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+    max_bucket_rows: int = MAX_BUCKET_ROWS,
 ) -> DataFrame:
     """The last ``length`` payload structs up to each row, oldest first.
 
@@ -96,7 +139,15 @@ def with_history(
     """
     if chunk_rows < length:
         raise ValueError("a chunk must hold at least one whole sequence")
-    ranked = with_rank(df, keys, value, "_rank", tie=tie, bucket_seconds=bucket_seconds)
+    ranked = with_rank(
+        df,
+        keys,
+        value,
+        "_rank",
+        tie=tie,
+        bucket_seconds=bucket_seconds,
+        max_bucket_rows=max_bucket_rows,
+    )
     position = F.col("_rank") - 1
     chunk = F.floor(position / chunk_rows)
     is_halo = (position % chunk_rows) >= chunk_rows - (length - 1)
@@ -193,9 +244,12 @@ def with_running_sums(
     *,
     tie: str,
     bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+    max_bucket_rows: int = MAX_BUCKET_ROWS,
 ) -> DataFrame:
-    """Add ``<measure>_total``: running sum per key in (value, tie) order, peers included."""
-    bucketed = df.withColumn("_bucket", time_bucket(value, bucket_seconds))
+    """Add ``<measure>_total``: running sum per key in (value, tie) order."""
+    bucketed = with_buckets(
+        df, keys, value, tie, bucket_seconds=bucket_seconds, max_bucket_rows=max_bucket_rows
+    )
     earlier = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -210,7 +264,7 @@ def with_running_sums(
     inside = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(value, tie)
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     totals = {
         f"{m}_total": F.col(f"_carry_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))

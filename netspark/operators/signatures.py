@@ -125,15 +125,15 @@ def login_attempts(
         packets.filter(F.col("dst_port").isin(LOGIN_PORTS) & F.col("tcp_flags").isNotNull()),
         window_seconds,
     )
-    session = Window.partitionBy(
-        "src_ip", "dst_ip", "dst_port", "src_port", "time_window"
-    ).orderBy("timestamp", "packet_id")
-    followed = logins.withColumns(
-        {"_second": F.lead("tcp_flags", 1).over(session), "_third": F.lead("tcp_flags", 2).over(session)}
-    )
-    is_fin = F.col("_third").bitwiseAND(F.lit(fin)) == fin
+    keys = ["src_ip", "dst_ip", "dst_port", "src_port", "time_window"]
+    rows = logins.select(*keys, "timestamp", "packet_id", "tcp_flags").dropna(subset=keys)
+    ended = ordering.with_history(
+        rows, keys, "timestamp", ["tcp_flags"], 3, "_last", tie="packet_id"
+    ).filter(F.size("_last") == 3)
+    flag = lambda i: F.col("_last")[i]["tcp_flags"]
+    is_fin = flag(2).bitwiseAND(F.lit(fin)) == fin
     return (
-        followed.filter((F.col("tcp_flags") == syn) & (F.col("_second") == ack) & is_fin)
+        ended.filter((flag(0) == syn) & (flag(1) == ack) & is_fin)
         .groupBy("src_ip", "dst_ip", "dst_port", "time_window")
         .agg(F.count(F.lit(1)).alias("attempts"))
         .filter(F.col("attempts") >= min_attempts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netspark.functions.calendar import time_window
@@ -10,43 +10,53 @@ from netspark.functions.calendar import time_window
 
 def traffic_volume(packets: DataFrame, *, seconds: float = 60) -> DataFrame:
     """Packets per bin; bins without packets between the first and last are 0."""
-    counts = packets.groupBy(time_window(F.col("timestamp"), seconds).alias("bin_start")).agg(
-        F.count(F.lit(1)).alias("packet_count")
-    )
-    return fill_bins(counts, seconds=seconds)
-
-
-def fill_bins(counts: DataFrame, *, seconds: float) -> DataFrame:
-    number = lambda c: F.round(c / F.lit(float(seconds))).cast("bigint")
-    spine = (
-        counts.agg(F.min("bin_start").alias("lo"), F.max("bin_start").alias("hi"))
-        .filter(F.col("lo").isNotNull())
-        .select(F.explode(F.sequence(number(F.col("lo")), number(F.col("hi")))).alias("_bin"))
-    )
-    numbered = counts.select(number(F.col("bin_start")).alias("_bin"), "packet_count")
-    return spine.join(numbered, "_bin", "left").select(
-        (F.col("_bin") * F.lit(float(seconds))).alias("bin_start"),
-        F.coalesce("packet_count", F.lit(0)).alias("packet_count"),
-    )
+    levels = traffic_volume_levels(packets, levels=(seconds,))
+    return levels.drop("level_seconds")
 
 
 def traffic_volume_levels(
     packets: DataFrame, *, levels: tuple[float, ...] = (60, 300, 3600)
 ) -> DataFrame:
-    """Several resolutions; packets are counted once, at the finest, and rolled up."""
+    """Several resolutions from one scan: counted at the finest, rolled up, gaps filled.
+
+    Each later level must be a multiple of the first.
+    """
     finest = packets.groupBy(time_window(F.col("timestamp"), levels[0]).alias("fine")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    result = None
-    for seconds in levels:
-        counts = finest.groupBy(time_window(F.col("fine"), seconds).alias("bin_start")).agg(
-            F.sum("n").alias("packet_count")
-        )
-        filled = fill_bins(counts, seconds=seconds).select(
-            F.lit(int(seconds)).alias("level_seconds"), "bin_start", "packet_count"
-        )
-        result = filled if result is None else result.unionByName(filled)
-    return result
+    number = lambda seconds: F.floor(F.col("fine") / F.lit(float(seconds)))
+    slots = F.array(
+        *[
+            F.struct(F.lit(int(s)).alias("level_seconds"), number(s).alias("_bin"))
+            for s in levels
+        ]
+    )
+    counts = (
+        finest.filter(F.col("fine").isNotNull())
+        .select("n", F.inline(slots))
+        .groupBy("level_seconds", "_bin")
+        .agg(F.sum("n").alias("packet_count"))
+    )
+    return fill_bins(counts)
+
+
+def fill_bins(counts: DataFrame) -> DataFrame:
+    """Add the empty bins after each bin, up to the next one.
+
+    The window sees one row per bin that has packets, never packets.
+    """
+    following = Window.partitionBy("level_seconds").orderBy("_bin")
+    until = F.coalesce(F.lead("_bin").over(following), F.col("_bin") + 1) - 1
+    filled = counts.withColumn("_until", until).select(
+        "level_seconds",
+        F.posexplode(F.sequence("_bin", "_until")).alias("_empty", "_at"),
+        "packet_count",
+    )
+    return filled.select(
+        "level_seconds",
+        (F.col("_at") * F.col("level_seconds")).cast("double").alias("bin_start"),
+        F.when(F.col("_empty") == 0, F.col("packet_count")).otherwise(0).alias("packet_count"),
+    )
 
 
 def protocol_counts(packets: DataFrame) -> DataFrame:
@@ -68,12 +78,12 @@ def nearest_bin(alerts: DataFrame, volume: DataFrame, *, seconds: float = 5) ->
     ``volume`` is a filled grid, so the bin is computed and looked up with an equality join.
     """
     step = F.lit(float(seconds))
-    first = volume.agg(F.min("bin_start")).scalar()
-    last = volume.agg(F.max("bin_start")).scalar()
+    ends = volume.agg(F.struct(F.min("bin_start").alias("lo"), F.max("bin_start").alias("hi")))
+    bounds = ends.scalar()
     times = alerts.select("timestamp").filter(F.col("timestamp").isNotNull()).distinct()
     near = F.ceil(F.col("timestamp") / step - F.lit(0.5)) * step
     located = times.withColumn(
-        "bin_start", F.greatest(F.least(near.cast("double"), last), first)
+        "bin_start", F.greatest(F.least(near.cast("double"), bounds["hi"]), bounds["lo"])
     )
     return located.join(volume, "bin_start").select("timestamp", "bin_start", "packet_count")
 

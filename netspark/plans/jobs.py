@@ -29,14 +29,12 @@ def packet_feature_table(
             **network.port_classes("dst_port", F.col("dst_port")),
         }
     )
-    flow_table = flows.flow_features(packets, window_seconds=window_seconds)
-    flow_grain = (
-        flows.flow_behavior(flow_table)
-        .join(flows.port_entropy_by_flow(packets, window_seconds=window_seconds), flows.FLOW_KEYS, "left")
-        .join(
-            flows.protocol_distribution(packets, window_seconds=window_seconds), flows.FLOW_KEYS, "left"
-        )
+    # Three consumers (two quantiles and the join) share the flow table.
+    flow_table = cut_lineage(
+        flows.flow_features(packets, window_seconds=window_seconds, protocols=flows.PROTOCOLS)
     )
+    entropy = flows.port_entropy_by_flow(packets, window_seconds=window_seconds)
+    flow_grain = flows.flow_behavior(flow_table).join(entropy, flows.FLOW_KEYS, "left")
     edges = graph.weighted_edges(packets)
     nodes = graph.node_metrics(edges) if centralities else graph.degrees(edges)
     source_grain = flows.port_scan_behavior(packets).join(

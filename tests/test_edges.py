@@ -188,9 +188,10 @@ def test_traffic_around_counts_both_ends(packets, spark):
         [(1, 5.0, "a", "b"), (2, 5.0, "a", "b"), (3, 0.0, "a", "b"), (4, 5.0, None, "b")],
         "alert_id bigint, timestamp double, src_ip string, dst_ip string",
     )
-    found = {r.alert_id: (r.packets_around, r.bytes_around) for r in
-             al.traffic_around(alerts, table, around_seconds=2).collect()}
-    assert found == {1: (5, 50), 2: (5, 50), 3: (3, 30)}
+    for options in ({}, {"max_bucket_rows": 6}):
+        found = al.traffic_around(alerts, table, around_seconds=2, **options).collect()
+        assert {r.alert_id: (r.packets_around, r.bytes_around) for r in found} == {
+            1: (5, 50), 2: (5, 50), 3: (3, 30)}
 
 
 def test_long_port_run_and_logins(packets):

@@ -24,13 +24,18 @@ def skewed(rows=600, seed=3):
     return frame
 
 
-@pytest.mark.parametrize("bucket", [0.5, 60.0, 1e6])
+@pytest.mark.parametrize("bucket, fullest", [(0.5, 10**6), (60.0, 10**6), (1e6, 10**6), (60.0, 7)])
 @pytest.mark.parametrize("partitions", [1, 16])
-def test_previous(spark, bucket, partitions):
+def test_previous(spark, bucket, fullest, partitions):
     frame = skewed()
     df = spark.createDataFrame(frame, "packet_id bigint, key string, timestamp double, v bigint")
     found = ordering.with_previous(
-        df.repartition(partitions), "key", "timestamp", "prev", bucket_seconds=bucket
+        df.repartition(partitions),
+        "key",
+        "timestamp",
+        "prev",
+        bucket_seconds=bucket,
+        max_bucket_rows=fullest,
     ).toPandas()
     ordered = frame.sort_values(["timestamp", "packet_id"])
     expected = ordered.groupby("key")["timestamp"].shift(1)
@@ -40,25 +45,25 @@ def test_previous(spark, bucket, partitions):
     )
 
 
-@pytest.mark.parametrize("bucket", [0.5, 60.0, 1e6])
+@pytest.mark.parametrize("bucket, fullest", [(0.5, 10**6), (60.0, 10**6), (1e6, 10**6), (60.0, 7)])
 @pytest.mark.parametrize("keys", [[], ["key"]])
-def test_rank(spark, bucket, keys):
+def test_rank(spark, bucket, fullest, keys):
     frame = skewed().dropna()
     df = spark.createDataFrame(frame, "packet_id bigint, key string, timestamp double, v bigint")
     found = ordering.with_rank(
-        df, keys, "timestamp", "r", tie="packet_id", bucket_seconds=bucket
+        df, keys, "timestamp", "r", tie="packet_id", bucket_seconds=bucket, max_bucket_rows=fullest
     ).toPandas().set_index("packet_id")["r"].sort_index()
     ordered = frame.sort_values(["timestamp", "packet_id"])
     rank = (ordered.groupby("key").cumcount() if keys else pd.Series(range(len(ordered)), ordered.index)) + 1
     assert found.tolist() == rank.sort_index().tolist()
 
 
-@pytest.mark.parametrize("chunk", [5, 16, 4096])
-def test_history(spark, chunk):
+@pytest.mark.parametrize("chunk, fullest", [(5, 10**6), (16, 10**6), (4096, 10**6), (16, 9)])
+def test_history(spark, chunk, fullest):
     frame = skewed().dropna()
     df = spark.createDataFrame(frame, "packet_id bigint, key string, timestamp double, v bigint")
     found = ordering.with_history(
-        df, ["key"], "timestamp", ["v"], 5, "h", tie="packet_id", chunk_rows=chunk
+        df, ["key"], "timestamp", ["v"], 5, "h", tie="packet_id", chunk_rows=chunk, max_bucket_rows=fullest
     ).collect()
     assert len(found) == len(frame)
     ordered = frame.sort_values(["timestamp", "packet_id"])
@@ -70,17 +75,28 @@ def test_history(spark, chunk):
     assert {row.packet_id: [x.v for x in row.h] for row in found} == expected
 
 
+def test_one_instant_is_split(spark):
+    """All rows of one key at one time still end up in several small groups."""
+    df = spark.range(1000).selectExpr("id AS packet_id", "'k' AS key", "5.0D AS timestamp")
+    bucketed = ordering.with_buckets(df, ["key"], "timestamp", "packet_id", max_bucket_rows=100)
+    sizes = [r["count"] for r in bucketed.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 150
+    ranked = ordering.with_rank(df, ["key"], "timestamp", "r", tie="packet_id", max_bucket_rows=100)
+    assert all(r.r == r.packet_id + 1 for r in ranked.collect())
+
+
 def test_history_needs_room(spark):
     df = spark.createDataFrame([(1, "a", 1.0, 1)], "packet_id bigint, key string, timestamp double, v bigint")
     with pytest.raises(ValueError):
         ordering.with_history(df, ["key"], "timestamp", ["v"], 5, "h", tie="packet_id", chunk_rows=4)
 
 
-def test_running_sums(spark):
+@pytest.mark.parametrize("fullest", [10**6, 9])
+def test_running_sums(spark, fullest):
     frame = skewed().dropna()
     df = spark.createDataFrame(frame, "packet_id bigint, key string, timestamp double, v bigint")
     found = ordering.with_running_sums(
-        df, ["key"], "timestamp", ["v"], tie="packet_id", bucket_seconds=7
+        df, ["key"], "timestamp", ["v"], tie="packet_id", bucket_seconds=7, max_bucket_rows=fullest
     ).toPandas().set_index("packet_id")["v_total"].sort_index()
     expected = frame.sort_values(["timestamp", "packet_id"]).groupby("key")["v"].cumsum()
     assert found.tolist() == expected.sort_index().tolist()
