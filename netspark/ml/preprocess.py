@@ -30,7 +30,8 @@ def numeric_statistics(df: DataFrame, columns: list[str]) -> dict[str, tuple[flo
 
     A column without spread gets the scale 1.
     """
-    medians = {c: m if m is not None else 0.0 for c, m in ordering.exact_medians(df, columns).items()}
+    medians = ordering.exact_column_quantiles(df, columns, 0.5)
+    medians = {c: 0.0 if m is None else m for c, m in medians.items()}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns}
     row = df.agg(
         *[F.avg(filled[c]).alias(f"m_{c}") for c in columns],

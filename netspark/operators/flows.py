@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netspark.functions import calendar, network
 from netspark.operators import ordering
+from netspark.session import cut_lineage
 
 #: Protocol columns of the wide protocol distribution.
 PROTOCOLS = ["DNS", "HTTP", "ICMP", "TCP", "UDP"]
@@ -225,15 +226,19 @@ def packet_pattern_stats(packets: DataFrame, *, window_seconds: float = 60) -> D
 
 def flow_thresholds(flows: DataFrame, *, quantile: float = 0.95) -> dict[str, float | None]:
     """The quantile of packet count and byte rate over all flows (two scalars)."""
-    return {
-        name: ordering.exact_quantiles(flows, name, [quantile])[0]
-        for name in ("length_count", "byte_rate")
-    }
+    return ordering.exact_column_quantiles(flows, ["length_count", "byte_rate"], quantile)
 
 
 def flow_behavior(flows: DataFrame, thresholds: dict[str, float | None] | None = None):
-    """Variation, bytes per packet and unusual-volume flags on a flow table."""
-    limits = thresholds or flow_thresholds(flows)
+    """Variation, bytes per packet and unusual-volume flags on a flow table.
+
+    Without given thresholds the flows are read twice, so they are written once; pass
+    the thresholds of a stored table to keep everything lazy.
+    """
+    if thresholds is None:
+        flows = cut_lineage(flows)
+        thresholds = flow_thresholds(flows)
+    limits = thresholds
     high = lambda name: F.col(name) > F.lit(limits[name]).cast("double")
     return flows.withColumns(
         {

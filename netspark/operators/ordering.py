@@ -191,14 +191,15 @@ def exact_quantiles(
     return [_interpolated(values, total, q, exact_rows) for q in quantiles]
 
 
-def exact_medians(
-    df: DataFrame, columns: list[str], *, exact_rows: int = EXACT_PERCENTILE_ROWS
+def exact_column_quantiles(
+    df: DataFrame, columns: list[str], quantile: float, *, exact_rows: int = EXACT_PERCENTILE_ROWS
 ) -> dict[str, float | None]:
-    """Medians of several columns; one pass over a small input."""
+    """The same quantile of several columns; one pass over a small input."""
     if df.count() <= exact_rows:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
-        return row.asDict()
-    return {c: exact_quantiles(df, c, [0.5], exact_rows=exact_rows)[0] for c in columns}
+        share = F.lit(float(quantile))
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), share).alias(c) for c in columns])
+        return row.first().asDict()
+    return {c: exact_quantiles(df, c, [quantile], exact_rows=exact_rows)[0] for c in columns}
 
 
 def _interpolated(values: DataFrame, total: int, quantile: float, exact_rows: int) -> float:

@@ -33,6 +33,26 @@ def extract_all_features_job(inputs):
     )
 
 
+@query(
+    "feature_assembly",
+    oracle=f"""WITH {_KEYED}, t AS (SELECT flow, time_window, count(*) FILTER (WHERE protocol = 'TCP') AS TCP,
+          count(*) FILTER (WHERE protocol = 'TCP') / CAST(count(protocol) AS DOUBLE) AS ratio_TCP FROM keyed
+        WHERE flow IS NOT NULL GROUP BY ALL),
+        s AS (SELECT src_ip, count(DISTINCT dst_port) AS unique_dst_ports FROM packets WHERE src_ip IS NOT NULL
+          GROUP BY src_ip)
+      SELECT packet_id, length_mean, length_count = 1 AS low_packet_count, TCP, ratio_TCP, unique_dst_ports
+      FROM keyed LEFT JOIN flows USING (flow, time_window) LEFT JOIN t USING (flow, time_window)
+      LEFT JOIN s USING (src_ip)""",
+    floats="length_mean ratio_TCP",
+)
+def feature_assembly(inputs):
+    """Groups of three grains on every packet, joined by their keys."""
+    table = jobs.packet_feature_table(inputs.view("packets"))
+    return table.select(
+        "packet_id", "length_mean", "low_packet_count", "TCP", "ratio_TCP", "unique_dst_ports"
+    )
+
+
 @query("feature_assembly_reduced", floats="PC1 PC2 PC3")
 def feature_assembly_reduced(inputs):
     """All packet features down to three components."""

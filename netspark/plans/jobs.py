@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from netspark.functions import calendar, network
 from netspark.ml import detector as det
@@ -13,6 +14,8 @@ from netspark.ml.features import feature_array, numeric_columns
 from netspark.operators import alerts as al
 from netspark.operators import flows, graph
 from netspark.session import cut_lineage
+from netspark.sources import captures, readers, sinks
+from netspark.streaming import streams
 
 
 def packet_feature_table(
@@ -34,7 +37,8 @@ def packet_feature_table(
         flows.flow_features(packets, window_seconds=window_seconds, protocols=flows.PROTOCOLS)
     )
     entropy = flows.port_entropy_by_flow(packets, window_seconds=window_seconds)
-    flow_grain = flows.flow_behavior(flow_table).join(entropy, flows.FLOW_KEYS, "left")
+    limits = flows.flow_thresholds(flow_table)
+    flow_grain = flows.flow_behavior(flow_table, limits).join(entropy, flows.FLOW_KEYS, "left")
     edges = graph.weighted_edges(packets)
     nodes = graph.node_metrics(edges) if centralities else graph.degrees(edges)
     source_grain = flows.port_scan_behavior(packets).join(
@@ -90,3 +94,113 @@ def detect_packets(
         "id", F.col("packet_id")
     )
     return detector.transform(features).drop("id", "features")
+
+
+def preprocess_files(
+    spark: SparkSession, source: str, target: str, run_id: str, *, window_seconds: float = 60
+) -> str:
+    """Packet CSV to the four artefacts of a processing run."""
+    packets = readers.read_packets_csv(spark, source)
+    model = preprocess.fit_preprocessor(packets)
+    matrix = preprocess.apply_preprocessor(model, packets).select(
+        F.col("packet_id").alias("id"), "features"
+    )
+    table = flows.flow_features(packets, window_seconds=window_seconds)
+    return sinks.write_processed_set(
+        matrix, flows.enrich_packets(packets), table, model, target, run_id
+    )
+
+
+def capture_files(spark: SparkSession, source: str, target: str, run_id: str) -> str | None:
+    """Capture files to a packet run."""
+    return sinks.write_run(captures.to_packets(captures.read_captures(spark, source)), target, run_id)
+
+
+def feature_files(
+    spark: SparkSession, source: str, target: str, run_id: str, *, k: int | None = None
+) -> str | None:
+    """Packet CSV to the joined feature table, or to its k components."""
+    table = packet_feature_table(readers.read_packets_csv(spark, source))
+    return sinks.write_run(table if k is None else reduce_feature_table(table, k=k), target, run_id)
+
+
+def train_files(
+    spark: SparkSession,
+    features: str,
+    labels: str | None,
+    model_path: str,
+    metrics_path: str,
+    run_id: str,
+    *,
+    model_type: str = det.FOREST,
+    test_percent: int = 20,
+    use_pca: bool = True,
+) -> DataFrame:
+    """Feature arrays (and labels by id) to a saved model and one row of metrics.
+
+    Without labels the metrics that need them are null.
+    """
+    rows = readers.read_features_labels(spark, features, labels)
+    labelled = rows if labels is not None else rows.withColumn("label", F.lit(None).cast("int"))
+    metrics = train_and_evaluate(
+        labelled, model_path, model_type=model_type, test_percent=test_percent, use_pca=use_pca
+    )
+    if labels is None:
+        needs_labels = ("accuracy", "precision", "recall", "f1_score")
+        metrics = metrics.withColumns({n: F.lit(None).cast("double") for n in needs_labels})
+    sinks.write_metrics(metrics, metrics_path, run_id)
+    return metrics
+
+
+def detect_files(
+    spark: SparkSession, source: str, run_path: str, model_path: str, target: str
+) -> DataFrame:
+    """Packet CSV scored with a saved run's preprocessing and a saved model; the summary."""
+    packets = readers.read_packets_csv(spark, source)
+    preprocessor = PipelineModel.load(f"{run_path}/preprocessor")
+    detector = det.AnomalyDetector.load(spark, model_path)
+    sinks.write_detections(detect_packets(packets, preprocessor, detector), target)
+    return al.capture_summary(spark.read.parquet(target))
+
+
+def predict_records(
+    requests: DataFrame, columns: list[str], detector: det.AnomalyDetector
+) -> DataFrame:
+    """Verdicts for JSON request bodies, one row per record of each request."""
+    records = readers.read_records_json(requests, columns)
+    keys = [c for c in requests.columns if c != "body"]
+    ready = records.withColumns(
+        {"features": feature_array(columns), "id": F.xxhash64(*keys, "position")}
+    )
+    return detector.transform(ready).drop("id", "features")
+
+
+def monitor_files(
+    spark: SparkSession,
+    source: str,
+    run_path: str,
+    model_path: str,
+    target: str,
+    checkpoint: str,
+    *,
+    once: bool = True,
+) -> StreamingQuery:
+    """Arriving packet files to alerts, routes and outbound batches."""
+    preprocessor = PipelineModel.load(f"{run_path}/preprocessor")
+    detector = det.AnomalyDetector.load(spark, model_path)
+    arriving = readers.read_packet_stream(spark, source)
+    scored = detect_packets(arriving, preprocessor, detector)
+    return streams.write_batches(scored, streams.alert_writer(target), checkpoint, once=once)
+
+
+def report_files(
+    spark: SparkSession,
+    alerts: str,
+    target: str,
+    *,
+    start: float | None = None,
+    end: float | None = None,
+) -> None:
+    """Alert table to the summary document."""
+    chosen = al.time_range(spark.read.parquet(alerts), start=start, end=end)
+    sinks.write_report_json(al.report_document(chosen), target)

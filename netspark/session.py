@@ -64,6 +64,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan restarts from files that outlive any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a table to the shared folder and go on from there.
+
+    It outlives any executor, later reads take only the columns they need, and its
+    known size lets the planner choose a broadcast where that fits.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -120,5 +120,5 @@ def test_quantiles_of_nothing(spark):
 
 def test_medians(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (4, 7.0)], "a int, b double")
-    assert ordering.exact_medians(df, ["a", "b"]) == {"a": 2.0, "b": 6.0}
-    assert ordering.exact_medians(df, ["a", "b"], exact_rows=1) == {"a": 2.0, "b": 6.0}
+    assert ordering.exact_column_quantiles(df, ["a", "b"], 0.5) == {"a": 2.0, "b": 6.0}
+    assert ordering.exact_column_quantiles(df, ["a", "b"], 0.5, exact_rows=1) == {"a": 2.0, "b": 6.0}
