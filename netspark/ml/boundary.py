@@ -46,11 +46,15 @@ class FourierMap:
 
 @dataclass(frozen=True)
 class Boundary:
-    """Score = margin - rho; below 0 is outside."""
+    """Score = scale * (margin - rho); below 0 is outside.
+
+    The scale is nu * rows, the sum of the dual weights in their usual form.
+    """
 
     fourier: FourierMap
     normal: np.ndarray
     rho: float
+    scale: float = 1.0
 
     @staticmethod
     def fit(
@@ -87,10 +91,10 @@ class Boundary:
 
         margins = cut_lineage(df.select(margin("features").alias("m")))
         rho = ordering.exact_quantiles(margins, "m", [nu])[0]
-        return Boundary(fourier, normal, rho)
+        return Boundary(fourier, normal, rho, nu * total)
 
     def scores(self, matrix: np.ndarray) -> np.ndarray:
-        return self.fourier(matrix) @ self.normal - self.rho
+        return self.scale * (self.fourier(matrix) @ self.normal - self.rho)
 
 
 def _spread(df: DataFrame, prepare) -> tuple[int, int, float]:

@@ -189,6 +189,7 @@ class AnomalyDetector:
                 "phase": self.boundary.fourier.phase.tolist(),
                 "normal": self.boundary.normal.tolist(),
                 "rho": self.boundary.rho,
+                "scale": self.boundary.scale,
             }
         if self.factor is not None:
             settings["factor"] = {"k": self.factor.k, "offset": self.factor.offset}
@@ -213,9 +214,8 @@ class AnomalyDetector:
         if settings["boundary"]:
             b = settings["boundary"]
             fourier = FourierMap(np.asarray(b["weights"]), np.asarray(b["phase"]))
-            detector = replace(
-                detector, boundary=Boundary(fourier, np.asarray(b["normal"]), b["rho"])
-            )
+            boundary = Boundary(fourier, np.asarray(b["normal"]), b["rho"], b["scale"])
+            detector = replace(detector, boundary=boundary)
         if settings["factor"]:
             factor = OutlierFactor(
                 spark.read.parquet(f"{path}/factor_train"),

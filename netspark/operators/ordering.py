@@ -16,7 +16,9 @@ from netspark.session import cut_lineage
 
 DEFAULT_BUCKET_SECONDS = 60.0
 #: Rows that one (key, bucket) group may hold in a window.
-MAX_BUCKET_ROWS = 5_000_000
+MAX_BUCKET_ROWS = 2_000_000
+#: Ranges that full slots are cut into at most; range bounds are sampled on the driver.
+MAX_RANGES = 20_000
 #: Rows (or distinct values) that one task may hold for an exact percentile.
 EXACT_PERCENTILE_ROWS = 1_000_000
 
@@ -51,7 +53,7 @@ def with_buckets(
     )
     if (sizes.fullest or 0) <= max_bucket_rows:
         return slotted
-    ranges = -(-2 * sizes.rows // max_bucket_rows)
+    ranges = min(MAX_RANGES, -(-2 * sizes.rows // max_bucket_rows))
     ranged = df.repartitionByRange(int(ranges), *keys, value, tie)
     return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id().cast("bigint")))
 

@@ -51,6 +51,7 @@ class FakeSession:
 
     def __init__(self, setting, master):
         self.master, self.folder, self.sparkContext = master, None, self
+        self.applicationId = "app-1"
         self.conf = {} if setting is None else {"spark.checkpoint.dir": setting}
 
     def getCheckpointDir(self):
@@ -62,7 +63,7 @@ class FakeSession:
 
 def test_scratch_folder_follows_the_session():
     cluster = FakeSession("hdfs://shared/x", "yarn")
-    assert session.scratch_path(cluster, "t").startswith("hdfs://shared/x/t-")
+    assert session.scratch_path(cluster, "t").startswith("hdfs://shared/x/app-1/t-")
     assert cluster.folder == "hdfs://shared/x"
     assert session.scratch_path(cluster, "t") != session.scratch_path(cluster, "t")
     with pytest.raises(RuntimeError):
