@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netspark.session import cut_lineage
+
 #: Right-side bytes that may be sent to every executor.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 #: Score digits kept, so equal rows tie whatever block they were computed in.
@@ -46,6 +48,14 @@ def _best(
     left_ids, left: np.ndarray, right_ids: np.ndarray, right: np.ndarray, k: int, score, skip_self
 ) -> list[list[dict]]:
     """k candidates per left row; right rows are ordered by id, so ties keep the first."""
+    if not skip_self:
+        # Copies on the left are scored once.
+        seen: dict[bytes, int] = {}
+        copy_of = [seen.setdefault(row.tobytes(), len(seen)) for row in left]
+        if len(seen) < len(left):
+            first = np.unique(copy_of, return_index=True)[1]
+            found = _best(left_ids, left[first], right_ids, right, k, score, False)
+            return [found[i] for i in copy_of]
     scores = np.round(score(left, right), DIGITS)
     if skip_self:
         scores[np.asarray(left_ids)[:, None] == right_ids[None, :]] = -np.inf
@@ -84,7 +94,23 @@ def top_k(
         return left.select("id", empty.alias("best"))
     if size.cells * 8 <= max_broadcast_bytes:
         return _against_broadcast(left, right, k, score, skip_self)
-    return _block_by_block(left, right, size.rows, k, score, skip_self, block_rows)
+    if skip_self:
+        return _block_by_block(left, right, size.rows, k, score, True, block_rows)
+    # Rows travel to every block of the other side, so copies are reduced to one first.
+    marked = left.select(
+        "id",
+        "vector",
+        F.xxhash64("vector").alias("_h1"),
+        F.xxhash64(F.lit("second"), "vector").alias("_h2"),
+    )
+    distinct = cut_lineage(
+        marked.groupBy("_h1", "_h2").agg(F.first("vector").alias("vector"), F.min("id").alias("id"))
+    )
+    found = _block_by_block(
+        distinct.select("id", "vector"), right, size.rows, k, score, False, block_rows
+    )
+    known = distinct.select("id", "_h1", "_h2").join(found, "id").drop("id")
+    return marked.select("id", "_h1", "_h2").join(known, ["_h1", "_h2"]).select("id", "best")
 
 
 def _against_broadcast(left, right, k, score, skip_self) -> DataFrame:

@@ -145,9 +145,30 @@ def local_outlier_factor(inputs):
     return OutlierFactor.fit(rows).known
 
 
-@query("lof_novelty", floats="anomaly_score")
+@query(
+    "lof_novelty",
+    oracle=f"""WITH {_EMB}, {_LONG},
+      z AS (SELECT id, position, (x - avg(x) OVER p) / stddev_pop(x) OVER p AS z FROM l
+            WINDOW p AS (PARTITION BY position)),
+      s AS (SELECT id, list(z ORDER BY position) AS features FROM z GROUP BY id),
+      d AS (SELECT a.id, b.id AS o, round(list_distance(a.features, b.features), 12) AS dist
+            FROM s a CROSS JOIN s b),
+      k AS (SELECT * FROM d WHERE id <> o QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, o) <= 20),
+      r AS (SELECT id, max(dist) AS k_distance FROM k GROUP BY id),
+      lrd AS (SELECT k.id, 1 / (avg(greatest(dist, k_distance)) + 1e-10) AS lrd
+              FROM k JOIN r ON r.id = k.o GROUP BY k.id),
+      n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, o) <= 20),
+      own AS (SELECT n.id, 1 / (avg(greatest(dist, k_distance)) + 1e-10) AS lrd
+              FROM n JOIN r ON r.id = n.o GROUP BY n.id),
+      f AS (SELECT n.id, 1.5 - avg(lrd.lrd) / max(own.lrd) AS anomaly_score
+            FROM n JOIN lrd ON lrd.id = n.o JOIN own ON own.id = n.id GROUP BY n.id)
+      SELECT id, anomaly_score, CASE WHEN anomaly_score < 0 THEN -1 ELSE 1 END AS prediction,
+        anomaly_score < 0 AS is_anomaly FROM f""",
+    floats="anomaly_score",
+)
 def lof_novelty(inputs):
-    return _detected(inputs, det.FACTOR)
+    """Scaled rows scored against all of them, as new rows are."""
+    return _detected(inputs, det.FACTOR, use_pca=False)
 
 
 @query("ensemble_detect", floats="anomaly_score")
