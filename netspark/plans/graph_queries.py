@@ -81,7 +81,45 @@ def closeness(inputs):
     return graph.closeness(_edges(inputs))
 
 
-@query("betweenness", floats="betweenness")
+def _betweenness_sql(doublings: int = 5, hops: int = 23) -> str:
+    """All-pairs form: distances by repeated min-plus products, path counts hop by hop,
+    then the share of shortest paths through each node, for graphs of up to ``hops + 1`` nodes."""
+    steps = [
+        "e AS MATERIALIZED (SELECT src, dst, CAST(weight AS DOUBLE) AS w FROM edges WHERE src <> dst)",
+        "nodes AS MATERIALIZED (SELECT src AS ip FROM edges UNION SELECT dst FROM edges)",
+        """d0 AS MATERIALIZED (SELECT src AS s, dst AS v, w AS d FROM e
+           UNION ALL SELECT ip, ip, 0 FROM nodes)""",
+    ]
+    for i in range(doublings):
+        steps.append(
+            f"""d{i + 1} AS MATERIALIZED (SELECT a.s, b.v, min(a.d + b.d) AS d
+                FROM d{i} a JOIN d{i} b ON a.v = b.s GROUP BY a.s, b.v)"""
+        )
+    dist = f"d{doublings}"
+    steps.append(
+        f"""dag AS MATERIALIZED (SELECT x.s, e.src AS u, e.dst AS v FROM {dist} x JOIN e ON e.src = x.v
+            JOIN {dist} y ON y.s = x.s AND y.v = e.dst AND x.d + e.w = y.d)"""
+    )
+    steps.append("c0 AS MATERIALIZED (SELECT ip AS s, ip AS v, 1.0e0 AS c FROM nodes)")
+    for i in range(hops):
+        steps.append(
+            f"""c{i + 1} AS MATERIALIZED (SELECT p.s, g.v, sum(p.c) AS c FROM c{i} p
+                JOIN dag g ON g.s = p.s AND g.u = p.v GROUP BY p.s, g.v)"""
+        )
+    union = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(hops + 1))
+    steps.append(f"sigma AS MATERIALIZED (SELECT s, v, sum(c) AS c FROM ({union}) GROUP BY s, v)")
+    steps.append(
+        f"""through AS (SELECT a.v AS ip, sum(sa.c * sb.c / st.c) AS x
+            FROM {dist} a JOIN {dist} b ON b.s = a.v JOIN {dist} t ON t.s = a.s AND t.v = b.v AND a.d + b.d = t.d
+            JOIN sigma sa ON sa.s = a.s AND sa.v = a.v JOIN sigma sb ON sb.s = b.s AND sb.v = b.v
+            JOIN sigma st ON st.s = a.s AND st.v = b.v
+            WHERE a.s <> a.v AND b.s <> b.v AND a.s <> b.v GROUP BY a.v)"""
+    )
+    return f"""WITH {", ".join(steps)} SELECT ip, coalesce(x, 0) / ((SELECT count(*) FROM nodes) - 1.0e0)
+      / ((SELECT count(*) FROM nodes) - 2.0e0) AS betweenness FROM nodes LEFT JOIN through USING (ip)"""
+
+
+@query("betweenness", oracle=_betweenness_sql(), floats="betweenness")
 def betweenness(inputs):
     return graph.betweenness(_edges(inputs))
 
