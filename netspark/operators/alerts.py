@@ -14,6 +14,10 @@ from netspark.session import cut_lineage
 DEFAULT_CHANNELS = [("email", True, "high"), ("chat", True, "medium"), ("card", False, "high")]
 
 
+#: Longest top list of a detail report; it is sent to every task.
+MAX_REPORT_ALERTS = 10_000
+
+
 def anomalies(detections: DataFrame) -> DataFrame:
     return detections.filter(F.col("prediction") == -1)
 
@@ -292,9 +296,11 @@ def alert_detail(
 ) -> DataFrame:
     """The ``top`` worst alerts with the packets of the same pair close in time.
 
-    The report side is a top list of fixed size, so it is broadcast and packets are
-    only filtered where they lie. Rows stay in long form: a busy pair is not gathered.
+    The report side is a top list of a fixed, short length, so it is broadcast and packets
+    are only filtered where they lie. Rows stay in long form: a busy pair is not gathered.
     """
+    if top > MAX_REPORT_ALERTS:
+        raise ValueError(f"a detail report takes at most {MAX_REPORT_ALERTS} alerts")
     worst = alerts.orderBy("anomaly_score", "alert_id").limit(top).select(
         "alert_id",
         F.col("timestamp").alias("alert_time"),

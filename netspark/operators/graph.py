@@ -83,6 +83,11 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("ip")).distinct()
 
 
+def _stored(edges: DataFrame) -> DataFrame:
+    """Edges as a table, so that packets are aggregated once for all the rounds."""
+    return cut_lineage(edges.select("src", "dst", "weight"))
+
+
 def _without_loops(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst"))
 
@@ -92,6 +97,7 @@ def closeness(edges: DataFrame) -> DataFrame:
 
     Breadth-first search from all nodes at once; a round advances every search one hop.
     """
+    edges = _stored(edges)
     hops = cut_lineage(_without_loops(edges).select("src", "dst").distinct())
     nodes = cut_lineage(_nodes(edges))
     n = nodes.count()
@@ -152,9 +158,8 @@ def betweenness(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
     Path counts and dependencies are sums over the shortest-path edges of each source,
     built up hop by hop. ``pivots`` takes that many sources (by hash) and scales up.
     """
-    links = cut_lineage(
-        _without_loops(edges).select("src", "dst", F.col("weight").cast("double").alias("w"))
-    )
+    edges = _stored(edges)
+    links = _without_loops(edges).select("src", "dst", F.col("weight").cast("double").alias("w"))
     nodes = cut_lineage(_nodes(edges))
     n = nodes.count()
     sources = nodes
@@ -227,6 +232,7 @@ def eigenvector_centrality(
     Some rounds are planned together and end in one checkpoint with one test; without
     convergence the column is null and ``converged`` is false.
     """
+    edges = _stored(edges)
     nodes = cut_lineage(_nodes(edges))
     n = nodes.count()
     # A step is x + A'x: every node also sends itself its own value.
@@ -275,6 +281,7 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
     Edges point from the lower to the higher degree, so even a hub has at most
     sqrt(2m) outgoing edges and no node's neighbours are paired in full.
     """
+    edges = _stored(edges)
     pairs = (
         _without_loops(edges)
         .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
@@ -318,6 +325,7 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
 
 def node_metrics(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
     """All node measures in one table; a missing eigenvector leaves the others alone."""
+    edges = _stored(edges)
     return (
         degrees(edges)
         .join(betweenness(edges, pivots=pivots), "ip", "left")

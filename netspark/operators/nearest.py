@@ -18,6 +18,8 @@ from netspark.session import cut_lineage
 
 #: Right-side bytes that may be sent to every executor.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Scores that a task holds at a time.
+MAX_CELLS = 4_000_000
 #: Score digits kept, so equal rows tie whatever block they were computed in.
 DIGITS = 12
 
@@ -45,7 +47,13 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _best(
-    left_ids, left: np.ndarray, right_ids: np.ndarray, right: np.ndarray, k: int, score, skip_self
+    left_ids: np.ndarray,
+    left: np.ndarray,
+    right_ids: np.ndarray,
+    right: np.ndarray,
+    k: int,
+    score: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    skip_self: bool,
 ) -> list[list[dict]]:
     """k candidates per left row; right rows are ordered by id, so ties keep the first."""
     if not skip_self:
@@ -54,11 +62,19 @@ def _best(
         copy_of = [seen.setdefault(row.tobytes(), len(seen)) for row in left]
         if len(seen) < len(left):
             first = np.unique(copy_of, return_index=True)[1]
-            found = _best(left_ids, left[first], right_ids, right, k, score, False)
+            found = _best(left_ids[first], left[first], right_ids, right, k, score, False)
             return [found[i] for i in copy_of]
+    rows = max(1, MAX_CELLS // len(right_ids))
+    if len(left) > rows:
+        parts = range(0, len(left), rows)
+        chosen = [
+            _best(left_ids[i : i + rows], left[i : i + rows], right_ids, right, k, score, skip_self)
+            for i in parts
+        ]
+        return [best for part in chosen for best in part]
     scores = np.round(score(left, right), DIGITS)
     if skip_self:
-        scores[np.asarray(left_ids)[:, None] == right_ids[None, :]] = -np.inf
+        scores[left_ids[:, None] == right_ids[None, :]] = -np.inf
     k = min(k, scores.shape[1])
     if k == 1:
         order = np.argmax(scores, axis=1)[:, None]
@@ -123,9 +139,8 @@ def _against_broadcast(left, right, k, score, skip_self) -> DataFrame:
         right_ids, right_rows = shared.value
         for batch in batches:
             if len(batch):
-                best = _best(
-                    batch["id"], _matrix(batch["vector"]), right_ids, right_rows, k, score, skip_self
-                )
+                ids, rows = batch["id"].to_numpy(), _matrix(batch["vector"])
+                best = _best(ids, rows, right_ids, right_rows, k, score, skip_self)
                 yield pd.DataFrame({"id": batch["id"], "best": best})
 
     return left.select("id", "vector").mapInPandas(search, f"id bigint, best array<{_CANDIDATE}>")
@@ -148,7 +163,7 @@ def _block_by_block(left, right, right_rows, k, score, skip_self, block_rows) ->
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "best": pd.Series(dtype=object)})
         right_part = right_part.sort_values("id")
         best = _best(
-            left_part["id"],
+            left_part["id"].to_numpy(),
             _matrix(left_part["vector"]),
             right_part["id"].to_numpy(),
             _matrix(right_part["vector"]),
