@@ -52,17 +52,21 @@ def flow_features(
 ) -> DataFrame:
     """Per (flow, window): length statistics, distinct counts and rates.
 
-    All inputs of one flow and window are combined map-side first; exact distinct
-    counts are pre-aggregated per value by the planner. ``protocols`` adds the columns
-    of :func:`protocol_distribution` from the same scan.
+    One shuffle: everything is combined map-side, and distinct values are merged as sets.
+    A set has at most 65,536 ports or one entry per protocol name, however many packets
+    a hot flow has. ``protocols`` adds the columns of :func:`protocol_distribution` from
+    the same scan.
     """
     protocols = list(protocols)
-    distinct = F.approx_count_distinct if approximate_distinct else F.count_distinct
+    if approximate_distinct:
+        distinct = F.approx_count_distinct
+    else:
+        distinct = lambda c: F.size(F.collect_set(c)).cast("bigint")
     seconds = F.lit(float(window_seconds))
-    keyed = with_flow_keys(packets, window_seconds=window_seconds)
+    start = calendar.time_window(F.col("timestamp"), window_seconds)
     return (
-        keyed.filter(F.col("flow").isNotNull())
-        .groupBy(*FLOW_KEYS)
+        packets.dropna(subset=["src_ip", "dst_ip"])
+        .groupBy("src_ip", "dst_ip", start.alias("time_window"))
         .agg(
             F.count("length").alias("length_count"),
             *_length_stats(),
@@ -79,7 +83,11 @@ def flow_features(
                 **{f"ratio_{n}": F.try_divide(F.col(n), F.col("_known")) for n in protocols},
             }
         )
-        .drop("_known")
+        .select(
+            calendar.flow_key(F.col("src_ip"), F.col("dst_ip")).alias("flow"),
+            "*",
+        )
+        .drop("src_ip", "dst_ip", "_known")
     )
 
 
