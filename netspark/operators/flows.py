@@ -175,29 +175,25 @@ def inter_arrival(packets: DataFrame, *, key: str = "src_ip", first: float | Non
 
 def _gap_stats(names: tuple[str, str, str, str]) -> list[Column]:
     mean, std, low, high = names
-    gap = "inter_arrival_time"
     return [
-        F.avg(gap).alias(mean),
-        F.stddev_samp(gap).alias(std),
-        F.min(gap).alias(low),
-        F.max(gap).alias(high),
+        F.avg("gap").alias(mean),
+        F.stddev_samp("gap").alias(std),
+        F.min("gap").alias(low),
+        F.max("gap").alias(high),
     ]
 
 
 def inter_arrival_stats(packets: DataFrame) -> DataFrame:
     """Per source: statistics of the gaps, first packet left out."""
     names = ("mean_inter_arrival", "std_inter_arrival", "min_inter_arrival", "max_inter_arrival")
-    gaps = inter_arrival(packets.select("packet_id", "timestamp", "src_ip"))
-    return (
-        gaps.filter(F.col("src_ip").isNotNull()).groupBy("src_ip").agg(*_gap_stats(names))
-    )
+    return ordering.gaps(packets, "src_ip", "timestamp").groupBy("src_ip").agg(*_gap_stats(names))
 
 
 def inter_arrival_stats_flow(packets: DataFrame) -> DataFrame:
     """Per flow: statistics of the gaps, where the first packet counts as 0."""
-    keyed = with_flow_keys(packets).select("packet_id", "timestamp", "flow")
-    gaps = inter_arrival(keyed.filter(F.col("flow").isNotNull()), key="flow", first=0.0)
-    return gaps.groupBy("flow").agg(*_gap_stats(("iat_mean", "iat_std", "iat_min", "iat_max")))
+    found = ordering.gaps(with_flow_keys(packets), "flow", "timestamp")
+    filled = found.withColumn("gap", F.coalesce("gap", F.lit(0.0)))
+    return filled.groupBy("flow").agg(*_gap_stats(("iat_mean", "iat_std", "iat_min", "iat_max")))
 
 
 def packets_per_second_stats(packets: DataFrame) -> DataFrame:

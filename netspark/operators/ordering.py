@@ -88,6 +88,37 @@ def with_previous(
     )
 
 
+def gaps(
+    df: DataFrame,
+    key: str,
+    value: str,
+    *,
+    tie: str = "packet_id",
+    bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+    max_bucket_rows: int = MAX_BUCKET_ROWS,
+) -> DataFrame:
+    """(key, gap) for every row with a key, in no order; null for a key's first row.
+
+    For statistics only: gaps inside buckets and the gaps between buckets are simply
+    put together, so no row has to be joined with its bucket's predecessor.
+    """
+    rows = df.filter(F.col(key).isNotNull()).select(key, value, tie)
+    bucketed = with_buckets(
+        rows, [key], value, tie, bucket_seconds=bucket_seconds, max_bucket_rows=max_bucket_rows
+    )
+    order = Window.partitionBy(key, "_bucket").orderBy(value, tie)
+    inside = bucketed.select(
+        key, F.row_number().over(order).alias("_n"), (F.col(value) - F.lag(value).over(order)).alias("gap")
+    ).filter(F.col("_n") > 1)
+    before = F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket"))
+    between = (
+        bucketed.groupBy(key, "_bucket")
+        .agg(F.min(value).alias("_first"), F.max(value).alias("_last"))
+        .select(key, (F.col("_first") - before).alias("gap"))
+    )
+    return inside.drop("_n").unionByName(between)
+
+
 def with_rank(
     df: DataFrame,
     keys: list[str],

@@ -152,17 +152,11 @@ def beaconing(
     small = packets.filter(F.col("length").between(*BEACON_LENGTHS)).filter(
         network.direction(F.col("src_ip"), F.col("dst_ip"), networks) == "outbound"
     )
-    pairs = small.select(
-        "packet_id", "timestamp", "src_ip", "dst_ip", F.concat_ws("|", "src_ip", "dst_ip").alias("pair")
-    )
-    gap = F.col("timestamp") - F.col("_prev")
-    spaced = (
-        ordering.with_previous(pairs, "pair", "timestamp", "_prev", bucket_seconds=3600)
-        .withColumn("gap", gap)
-        .filter(F.col("gap").isNotNull())
-    )
+    pairs = small.withColumn("pair", F.struct("src_ip", "dst_ip"))
+    found = ordering.gaps(pairs, "pair", "timestamp", bucket_seconds=3600)
     return (
-        spaced.groupBy("src_ip", "dst_ip")
+        found.filter(F.col("gap").isNotNull())
+        .groupBy("pair.src_ip", "pair.dst_ip")
         .agg(
             F.count(F.lit(1)).alias("gaps"),
             F.count_if(F.col("gap").between(*gaps)).alias("gaps_in_band"),

@@ -58,6 +58,17 @@ def test_rank(spark, bucket, fullest, keys):
     assert found.tolist() == rank.sort_index().tolist()
 
 
+@pytest.mark.parametrize("bucket, fullest", [(0.5, 10**6), (60.0, 10**6), (60.0, 7)])
+def test_gaps(spark, bucket, fullest):
+    frame = skewed()
+    df = spark.createDataFrame(frame, "packet_id bigint, key string, timestamp double, v bigint")
+    found = ordering.gaps(df, "key", "timestamp", bucket_seconds=bucket, max_bucket_rows=fullest)
+    ordered = frame.dropna().sort_values(["timestamp", "packet_id"])
+    expected = ordered.assign(gap=ordered.groupby("key")["timestamp"].diff())[["key", "gap"]]
+    as_text = lambda table: sorted(map(str, table.itertuples(index=False, name=None)))
+    assert as_text(found.toPandas()) == as_text(expected)
+
+
 @pytest.mark.parametrize("chunk, fullest", [(5, 10**6), (16, 10**6), (4096, 10**6), (16, 9)])
 def test_history(spark, chunk, fullest):
     frame = skewed().dropna()
