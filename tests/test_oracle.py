@@ -54,5 +54,3 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 
 
-def test_names():
-    assert not any("pipeline" in n or n.startswith("op") and n[2:3].isdigit() for n in QUERIES)
