@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import packing, sharding, url_rules, wavelet
+from netspark.llm import forest_join, packing, sharding, url_rules, wavelet
 from netspark.llm.workers import prepared, table
 from netspark.session import scratch_path
 
@@ -96,3 +96,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "wavelet")
     wavelet.write_shards(docs, path, TOKENIZER, END_ID)
     return wavelet.read_documents(docs, path)
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forest_join.similar_texts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "group_id", "n_copies", "n_links")
