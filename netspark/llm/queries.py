@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import forest_join, packing, sharding, url_rules, wavelet
+from netspark.llm import chunks, forest_join, packing, sharding, url_rules, wavelet
 from netspark.llm.workers import prepared, table
 from netspark.session import scratch_path
 
@@ -102,3 +102,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = forest_join.similar_texts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "group_id", "n_copies", "n_links")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("row_key")
