@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import chunks, forest_join, packing, sharding, url_rules, wavelet
+from netspark.llm import chunks, forest_join, packing, sharding, templates, url_rules, wavelet
 from netspark.llm.workers import prepared, table
 from netspark.session import scratch_path
 
@@ -107,3 +107,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key")
