@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import chunks, forest_join, packing, sharding, templates, url_rules, wavelet
+from netspark.llm import chunks, forest_join, packing, quality, sharding, templates, url_rules, wavelet
 from netspark.llm.workers import prepared, table
 from netspark.session import scratch_path
 
@@ -34,6 +34,18 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.learnable())
+    return quality.with_scores(docs, model, with_text=False).select(
+        "doc_id",
+        (~quality.learnable()).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared(spark)
