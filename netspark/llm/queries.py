@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import chunks, forest_join, packing, quality, sharding, templates, url_rules, wavelet
+from netspark.llm import chunks, forest_join, licenses, nearest_tiles, packing, quality, sharding, templates, url_rules, wavelet
 from netspark.llm.workers import prepared, table
 from netspark.session import scratch_path
 
@@ -125,3 +125,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("row_key")
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: ids divisible by 50; candidates: every other row."""
+    return nearest_tiles.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
