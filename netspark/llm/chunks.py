@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netspark.llm.shingles import mixed
-from netspark.llm.workers import prepared
+from netspark.llm.workers import free_name, prepared
 from netspark.session import cut_lineage
 
 #: Bytes that a rating looks back, a power of two.
@@ -27,9 +27,11 @@ GEAR_BYTES = 16
 SPREAD = 3
 #: A stretch without such a word is cut each so many words.
 MAX_WORDS = 16
-#: A passage of this many words is found wherever it repeats: the chunks inside it and the two at its edges
-#: have that many words or more together, and those inside it RUN_WORDS or more.
+#: A passage of this many words is found wherever it repeats: the chunks inside it, the two at its edges and
+#: EDGE_WORDS have that many words or more together, and those inside it RUN_WORDS or more.
 MIN_WORDS, RUN_WORDS = 50, 15
+#: Words at both ends of a passage whose rating still depends on what is outside.
+EDGE_WORDS = 2 * SPREAD + GEAR_BYTES // 2 + 1
 #: First byte of characters that are words by themselves: CJK, and all beyond the basic plane.
 WIDE_LEAD = 0xE3
 
@@ -129,7 +131,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, run_words: in
     """A row per repeated passage: row_key, doc_id, first_word, n_words, most_words, kept_in.
 
     Words are runs between white space; ``first_word`` counts from 0. The passage is made of whole chunks;
-    with the chunks at its edges, of which it may cover a part, it has ``most_words``, at least ``min_words``.
+    with what it may cover besides at its edges it has ``most_words``, at least ``min_words``.
     The document with the smallest id that holds a chunk keeps it (``kept_in``, for the first chunk; null if
     that document has no id). Rows of one doc_id are one document, whose own repeats are left alone; rows
     without an id come last. Texts that are null or without words hold no chunk. Other columns are ignored.
@@ -165,7 +167,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, run_words: in
             F.max_by("words_behind", "first_word").alias("words_behind"),
             F.min_by("kept", "first_word").alias("kept"),
         )
-        .withColumn("most_words", F.col("n_words") + F.col("words_before") + F.col("words_behind"))
+        .withColumn("most_words", F.col("n_words") + F.col("words_before") + F.col("words_behind") + EDGE_WORDS)
         .where((F.col("n_words") >= run_words) & (F.col("most_words") >= min_words))
     )
     known_id = lambda c: F.when(F.col(c) < (1 << 62), F.col(c))
@@ -185,17 +187,18 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
     A row of which no word is left goes; rows that had no word from the start stay. Other columns are kept.
     """
     passages = repeated_passages(docs, **options)
+    key, spans_of = free_name(docs, "row_key"), free_name(docs, "cuts")
     cuts = cut_lineage(
-        passages.groupBy(F.col("row_key").alias("_row_key")).agg(
-            F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cuts")
+        passages.groupBy(F.col("row_key").alias(key)).agg(
+            F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(spans_of)
         )
     )
-    joined = docs.withColumn("_row_key", row_key()).join(cuts, "_row_key", "left")
+    joined = docs.withColumn(key, row_key()).join(cuts, key, "left")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("_cuts").to_pylist()
+            spans = batch.column(spans_of).to_pylist()
             texts = batch.column("text").to_pylist()
             keep = []
             for k, own in enumerate(spans):
@@ -211,7 +214,7 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
                 changed = changed.set_column(place, "n_chars", pa.array(sizes, batch.schema.field("n_chars").type))
             yield changed.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*names, "_cuts").mapInArrow(cut, docs.schema)
+    return joined.select(*names, spans_of).mapInArrow(cut, docs.schema)
 
 
 def _without(text: str, spans: list[dict]) -> str:

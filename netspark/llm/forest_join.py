@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from netspark.llm.components import components
 from netspark.llm.shingles import mixed, shingle_set
-from netspark.llm.workers import column, prepared, runs
+from netspark.llm.workers import column, free_name, prepared, runs
 from netspark.session import cut_lineage
 
 WORDS = 5
@@ -374,10 +374,11 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
         .groupBy("row_key")
         .agg(F.count(F.lit(1)).alias("n"), F.first(F.col("first.row_key")).alias("kept"))
     )
-    gone = judged.where("row_key <> kept").select(F.col("row_key").alias("_row_key"))
-    keyed = docs.withColumn("_row_key", row_key()).join(gone, "_row_key", "left_anti")
-    repeated = judged.where("row_key = kept AND n > 1").select(F.col("row_key").alias("_row_key"))
+    key = free_name(docs, "row_key")
+    gone = judged.where("row_key <> kept").select(F.col("row_key").alias(key))
+    keyed = docs.withColumn(key, row_key()).join(gone, key, "left_anti")
+    repeated = judged.where("row_key = kept AND n > 1").select(F.col("row_key").alias(key))
     if not repeated.isEmpty():
-        single = keyed.join(repeated, "_row_key", "left_anti")
-        keyed = single.unionByName(keyed.join(repeated, "_row_key").dropDuplicates(["_row_key"]))
+        single = keyed.join(repeated, key, "left_anti")
+        keyed = single.unionByName(keyed.join(repeated, key).dropDuplicates([key]))
     return keyed.select(*docs.columns)

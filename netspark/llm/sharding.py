@@ -22,10 +22,11 @@ def interleave(df: DataFrame, stratum: str, order: list[Column], shards: int, se
     Shard sizes differ by one row at most, and in every shard each stratum has its share of rows within two.
     ``slot`` counts from 0 in each shard. ``order`` identifies a row: its hash with the seed is the shuffle,
     and it breaks ties. A null stratum is a stratum of its own. Rows that are equal in all of ``order`` keep
-    their own places, in any order among them. An empty table gives no rows. Columns of ``df`` are kept;
-    helper columns start with ``_il_`` and are dropped.
+    their own places, in any order among them. An empty table gives no rows. Columns of ``df`` are kept
+    but for those named like the result's; names that begin with ``_il_`` are used inside.
     """
-    base = df.withColumn("_il_hash", F.xxhash64(F.lit(seed), *order))
+    kept = [c for c in df.columns if c.lower() not in ("fractional_rank", "shard", "slot")]
+    base = df.select(*kept).withColumn("_il_hash", F.xxhash64(F.lit(seed), *order))
     total = base.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
     # A bucket is a range of the hash, so that rank within bucket plus rows of lower buckets is the rank.
@@ -60,4 +61,4 @@ def interleave(df: DataFrame, stratum: str, order: list[Column], shards: int, se
     # The shard of position p is floor(p * shards / total), in integers; a shard begins where that steps up.
     placed = placed.withColumn("shard", F.expr(f"CAST(_il_pos * {shards} DIV {max(total, 1)} AS INT)"))
     first = F.expr(f"(CAST(shard AS BIGINT) * {total} + {shards - 1}) DIV {shards}")
-    return placed.withColumn("slot", F.col("_il_pos") - first).select(*df.columns, "fractional_rank", "shard", "slot")
+    return placed.withColumn("slot", F.col("_il_pos") - first).select(*kept, "fractional_rank", "shard", "slot")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netspark.llm.shingles import mixed, windows
-from netspark.llm.workers import prepared, worker_state
+from netspark.llm.workers import free_name, prepared, worker_state
 from netspark.session import cut_lineage
 
 #: Words and placeholders of a window; shorter items are windows of their own length, down to LEAST_WINDOW.
@@ -258,6 +258,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    found = cut_lineage(contaminated(docs, benchmark, **options).select(F.col("row_key").alias("_row_key")).distinct())
-    keyed = docs.withColumn("_row_key", row_key())
-    return keyed.join(found, "_row_key", "left_anti").select(*docs.columns)
+    key = free_name(docs, "row_key")
+    found = cut_lineage(contaminated(docs, benchmark, **options).select(F.col("row_key").alias(key)).distinct())
+    return docs.withColumn(key, row_key()).join(found, key, "left_anti").select(*docs.columns)

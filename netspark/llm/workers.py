@@ -74,5 +74,13 @@ def _with_bounds(table: pa.Table, keys: list[str]) -> tuple[pa.Table, np.ndarray
     return table.combine_chunks(), np.concatenate(([0], change, [table.num_rows]))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
