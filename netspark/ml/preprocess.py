@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,6 @@ from netspark.ml.features import NOT_FEATURES, numeric_columns
 from netspark.operators import ordering
 
 UNKNOWN = "unknown"
-MAX_CATEGORIES = 10_000
 
 
 def string_columns(df: DataFrame, *, exclude: Iterable[str] = NOT_FEATURES) -> list[str]:
@@ -46,26 +45,26 @@ def fit_preprocessor(
     numeric: list[str] | None = None,
     categorical: list[str] | None = None,
     output: str = "features",
+    hashed: int | None = None,
 ) -> PipelineModel:
     """Median impute and standardise numbers; impute ``unknown`` and one-hot encode strings.
 
-    Labels and addresses are left out. An unseen string encodes as all zeros. The
-    result is an ordinary PipelineModel, so it is saved and loaded like any other.
+    Labels and addresses are left out. An unseen string encodes as all zeros. One-hot
+    encoding keeps a list of all values of a column; for columns with very many, leave
+    them out of ``categorical`` or give ``hashed``, the positions that each string column
+    is hashed to instead. The result is an ordinary PipelineModel, so it is saved and loaded like any other.
     """
     numeric = numeric_columns(df) if numeric is None else numeric
     categorical = string_columns(df) if categorical is None else categorical
     statistics = numeric_statistics(df, numeric) if numeric else {}
-    if categorical:
-        sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-        wide = [c for c in categorical if sizes[c] > MAX_CATEGORIES]
-        if wide:
-            raise ValueError(f"too many distinct values to encode: {wide}")
     expressions = [
         f"(coalesce(cast(`{c}` as double), {median!r}D) - {mean!r}D) / {scale!r}D AS `_n_{c}`"
         for c, (median, mean, scale) in statistics.items()
     ] + [f"coalesce(`{c}`, '{UNKNOWN}') AS `_s_{c}`" for c in categorical]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(expressions)} FROM __THIS__")]
-    if categorical:
+    if categorical and hashed:
+        stages += [FeatureHasher(inputCols=[f"_s_{c}"], outputCol=f"_e_{c}", numFeatures=hashed) for c in categorical]
+    elif categorical:
         stages.append(
             StringIndexer(
                 inputCols=[f"_s_{c}" for c in categorical],

@@ -74,7 +74,10 @@ class Projection:
 
 
 def f_statistics(df: DataFrame, *, features: str = "features", label: str = "label") -> DataFrame:
-    """One-way ANOVA F per feature position, from per-class counts, means and variances."""
+    """One-way ANOVA F per feature position, from per-class counts, means and variances.
+
+    Infinite if the classes differ and no value within them does; null if all values are equal.
+    """
     cells = (
         df.filter(F.col(label).isNotNull())
         .select(label, F.posexplode(features).alias("position", "x"))
@@ -89,9 +92,10 @@ def f_statistics(df: DataFrame, *, features: str = "features", label: str = "lab
         F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s2"),
     )
     between = F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")
-    f = F.try_divide(between, F.col("classes") - 1) / F.nullif(
-        F.try_divide(F.col("within"), F.col("n") - F.col("classes")), F.lit(0.0)
-    )
+    between = F.try_divide(between, F.col("classes") - 1)
+    within = F.try_divide(F.col("within"), F.col("n") - F.col("classes"))
+    # Classes without spread of their own: infinitely far apart, or nothing to tell.
+    f = F.when(within > 0, between / within).when(between > 0, F.lit(float("inf")))
     return sums.select("position", f.alias("f_value"))
 
 

@@ -15,7 +15,6 @@ DEFAULT_CHANNELS = [("email", True, "high"), ("chat", True, "medium"), ("card",
 
 
 #: Longest top list of a detail report; it is sent to every task.
-MAX_REPORT_ALERTS = 10_000
 
 
 def anomalies(detections: DataFrame) -> DataFrame:
@@ -104,7 +103,7 @@ def route(alerts: DataFrame, channels: list[tuple[str, bool, str]] | None = None
 def outbound_batches(
     alerts: DataFrame, document: Column, *, batch_size: int = 50, order: str = "timestamp"
 ) -> DataFrame:
-    """Documents in time order, ``batch_size`` per batch, as one array per batch."""
+    """Documents in time order, ``batch_size`` per batch, as one array per batch; no time comes first."""
     prepared = alerts.select("alert_id", order, F.to_json(document).alias("document"))
     ranked = ordering.with_rank(prepared, [], order, "_rank", tie="alert_id")
     batch = F.floor((F.col("_rank") - 1) / batch_size)
@@ -258,21 +257,17 @@ def score_histogram(
 
 def score_quartiles(detections: DataFrame) -> DataFrame:
     """Box-plot numbers per prediction: quartiles, and whisker fences at 1.5 IQR."""
-    boxes = []
-    for prediction in (-1, 1):
-        scores = detections.filter(F.col("prediction") == prediction).select("anomaly_score")
-        q1, median, q3 = ordering.exact_quantiles(scores, "anomaly_score", [0.25, 0.5, 0.75])
+    score = {str(p): F.when(F.col("prediction") == p, F.col("anomaly_score")) for p in (-1, 1)}
+    quartiles = ordering.exact_quantile_table(detections, score, [0.25, 0.5, 0.75])
+    rows = detections.filter(F.col("prediction").isin(-1, 1))
+    boxes = rows.groupBy(F.col("prediction").cast("int").alias("prediction")).agg(F.count(F.lit(1)).alias("packets"))
+    numbers = {"q1": {}, "median": {}, "q3": {}, "low_fence": {}, "high_fence": {}}
+    for prediction, (q1, median, q3) in quartiles.items():
         fences = [None, None] if q1 is None else [q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)]
-        count = scores.agg(F.count(F.lit(1)).alias("packets"))
-        numbers = zip(("q1", "median", "q3", "low_fence", "high_fence"), (q1, median, q3, *fences))
-        boxes.append(
-            count.filter(F.col("packets") > 0).select(
-                F.lit(prediction).alias("prediction"),
-                "packets",
-                *[F.lit(v).cast("double").alias(n) for n, v in numbers],
-            )
-        )
-    return boxes[0].unionByName(boxes[1])
+        for name, value in zip(numbers, (q1, median, q3, *fences)):
+            numbers[name][int(prediction)] = value
+    of = lambda known: F.when(F.col("prediction") == -1, F.lit(known[-1])).otherwise(F.lit(known[1]))
+    return boxes.select("*", *[of(known).cast("double").alias(name) for name, known in numbers.items()])
 
 
 def timeline(packets: DataFrame, results: DataFrame, *, on: str = "timestamp") -> DataFrame:
@@ -296,11 +291,9 @@ def alert_detail(
 ) -> DataFrame:
     """The ``top`` worst alerts with the packets of the same pair close in time.
 
-    The report side is a top list of a fixed, short length, so it is broadcast and packets
-    are only filtered where they lie. Rows stay in long form: a busy pair is not gathered.
+    The report side is a top list, which the planner may broadcast. Rows stay in long form:
+    a busy pair is not gathered.
     """
-    if top > MAX_REPORT_ALERTS:
-        raise ValueError(f"a detail report takes at most {MAX_REPORT_ALERTS} alerts")
     worst = alerts.orderBy("anomaly_score", "alert_id").limit(top).select(
         "alert_id",
         F.col("timestamp").alias("alert_time"),
@@ -311,7 +304,7 @@ def alert_detail(
     )
     near = F.abs(F.col("timestamp") - F.col("alert_time")) <= F.lit(float(around_seconds))
     traffic = packets.select("packet_id", "timestamp", "length", "protocol", "src_ip", "dst_ip")
-    return traffic.join(F.broadcast(worst), ["src_ip", "dst_ip"]).filter(near)
+    return traffic.join(worst, ["src_ip", "dst_ip"]).filter(near)
 
 
 def traffic_around(
@@ -323,6 +316,8 @@ def traffic_around(
 ) -> DataFrame:
     """For every alert: packets and bytes of its pair within the time band, ends included.
 
+    An alert without an address or a time has none. ``alert_id`` identifies an alert.
+
     Difference of two running totals, read at both ends of the band, so no alert is
     paired with packets. Totals run per time bucket; bucket sums carry over.
     """
@@ -330,7 +325,8 @@ def traffic_around(
     order = lambda side, key: F.struct(
         F.lit(side).alias("side"), F.col(key).cast("bigint").alias("id")
     )
-    marks = alerts.filter(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()).select(
+    placed = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull() & F.col("timestamp").isNotNull()
+    marks = alerts.filter(placed).select(
         "src_ip",
         "dst_ip",
         "alert_id",
@@ -350,7 +346,7 @@ def traffic_around(
             )
         ),
     ).withColumns({"n": F.lit(0).cast("bigint"), "bytes": F.lit(0).cast("bigint")})
-    rows = packets.filter(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()).select(
+    rows = packets.filter(placed).select(
         "src_ip",
         "dst_ip",
         F.lit(None).cast("bigint").alias("alert_id"),
@@ -368,7 +364,7 @@ def traffic_around(
         tie="o",
         max_bucket_rows=max_bucket_rows,
     )
-    return (
+    sums = (
         totals.filter(F.col("sign") != 0)
         .groupBy("alert_id")
         .agg(
@@ -376,6 +372,12 @@ def traffic_around(
             F.sum(F.col("sign") * F.col("bytes_total")).alias("bytes_around"),
         )
     )
+    none = F.lit(0).cast("bigint")
+    return alerts.select("alert_id").distinct().join(sums, "alert_id", "left").select(
+        "alert_id",
+        F.coalesce("packets_around", none).alias("packets_around"),
+        F.coalesce("bytes_around", none).alias("bytes_around"),
+    )
 
 
 def union_traffic(*batches: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 A window over a hot key would put all of its rows into one task. Here rows are
 windowed per (key, bucket), where buckets follow the order; only one small row per
 (key, bucket) is windowed over the whole key, to carry values across bucket edges.
-Buckets are time slots as long as none of them is too full; otherwise the rows are
-cut into ranges of equal size, whatever their keys and times. Results are exact.
+Buckets are time slots; the rows of slots that are too full are cut into ranges of
+equal size. Results are exact, and rows without a time come first.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,6 @@ from netspark.session import cut_lineage
 DEFAULT_BUCKET_SECONDS = 60.0
 #: Rows that one (key, bucket) group may hold in a window.
 MAX_BUCKET_ROWS = 2_000_000
-#: Ranges that full slots are cut into at most; range bounds are sampled on the driver.
-MAX_RANGES = 20_000
 #: Rows (or distinct values) that one task may hold for an exact percentile.
 EXACT_PERCENTILE_ROWS = 1_000_000
 
@@ -39,23 +39,37 @@ def with_buckets(
 ) -> DataFrame:
     """Add ``_bucket``: within a key, every row of a bucket precedes those of later ones.
 
-    Group sizes are counted first, on the key and order columns alone. When a time slot
-    of one key is too full (a burst, or many rows at one instant), all rows are range
-    partitioned by (keys, value, tie) and written once, so that the range number is
-    fixed data for everything that follows.
+    A bucket is a time slot and a part of it. Group sizes are counted first, on the key and
+    order columns alone. Only slots that are too full (a burst, or many rows at one instant)
+    have more than one part: their rows are range partitioned by (keys, slot, value, tie)
+    and written once, so that the range number is fixed data for everything that follows.
+    Rows without a time are in the slot before all others.
     """
-    slotted = df.withColumn("_bucket", time_bucket(value, bucket_seconds))
-    sizes = (
-        slotted.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("fullest"), F.sum("n").alias("rows"))
-        .first()
+    slotted = df.withColumn("_slot", time_bucket(value, bucket_seconds))
+    slot = [*keys, "_slot"]
+    full = cut_lineage(
+        slotted.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_bucket_rows)
     )
-    if (sizes.fullest or 0) <= max_bucket_rows:
-        return slotted
-    ranges = min(MAX_RANGES, -(-2 * sizes.rows // max_bucket_rows))
-    ranged = df.repartitionByRange(int(ranges), *keys, value, tie)
-    return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id().cast("bigint")))
+    rows = full.agg(F.sum("_n").alias("n")).first().n
+    if not rows:
+        return _as_bucket(slotted, F.lit(0))
+    crowded = null_safe_join(slotted, full.select(*slot), slot)
+    ranged = crowded.repartitionByRange(-(-2 * rows // max_bucket_rows), *slot, value, tie)
+    parts = cut_lineage(_as_bucket(ranged, F.spark_partition_id()))
+    others = _as_bucket(null_safe_join(slotted, full.select(*slot), slot, "left_anti"), F.lit(0))
+    return others.unionByName(parts)
+
+
+def _as_bucket(df: DataFrame, part: Column) -> DataFrame:
+    slot = F.col("_slot").cast("bigint").alias("slot")
+    return df.withColumn("_bucket", F.struct(slot, part.cast("int").alias("part"))).drop("_slot")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null; the columns are those of ``left``."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    joined = left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on], how)
+    return joined.drop(*[f"_on_{c}" for c in on])
 
 
 def with_previous(
@@ -82,7 +96,7 @@ def with_previous(
     )
     previous = F.coalesce(F.lag(value).over(inside), F.col("_before"))
     return (
-        bucketed.join(edges, [key, "_bucket"], "left")
+        null_safe_join(bucketed, edges, [key, "_bucket"], "left")
         .withColumn(output, F.when(F.col(key).isNotNull(), previous))
         .drop("_bucket", "_before")
     )
@@ -146,7 +160,7 @@ def with_rank(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value, tie)
     return (
-        bucketed.join(offsets, [*keys, "_bucket"])
+        null_safe_join(bucketed, offsets, [*keys, "_bucket"])
         .withColumn(output, F.col("_offset") + F.row_number().over(inside))
         .drop("_bucket", "_offset")
     )
@@ -206,68 +220,111 @@ def exact_quantiles(
     *,
     exact_rows: int = EXACT_PERCENTILE_ROWS,
 ) -> list[float | None]:
-    """Linear-interpolation quantiles, exact, with bounded memory in every task.
-
-    A small input goes through ``percentile``. For a larger one the two order
-    statistics around each quantile are selected: ``percentile_approx`` gives a
-    bracket, rows are counted on either side, and the search goes on inside until
-    what is left is small.
-    """
+    """Linear-interpolation quantiles of one column; see ``exact_quantile_table``."""
     value = F.col(column) if isinstance(column, str) else column
-    values = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull())
-    total = values.count()
-    if total == 0:
-        return [None for _ in quantiles]
-    if total <= exact_rows:
-        row = values.agg(F.percentile("v", F.lit(quantiles).cast("array<double>"))).first()
-        return list(row[0])
-    return [_interpolated(values, total, q, exact_rows) for q in quantiles]
+    return exact_quantile_table(df, {"v": value}, quantiles, exact_rows=exact_rows)["v"]
 
 
 def exact_column_quantiles(
     df: DataFrame, columns: list[str], quantile: float, *, exact_rows: int = EXACT_PERCENTILE_ROWS
 ) -> dict[str, float | None]:
-    """The same quantile of several columns; one pass over a small input."""
-    if df.count() <= exact_rows:
-        share = F.lit(float(quantile))
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), share).alias(c) for c in columns])
-        return row.first().asDict()
-    return {c: exact_quantiles(df, c, [quantile], exact_rows=exact_rows)[0] for c in columns}
-
-
-def _interpolated(values: DataFrame, total: int, quantile: float, exact_rows: int) -> float:
-    position = quantile * (total - 1)
-    rank = int(position)
-    low = _order_statistic(values, total, rank, exact_rows)
-    if rank == position or rank + 1 >= total:
-        return low
-    high = _order_statistic(values, total, rank + 1, exact_rows)
-    return low + (high - low) * (position - rank)
-
-
-def _order_statistic(values: DataFrame, rows: int, rank: int, exact_rows: int) -> float:
-    """The value at a 0-based rank. Each round drops at least the bracket's own ends."""
-    v = F.col("v")
-    while rows > exact_rows:
-        share = rank / (rows - 1)
-        bounds = [max(0.0, share - 0.001), min(1.0, share + 0.001)]
-        low, high = values.agg(
-            F.percentile_approx(v, F.lit(bounds).cast("array<double>"), F.lit(10_000))
-        ).first()[0]
-        zones = [(v < low, None), (v == low, low), ((v > low) & (v < high), None)]
-        if high > low:
-            zones.append((v == high, high))
-        zones.append((v > high, None))
-        counts = values.agg(*[F.count_if(test) for test, _ in zones]).first()
-        for (test, constant), count in zip(zones, counts):
-            if rank < count:
-                if constant is not None:
-                    return float(constant)
-                values, rows = values.filter(test), count
-                break
-            rank -= count
-    share = rank / (rows - 1) if rows > 1 else 0.0
-    return float(values.agg(F.percentile(v, F.lit(share))).first()[0])
+    """The same quantile of several columns."""
+    named = {c: F.col(c) for c in columns}
+    table = exact_quantile_table(df, named, [quantile], exact_rows=exact_rows)
+    return {c: found[0] for c, found in table.items()}
+
+
+@dataclass
+class _Sought:
+    """A value sought by its 0-based rank among the ``rows`` values between two bounds, ends excluded."""
+
+    column: str
+    rank: int
+    rows: int
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def inside(self) -> Column:
+        v = F.col(self.column)
+        test = v.isNotNull()
+        if self.low is not None:
+            test = test & (v > self.low)
+        if self.high is not None:
+            test = test & (v < self.high)
+        return F.when(test, v)
+
+    def narrow(self, low: float, high: float, counts: tuple[int, ...]) -> None:
+        """``counts``: rows below, at, between, at and above the two bounds."""
+        zones = [(self.low, low, None), (None, None, low), (low, high, None), (None, None, high), (high, self.high, None)]
+        for (a, b, value), count in zip(zones, counts):
+            if self.rank < count:
+                self.low, self.high, self.value, self.rows = a, b, value, count
+                return
+            self.rank -= count
+
+
+def exact_quantile_table(
+    df: DataFrame,
+    columns: dict[str, Column],
+    quantiles: list[float],
+    *,
+    exact_rows: int = EXACT_PERCENTILE_ROWS,
+) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles of several columns, exact, with bounded memory in every task.
+
+    For each column the order statistics around each quantile are sought, all of them together. A round
+    brackets each by ``percentile_approx``, counts the rows at and between the brackets, and goes on
+    inside, about a thousandth of the rows, until ``exact_rows`` are left, which ``percentile`` takes. The
+    number of jobs depends on the logarithm of the rows and not on columns or quantiles. Nulls are left out.
+    """
+    names = {f"v{k}": name for k, name in enumerate(columns)}
+    values = df.select(*[columns[name].cast("double").alias(v) for v, name in names.items()])
+    totals = values.agg(*[F.count(v).alias(v) for v in names]).first().asDict()
+    sought: dict[tuple[str, int], _Sought] = {}
+    for v, total in totals.items():
+        for q in quantiles if total else []:
+            rank = int(q * (total - 1))
+            for r in {rank, min(rank + 1, total - 1)}:
+                sought[v, r] = _Sought(v, r, total)
+    wide = [s for s in sought.values() if s.rows > exact_rows]
+    if wide:
+        values = cut_lineage(values)
+    while wide:
+        brackets = []
+        for s in wide:
+            share = s.rank / (s.rows - 1)
+            ends = F.lit([max(0.0, share - 0.001), min(1.0, share + 0.001)]).cast("array<double>")
+            brackets.append(F.percentile_approx(s.inside(), ends, F.lit(10_000)))
+        bounds = values.agg(*[b.alias(f"b{k}") for k, b in enumerate(brackets)]).first()
+        tests = []
+        for s, (low, high) in zip(wide, bounds):
+            v = s.inside()
+            at_high = (v == high) if high > low else F.lit(False)
+            tests += [v < low, v == low, (v > low) & (v < high), at_high, v > high]
+        counts = values.agg(*[F.count_if(t).alias(f"c{k}") for k, t in enumerate(tests)]).first()
+        for k, (s, (low, high)) in enumerate(zip(wide, bounds)):
+            s.narrow(low, high, counts[5 * k : 5 * k + 5])
+        wide = [s for s in wide if s.value is None and s.rows > exact_rows]
+    few = [s for s in sought.values() if s.value is None]
+    if few:
+        shares = [F.lit(s.rank / (s.rows - 1) if s.rows > 1 else 0.0) for s in few]
+        row = values.agg(*[F.percentile(s.inside(), p).alias(f"p{k}") for k, (s, p) in enumerate(zip(few, shares))])
+        for s, value in zip(few, row.first()):
+            s.value = float(value)
+    table: dict[str, list[float | None]] = {}
+    for v, name in names.items():
+        table[name] = []
+        for q in quantiles:
+            if not totals[v]:
+                table[name].append(None)
+                continue
+            position = q * (totals[v] - 1)
+            low = sought[v, int(position)].value
+            high = sought[v, min(int(position) + 1, totals[v] - 1)].value
+            step = position - int(position)
+            table[name].append(low + (high - low) * step if step else low)
+    return table
 
 
 def with_running_sums(
@@ -305,7 +362,7 @@ def with_running_sums(
         for m in measures
     }
     return (
-        bucketed.join(carried, [*keys, "_bucket"])
+        null_safe_join(bucketed, carried, [*keys, "_bucket"])
         .withColumns(totals)
         .drop("_bucket", *[f"_carry_{m}" for m in measures])
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netspark.functions.calendar import time_window
+#: Bins that are made from one row.
+GAP_PIECE = 10_000
 
 
 def traffic_volume(packets: DataFrame, *, seconds: float = 60) -> DataFrame:
@@ -21,13 +22,16 @@ def traffic_volume_levels(
 
     Each later level must be a multiple of the first.
     """
-    finest = packets.groupBy(time_window(F.col("timestamp"), levels[0]).alias("fine")).agg(
+    finest = packets.groupBy(F.floor(F.col("timestamp") / F.lit(float(levels[0]))).alias("fine")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    number = lambda seconds: F.floor(F.col("fine") / F.lit(float(seconds)))
+    whole = all(float(s).is_integer() for s in levels)
     slots = F.array(
         *[
-            F.struct(F.lit(int(s)).alias("level_seconds"), number(s).alias("_bin"))
+            F.struct(
+                F.lit(int(s) if whole else float(s)).alias("level_seconds"),
+                F.floor(F.col("fine") / F.lit(round(s / levels[0]))).alias("_bin"),
+            )
             for s in levels
         ]
     )
@@ -43,19 +47,24 @@ def traffic_volume_levels(
 def fill_bins(counts: DataFrame) -> DataFrame:
     """Add the empty bins after each bin, up to the next one.
 
-    The window sees one row per bin that has packets, never packets.
+    The window sees one row per bin that has packets, never packets. A gap is cut into pieces of
+    GAP_PIECE bins, and those are dealt out before their bins are made, so no row holds a whole gap.
     """
     following = Window.partitionBy("level_seconds").orderBy("_bin")
     until = F.coalesce(F.lead("_bin").over(following), F.col("_bin") + 1) - 1
-    filled = counts.withColumn("_until", until).select(
-        "level_seconds",
-        F.posexplode(F.sequence("_bin", "_until")).alias("_empty", "_at"),
-        "packet_count",
+    spans = counts.withColumn("_until", until)
+    # Pieces of pieces: each array is short, also for a gap of many thousand million bins.
+    outer = F.explode(F.sequence("_bin", "_until", F.lit(GAP_PIECE * GAP_PIECE)))
+    coarse = spans.withColumn("_from", outer).withColumn(
+        "_to", F.least("_until", F.col("_from") + GAP_PIECE * GAP_PIECE - 1)
     )
-    return filled.select(
+    pieces = coarse.withColumn("_piece", F.explode(F.sequence("_from", "_to", F.lit(GAP_PIECE))))
+    dealt = pieces.repartition("level_seconds", "_piece")
+    bins = F.explode(F.sequence("_piece", F.least("_to", F.col("_piece") + GAP_PIECE - 1)))
+    return dealt.withColumn("_at", bins).select(
         "level_seconds",
         (F.col("_at") * F.col("level_seconds")).cast("double").alias("bin_start"),
-        F.when(F.col("_empty") == 0, F.col("packet_count")).otherwise(0).alias("packet_count"),
+        F.when(F.col("_at") == F.col("_bin"), F.col("packet_count")).otherwise(0).alias("packet_count"),
     )
 
 

@@ -9,6 +9,8 @@ from netspark.plans.registry import query
 from netspark.session import cut_lineage, scratch_path
 
 _EMB = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS features, label FROM embeddings)"
+_EMB_WITH_LABEL = """e AS (SELECT vec_id AS id, label,
+  list_append(CAST(embedding AS DOUBLE[]), CAST(label AS DOUBLE)) AS features FROM embeddings)"""
 _LONG = (
     "l AS (SELECT id, label, unnest(features) AS x, generate_subscripts(features, 1) - 1 AS position FROM e)"
 )
@@ -96,15 +98,19 @@ def pca_k(inputs):
 
 @query(
     "select_k_best",
-    oracle=f"""WITH {_EMB}, {_LONG}, c AS (SELECT position, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v
-          FROM l GROUP BY ALL),
-        f AS (SELECT position, ((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1))
-          / (sum(n * v) / (sum(n) - count(*))) AS f_value FROM c GROUP BY position)
+    oracle=f"""WITH {_EMB_WITH_LABEL}, {_LONG}, c AS (SELECT position, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY ALL),
+        g AS (SELECT position, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) AS between_classes,
+          sum(n * v) / (sum(n) - count(*)) AS within_classes FROM c GROUP BY position),
+        f AS (SELECT position, CASE WHEN within_classes > 0 THEN between_classes / within_classes
+          WHEN between_classes > 0 THEN CAST('Infinity' AS DOUBLE) END AS f_value FROM g)
       SELECT position, f_value FROM f ORDER BY f_value DESC, position LIMIT 10""",
     floats="f_value",
 )
 def select_k_best(inputs):
-    best = reduce.f_statistics(embeddings(inputs)).orderBy(F.desc("f_value"), "position").limit(10)
+    """The last feature separates the classes perfectly: its F is infinite."""
+    df = embeddings(inputs)
+    df = df.withColumn("features", F.array_append("features", F.col("label").cast("double")))
+    best = reduce.f_statistics(df).orderBy(F.desc("f_value"), "position").limit(10)
     return best.withColumn("position", F.col("position").cast("bigint"))
 
 

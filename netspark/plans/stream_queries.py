@@ -29,16 +29,9 @@ def arrive(inputs, table: str = "packets") -> str:
     return path
 
 
-def _partitions(inputs) -> int | None:
-    """Few state partitions where all tasks share one machine."""
-    return 4 if inputs.spark.sparkContext.master.startswith("local") else None
-
-
 def _drain(inputs, stream, write, name, **options):
     checkpoint = scratch_path(inputs.spark, f"{name}-checkpoint")
-    running = streams.write_batches(
-        stream, write, checkpoint, state_partitions=_partitions(inputs), **options
-    )
+    running = streams.write_batches(stream, write, checkpoint, **options)
     running.awaitTermination()
     if running.exception() is not None:
         raise running.exception()
@@ -130,15 +123,20 @@ def stream_inter_arrival(inputs):
     return streams.gap_statistics(state)
 
 
+#: Packets of one file that arrives in time order.
+ORDERED_FILE_ROWS = 500_000
+
+
 def arrive_in_order(inputs) -> str:
-    """One file per arrival, so that no micro-batch sees a later packet first."""
+    """One file per arrival, of bounded size, so that no micro-batch sees a later packet first."""
     path = scratch_path(inputs.spark, "ordered")
     packets = inputs.view("packets")
-    low, high = packets.agg(F.min("timestamp"), F.max("timestamp")).first()
-    step = (high - low) / ARRIVALS
-    for i in range(ARRIVALS):
+    low, high, rows = packets.agg(F.min("timestamp"), F.max("timestamp"), F.count(F.lit(1))).first()
+    arrivals = max(ARRIVALS, -(-rows // ORDERED_FILE_ROWS))
+    step = (high - low) / arrivals
+    for i in range(arrivals):
         part = al.time_range(packets, start=low + i * step)
-        if i + 1 < ARRIVALS:
+        if i + 1 < arrivals:
             part = part.filter(F.col("timestamp") < low + (i + 1) * step)
         part.coalesce(1).write.mode("append").option("header", True).csv(path)
     return path

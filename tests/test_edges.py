@@ -185,13 +185,13 @@ def test_vocabulary_is_limited(spark):
 def test_traffic_around_counts_both_ends(packets, spark):
     table = packets([(i, i, "a", "b", {"length": 10}) for i in range(20)] + [(99, 5, "a", "c")])
     alerts = spark.createDataFrame(
-        [(1, 5.0, "a", "b"), (2, 5.0, "a", "b"), (3, 0.0, "a", "b"), (4, 5.0, None, "b")],
+        [(1, 5.0, "a", "b"), (2, 5.0, "a", "b"), (3, 0.0, "a", "b"), (4, 5.0, None, "b"), (5, None, "a", "b")],
         "alert_id bigint, timestamp double, src_ip string, dst_ip string",
     )
     for options in ({}, {"max_bucket_rows": 6}):
         found = al.traffic_around(alerts, table, around_seconds=2, **options).collect()
         assert {r.alert_id: (r.packets_around, r.bytes_around) for r in found} == {
-            1: (5, 50), 2: (5, 50), 3: (3, 30)}
+            1: (5, 50), 2: (5, 50), 3: (3, 30), 4: (0, 0), 5: (0, 0)}
 
 
 def test_long_port_run_and_logins(packets):
