@@ -65,7 +65,8 @@ class AnomalyDetector:
     ) -> AnomalyDetector:
         if model_type not in MODEL_TYPES:
             raise ValueError(f"unknown model type {model_type!r}")
-        rows = df.select("id", "features")
+        # Every step of the fit reads the rows, and what makes them may be costly.
+        rows = cut_lineage(df.select("id", "features"))
         scaler = Scaler.fit(rows)
         projection = None
         if use_pca:

@@ -185,12 +185,13 @@ def monitor_files(
     *,
     once: bool = True,
 ) -> StreamingQuery:
-    """Arriving packet files to alerts, routes and outbound batches."""
+    """Arriving packet files to alerts, routes and outbound batches; any type of model."""
     preprocessor = PipelineModel.load(f"{run_path}/preprocessor")
     detector = det.AnomalyDetector.load(spark, model_path)
     arriving = readers.read_packet_stream(spark, source)
-    scored = detect_packets(arriving, preprocessor, detector)
-    return streams.write_batches(scored, streams.alert_writer(target), checkpoint, once=once)
+    score = lambda packets: detect_packets(packets, preprocessor, detector)
+    write = streams.after(score, streams.alert_writer(target))
+    return streams.write_batches(arriving, write, checkpoint, once=once)
 
 
 def report_files(

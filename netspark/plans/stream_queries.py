@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from netspark.ml import detector as det
 from netspark.ml import preprocess
 from netspark.operators import alerts as al
+from netspark.plans import jobs
 from netspark.plans.feature_queries import _IAT
 from netspark.plans.registry import query
 from netspark.session import scratch_path
@@ -151,9 +152,9 @@ def stream_alerts(inputs):
     ready = preprocess.apply_preprocessor(model, packets).withColumnRenamed("packet_id", "id")
     detector = det.AnomalyDetector.fit(ready, det.FOREST, contamination=0.1)
     arriving = readers.read_packet_stream(inputs.spark, arrive(inputs))
-    features = preprocess.apply_preprocessor(model, arriving).withColumn("id", F.col("packet_id"))
+    score = lambda batch: jobs.detect_packets(batch, model, detector)
     path = scratch_path(inputs.spark, "stream-alerts")
-    _drain(inputs, detector.transform(features), streams.alert_writer(path), "alerts")
+    _drain(inputs, arriving, streams.after(score, streams.alert_writer(path)), "alerts")
     return inputs.spark.read.parquet(f"{path}/alerts").drop("batch")
 
 

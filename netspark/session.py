@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         SparkSession.builder.master(f"local[{cores}]")
         .appName("netspark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -64,7 +67,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     All paths of one application are in one folder, which may go once it has ended.
     """
     application = spark.sparkContext.applicationId
-    return f"{shared_dir(spark).rstrip('/')}/{application}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{application}/{name}-{uuid.uuid4().hex}"
+    for opened in _SCOPES.get(threading.get_ident(), ()):
+        opened.append(path)
+    return path
+
+
+#: By thread, the open scopes and the scratch tables made in each.
+_SCOPES: dict[int, list[list[str]]] = {}
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Frees the scratch tables that this thread makes inside, once they are no longer needed.
+
+    Results must have been written elsewhere, or collected, before the end.
+    """
+    mine: list[str] = []
+    scopes = _SCOPES.setdefault(threading.get_ident(), [])
+    scopes.append(mine)
+    try:
+        yield
+    finally:
+        scopes.pop()
+        for path in mine:
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this application wrote, wherever it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

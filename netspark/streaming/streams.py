@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from netspark.functions import calendar
 from netspark.operators import alerts as al
 from netspark.operators import intel, ordering
+from netspark.session import remove_folder, scratch_scope
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "2 minutes"
@@ -165,6 +166,21 @@ def alert_writer(path: str, *, channels=None, document=None, batch_size: int = 5
     return write
 
 
+def after(
+    change: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]
+) -> Callable[[DataFrame, int], None]:
+    """Change each micro-batch as an ordinary table, then write it; scratch tables go with the batch.
+
+    Models that store tables or join them, such as the outlier factor, work here and not on a stream.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            write(change(batch), batch_id)
+
+    return run
+
+
 def enrich(alerts: DataFrame, threat_db: DataFrame, blocklist: DataFrame) -> DataFrame:
     """Stream-static lookups: indicators and blocklist on each alert."""
     return intel.flag_blocklisted(intel.enrich_alerts(alerts, threat_db), blocklist)
@@ -172,7 +188,7 @@ def enrich(alerts: DataFrame, threat_db: DataFrame, blocklist: DataFrame) -> Dat
 
 # --- gaps between packets across micro-batches ------------------------------------------
 
-_STATE = "src_ip string, last double, n bigint, mean double, m2 double, low double, high double"
+_STATE = "src_ip string, last double, n bigint, mean double, m2 double, low double, high double, late bigint"
 
 
 def _merge(state: DataFrame, news: DataFrame) -> DataFrame:
@@ -194,21 +210,24 @@ def _merge(state: DataFrame, news: DataFrame) -> DataFrame:
         (F.coalesce("s.m2", F.lit(0.0)) + F.coalesce("b.m2", F.lit(0.0)) + both).alias("m2"),
         F.least("s.low", "b.low").alias("low"),
         F.greatest("s.high", "b.high").alias("high"),
+        (F.coalesce("s.late", zero) + F.coalesce("b.late", zero)).cast("bigint").alias("late"),
     )
 
 
-def update_gaps(batch: DataFrame, state: DataFrame) -> DataFrame:
+def update_gaps(batch: DataFrame, state: DataFrame, *, expire_seconds: float | None = None) -> DataFrame:
     """The state after a batch.
 
     Each known source enters the batch with the time of its last packet, so the first
-    gap is measured across batches. A row older than that is late and left out.
+    gap is measured across batches. A row older than that is late: it is counted in
+    ``late`` and left out. A source that has been silent for longer than
+    ``expire_seconds``, measured from the newest packet, is dropped; if it comes back, it
+    starts anew.
     """
     rows = batch.filter(F.col("src_ip").isNotNull()).select("packet_id", "timestamp", "src_ip")
-    rows = (
-        rows.join(state.select("src_ip", "last"), "src_ip", "left")
-        .filter(F.col("last").isNull() | (F.col("timestamp") >= F.col("last")))
-        .drop("last")
-    )
+    dated = rows.join(state.select("src_ip", "last"), "src_ip", "left")
+    in_time = F.col("last").isNull() | (F.col("timestamp") >= F.col("last"))
+    late = dated.filter(~in_time).groupBy("src_ip").agg(F.count(F.lit(1)).alias("late"))
+    rows = dated.filter(in_time).drop("last")
     seeds = state.join(rows.select("src_ip"), "src_ip", "left_semi").select(
         F.lit(-1).cast("bigint").alias("packet_id"), F.col("last").alias("timestamp"), "src_ip"
     )
@@ -226,11 +245,16 @@ def update_gaps(batch: DataFrame, state: DataFrame) -> DataFrame:
             F.max("gap").alias("high"),
         )
     )
-    return _merge(state, news)
+    merged = _merge(state, news.join(late, "src_ip", "full"))
+    if expire_seconds is None:
+        return merged
+    times = batch.agg(F.max("timestamp").alias("t")).unionAll(state.agg(F.max("last").alias("t")))
+    newest = times.agg(F.max("t").alias("t")).first().t
+    return merged if newest is None else merged.filter(F.col("last") >= newest - expire_seconds)
 
 
-def gap_state_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """State as one table per batch: read the last one, write the next.
+def gap_state_writer(path: str, *, expire_seconds: float | None = None) -> Callable[[DataFrame, int], None]:
+    """State as one table per batch: read the last one, write the next, drop the one before the last.
 
     Every batch is an ordinary distributed job, so one busy source does not end up in a
     single stateful task.
@@ -242,7 +266,12 @@ def gap_state_writer(path: str) -> Callable[[DataFrame, int], None]:
             state = spark.createDataFrame([], _STATE)
         else:
             state = spark.read.schema(_STATE).parquet(batch_folder(path, batch_id - 1))
-        update_gaps(batch, state).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        with scratch_scope(spark):
+            after_batch = update_gaps(batch, state, expire_seconds=expire_seconds)
+            after_batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        # The state before is kept: a batch that is replayed starts from it.
+        if batch_id >= 2:
+            remove_folder(spark, batch_folder(path, batch_id - 2))
 
     return write
 

@@ -48,6 +48,22 @@ def test_preprocess_train_detect_monitor_report(spark, work):
     assert sum(document["severity"].values()) == alerts.count()
 
 
+@pytest.mark.parametrize("kind", ["one_class_svm", "lof", "ensemble"])
+def test_monitor_with_every_model(spark, work, tmp_path, kind):
+    path = lambda name: str(tmp_path / name)
+    packets = spark.read.option("header", True).csv(str(work / "csv")).limit(300)
+    packets.repartition(2).write.option("header", True).csv(path("csv"))
+    main(["preprocess", "--source", path("csv"), "--target", path("processed"), "--run-id", "r1"])
+    run = path("processed/run_id=r1")
+    main(["train", "--features", f"{run}/matrix", "--model", path("model"), "--metrics", path("metrics"),
+          "--run-id", "r1", "--type", kind])
+    main(["detect", "--source", path("csv"), "--run", run, "--model", path("model"), "--target", path("found")])
+    main(["monitor", "--source", path("csv"), "--run", run, "--model", path("model"),
+          "--target", path("live"), "--checkpoint", path("live-checkpoint")])
+    alerts = spark.read.parquet(path("live/alerts"))
+    assert alerts.count() == spark.read.parquet(path("found")).filter("prediction = -1").count()
+
+
 def test_features(spark, work):
     main(["features", "--source", str(work / "csv"), "--target", str(work / "features"), "--run-id", "r1", "--k", "4"])
     table = spark.read.parquet(str(work / "features/run_id=r1"))

@@ -111,3 +111,35 @@ def test_settings_come_back(spark):
 def test_alert_union_keeps_rows(packets):
     a, b = packets([(1, 1, "a", "b")]), packets([(2, 2, "a", "b")]).drop("ttl")
     assert al.union_traffic(a, b).orderBy("packet_id").select("ttl").collect() == [(64,), (None,)]
+
+
+def test_gap_state_counts_late_rows_and_expires(spark, tmp_path):
+    path = str(tmp_path / "gaps")
+    write = streams.gap_state_writer(path, expire_seconds=50)
+    schema = "packet_id long, timestamp double, src_ip string"
+    batches = [
+        [(1, 0.0, "a"), (2, 4.0, "a"), (3, 1.0, "b")],
+        [(4, 2.0, "a"), (5, 10.0, "a"), (6, 9.0, None)],
+        [(7, 100.0, "a")],
+        [(8, 101.0, "b"), (9, 103.0, "b")],
+    ]
+    for number, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), number)
+        state = spark.read.parquet(streams.batch_folder(path, number)).collect()
+        found = {r.src_ip: (r.last, r.n, r.low, r.high, r.late) for r in state}
+        if number == 1:
+            assert found == {"a": (10.0, 2, 4.0, 6.0, 1), "b": (1.0, 0, None, None, 0)}
+    assert found == {"a": (100.0, 3, 4.0, 90.0, 1), "b": (103.0, 1, 2.0, 2.0, 0)}
+    assert sorted(p.name for p in (tmp_path / "gaps").iterdir()) == ["batch=2", "batch=3"]
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from netspark.session import cut_lineage, scratch_scope
+
+    kept = cut_lineage(spark.range(3).toDF("x"))
+    with scratch_scope(spark):
+        gone = cut_lineage(spark.range(3).toDF("x"))
+        assert gone.count() == 3
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0]).count()
