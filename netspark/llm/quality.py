@@ -30,7 +30,7 @@ SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 12
 FIT_SEED = 7
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 300_000
 
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)

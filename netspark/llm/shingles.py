@@ -11,7 +11,7 @@ from netspark.llm.workers import worker_state
 
 WORD = re.compile(r"\w+")
 #: Words whose hash a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 

@@ -32,7 +32,7 @@ COVERED = 13
 #: Bits of the bitmap: 2 MB whatever the benchmark's size; a full one only lets more windows into the join.
 BITMAP_BITS = 1 << 24
 #: Tokens that a worker remembers.
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 300_000
 
 # Common units of measure and money.
 UNITS = set(

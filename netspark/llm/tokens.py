@@ -18,7 +18,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from netspark.llm.workers import worker_state
 
 #: Pieces that a worker remembers (about 0.2 kB each); a full memory starts anew.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 #: Letters up to U+024F, which need no composing, and up to eight marks behind them.
 WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([#*&%$!.,;:?|]{0,8})")
 #: Longer pieces are encoded each time.

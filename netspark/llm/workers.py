@@ -25,14 +25,17 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def worker_state(name: str, make: Callable[[], Any]) -> Any:
-    """An object that lasts as long as the worker process, such as a tokenizer with its word cache.
+    """An object that outlives its task, such as a tokenizer with its word cache.
 
-    Functions that travel by value get new globals with each task, so it is kept in a module of its own.
+    Functions that travel by value get new globals with each task, so it is kept in a module of its own. A
+    worker process serves one operator after the other; only the state that was asked for last is kept.
     """
     holder = sys.modules.setdefault("netspark_worker_state", types.ModuleType("netspark_worker_state"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    known = getattr(holder, "state", None)
+    if known is None or known[0] != name:
+        holder.state = known = None
+        holder.state = known = (name, make())
+    return known[1]
 
 
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
