@@ -25,7 +25,10 @@ def parser() -> argparse.ArgumentParser:
 
     job("capture", "source", "target", run=True)
     job("preprocess", "source", "target", run=True).add_argument("--window", type=float, default=60)
-    job("features", "source", "target", run=True).add_argument("--k", type=int)
+    features = job("features", "source", "target", run=True)
+    features.add_argument("--k", type=int)
+    features.add_argument("--centralities", action="store_true")
+    features.add_argument("--pivots", type=int)
     train = job("train", "features", "model", "metrics", run=True)
     train.add_argument("--labels")
     train.add_argument("--type", choices=MODEL_TYPES, default=FOREST)
@@ -48,7 +51,9 @@ def main(arguments: list[str] | None = None) -> None:
     elif a.job == "preprocess":
         jobs.preprocess_files(spark, a.source, a.target, a.run_id, window_seconds=a.window)
     elif a.job == "features":
-        jobs.feature_files(spark, a.source, a.target, a.run_id, k=a.k)
+        jobs.feature_files(
+            spark, a.source, a.target, a.run_id, k=a.k, centralities=a.centralities, pivots=a.pivots
+        )
     elif a.job == "train":
         jobs.train_files(
             spark,

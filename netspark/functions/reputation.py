@@ -109,7 +109,7 @@ def votes_result(body: Column) -> Column:
         VOTES_LIMIT,
         F.coalesce(names, _no_categories()),
         _location(country=attributes["country"], isp=attributes["as_owner"]),
-        F.lit(None).cast("string"),
+        attributes["last_analysis_date"],
     )
 
 

@@ -154,15 +154,30 @@ def reputation_rollup(
 
 
 def fresh_reputation(
-    addresses: DataFrame, results: DataFrame, *, now: float, ttl_seconds: float = FRESH_SECONDS
+    addresses: DataFrame,
+    results: DataFrame,
+    *,
+    now: float,
+    ttl_seconds: float = FRESH_SECONDS,
+    tie: str = "provider",
 ) -> DataFrame:
-    """Each address with its latest result if that is younger than the time to live."""
-    latest = results.groupBy("ip").agg(F.max("collected_at").alias("collected_at"))
-    age = F.lit(float(now)) - F.col("collected_at")
-    return addresses.select("ip").distinct().join(latest, "ip", "left").select(
+    """Each address with its latest result, to be used again while it is younger than the time to live.
+
+    ``collected_at`` is the time of the latest result, of several at that time the one with the
+    smallest ``tie``; its other columns are null once it is no longer fresh.
+    """
+    parts = [c for c in results.columns if c not in ("ip", "collected_at")]
+    latest = results.groupBy("ip").agg(
+        F.min_by(F.struct("collected_at", *parts), F.struct(-F.col("collected_at"), tie)).alias("_latest")
+    )
+    joined = addresses.select("ip").distinct().join(latest, "ip", "left")
+    age = F.lit(float(now)) - F.col("_latest.collected_at")
+    fresh = F.coalesce(age < ttl_seconds, F.lit(False))
+    return joined.select(
         "ip",
-        "collected_at",
-        F.coalesce(age < ttl_seconds, F.lit(False)).alias("is_fresh"),
+        F.col("_latest.collected_at").alias("collected_at"),
+        fresh.alias("is_fresh"),
+        *[F.when(fresh, F.col(f"_latest.{c}")).alias(c) for c in parts],
     )
 
 

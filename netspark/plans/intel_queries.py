@@ -185,9 +185,11 @@ def blocklist_clean(inputs):
     "reputation_freshness",
     oracle=f"""WITH i AS (SELECT src_ip AS ip FROM packets WHERE src_ip IS NOT NULL
           UNION SELECT dst_ip FROM packets WHERE dst_ip IS NOT NULL),
-        l AS (SELECT ip, max(collected_at) AS collected_at FROM reputation_feeds GROUP BY ip)
-      SELECT ip, collected_at, coalesce({NOW} - collected_at < 86400, FALSE) AS is_fresh
-      FROM i LEFT JOIN l USING (ip)""",
+        l AS (SELECT * FROM reputation_feeds
+          QUALIFY row_number() OVER (PARTITION BY ip ORDER BY collected_at DESC, provider) = 1),
+        f AS (SELECT i.ip, collected_at, provider, body, coalesce({NOW} - collected_at < 86400, FALSE) AS is_fresh FROM i LEFT JOIN l USING (ip))
+      SELECT ip, collected_at, is_fresh, CASE WHEN is_fresh THEN provider END AS provider,
+        CASE WHEN is_fresh THEN body END AS body FROM f""",
 )
 def reputation_freshness(inputs):
     addresses = graph.distinct_endpoints(inputs.view("packets"))

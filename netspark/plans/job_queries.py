@@ -1,7 +1,7 @@
 """Whole-feature jobs."""
 
 from netspark.plans import jobs
-from netspark.plans.feature_queries import _DEGREES, _IAT, _KEYED
+from netspark.plans.feature_queries import _DEGREES, _IAT, _KEYED, _SIZE_RATIOS, _SIZE_SUMS
 from netspark.plans.registry import query
 
 
@@ -10,13 +10,16 @@ from netspark.plans.registry import query
     oracle=f"""WITH {_KEYED}, {_DEGREES}, i AS ({_IAT}),
         g AS (SELECT src_ip, avg(inter_arrival_time) AS mean_inter_arrival FROM i WHERE src_ip IS NOT NULL
               GROUP BY src_ip),
+        z AS (SELECT flow, time_window, {_SIZE_SUMS}, {_SIZE_RATIOS} FROM keyed WHERE flow IS NOT NULL GROUP BY ALL),
         c AS (SELECT src_ip, count(*) AS packet_count FROM packets WHERE src_ip IS NOT NULL GROUP BY src_ip)
       SELECT packet_id, CAST(hour(make_timestamp(CAST(round(timestamp * 1000000) AS BIGINT))) AS INT) AS hour,
         coalesce(src_port >= 49152, FALSE) AS src_port_dynamic, length_count, byte_rate, mean_inter_arrival,
-        packet_count, s.degree AS src_degree, d.degree AS dst_degree
-      FROM keyed LEFT JOIN flows USING (flow, time_window) LEFT JOIN g USING (src_ip) LEFT JOIN c USING (src_ip)
+        packet_count, s.degree AS src_degree, d.degree AS dst_degree,
+        coalesce(length >= 64 AND length < 256, FALSE) AS packet_size_small, packet_size_small_sum,
+        packet_size_jumbo_sum, ratio_small
+      FROM keyed LEFT JOIN z USING (flow, time_window) LEFT JOIN flows USING (flow, time_window) LEFT JOIN g USING (src_ip) LEFT JOIN c USING (src_ip)
       LEFT JOIN nodes s ON src_ip = s.ip LEFT JOIN nodes d ON dst_ip = d.ip""",
-    floats="byte_rate mean_inter_arrival",
+    floats="byte_rate mean_inter_arrival ratio_small",
 )
 def extract_all_features_job(inputs):
     table = jobs.packet_feature_table(inputs.view("packets"))
@@ -30,6 +33,10 @@ def extract_all_features_job(inputs):
         "packet_count",
         "src_degree",
         "dst_degree",
+        "packet_size_small",
+        "packet_size_small_sum",
+        "packet_size_jumbo_sum",
+        "ratio_small",
     )
 
 

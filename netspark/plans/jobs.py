@@ -19,17 +19,24 @@ from netspark.streaming import streams
 
 
 def packet_feature_table(
-    packets: DataFrame, *, window_seconds: float = 60, centralities: bool = False
+    packets: DataFrame,
+    *,
+    window_seconds: float = 60,
+    centralities: bool = False,
+    pivots: int | None = None,
 ) -> DataFrame:
     """All feature groups at packet grain, joined by key and never by row position.
 
     Flow-grain groups join on (flow, time_window), address-grain groups on the address.
+    ``centralities`` adds all node measures to both ends; they take a search from every node,
+    or betweenness one from ``pivots`` of them.
     """
     base = flows.with_flow_keys(packets, window_seconds=window_seconds).withColumns(
         {
             **calendar.calendar_features(F.col("timestamp")),
             **network.port_classes("src_port", F.col("src_port")),
             **network.port_classes("dst_port", F.col("dst_port")),
+            **network.size_classes(F.col("length")),
         }
     )
     # Three consumers (two quantiles and the join) share the flow table.
@@ -38,9 +45,13 @@ def packet_feature_table(
     )
     entropy = flows.port_entropy_by_flow(packets, window_seconds=window_seconds)
     limits = flows.flow_thresholds(flow_table)
+    # Lengths are in the flow table already.
+    patterns = flows.packet_pattern_stats(packets, window_seconds=window_seconds)
+    patterns = patterns.drop(*[c for c in patterns.columns if c.startswith("length_")])
     flow_grain = flows.flow_behavior(flow_table, limits).join(entropy, flows.FLOW_KEYS, "left")
+    flow_grain = flow_grain.join(patterns, flows.FLOW_KEYS, "left")
     edges = graph.weighted_edges(packets)
-    nodes = graph.node_metrics(edges) if centralities else graph.degrees(edges)
+    nodes = graph.node_metrics(edges, pivots=pivots) if centralities else graph.degrees(edges)
     source_grain = flows.port_scan_behavior(packets).join(
         flows.inter_arrival_stats(packets), "src_ip", "left"
     )
@@ -117,10 +128,18 @@ def capture_files(spark: SparkSession, source: str, target: str, run_id: str) ->
 
 
 def feature_files(
-    spark: SparkSession, source: str, target: str, run_id: str, *, k: int | None = None
+    spark: SparkSession,
+    source: str,
+    target: str,
+    run_id: str,
+    *,
+    k: int | None = None,
+    centralities: bool = False,
+    pivots: int | None = None,
 ) -> str | None:
     """Packet CSV to the joined feature table, or to its k components."""
-    table = packet_feature_table(readers.read_packets_csv(spark, source))
+    packets = readers.read_packets_csv(spark, source)
+    table = packet_feature_table(packets, centralities=centralities, pivots=pivots)
     return sinks.write_run(table if k is None else reduce_feature_table(table, k=k), target, run_id)
 
 

@@ -105,6 +105,7 @@ VOTES_BODY = T.StructType(
                                 ),
                                 T.StructField("country", T.StringType()),
                                 T.StructField("as_owner", T.StringType()),
+                                T.StructField("last_analysis_date", T.StringType()),
                             ]
                         ),
                     )
