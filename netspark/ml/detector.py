@@ -228,8 +228,12 @@ class AnomalyDetector:
 
 
 def hash_split(df: DataFrame, *, id_column: str = "id", test_percent: int = 20, seed: int = 42):
-    """(train, test): the same rows on every run and for every partitioning."""
-    bucket = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(100))
+    """(train, test): the same rows on every run and for every partitioning.
+
+    The bucket is the start of the MD5 of id and seed as text, which other engines compute as well.
+    """
+    digest = F.md5(F.concat_ws("-", F.col(id_column).cast("string"), F.lit(str(seed))))
+    bucket = F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % 100
     return df.filter(bucket >= test_percent), df.filter(bucket < test_percent)
 
 

@@ -92,16 +92,19 @@ def _without_loops(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst"))
 
 
-def closeness(edges: DataFrame) -> DataFrame:
+def closeness(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
     """(r / D) * (r / (n - 1)) from the hop distances of the r nodes that reach a node.
 
-    Breadth-first search from all nodes at once; a round advances every search one hop.
+    Breadth-first search from all nodes at once; a round advances every search one hop. The table of
+    distances has nodes x sources rows: ``pivots`` takes that many sources (by hash) and estimates r from
+    the share of the others that reach a node.
     """
     edges = _stored(edges)
     hops = cut_lineage(_without_loops(edges).select("src", "dst").distinct())
     nodes = cut_lineage(_nodes(edges))
     n = nodes.count()
-    reached = nodes.select(F.col("ip").alias("s"), F.col("ip").alias("v"), F.lit(0).alias("d"))
+    sources = _sources(nodes, n, pivots)
+    reached = sources.select(F.col("ip").alias("s"), F.col("ip").alias("v"), F.lit(0).alias("d"))
     frontier, depth = reached, 0
     while True:
         depth += 1
@@ -121,12 +124,21 @@ def closeness(edges: DataFrame) -> DataFrame:
         .groupBy(F.col("v").alias("ip"))
         .agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("t"))
     )
-    share = (F.col("r") / F.col("t")) * (F.col("r") / F.lit(max(n - 1, 1)))
-    return nodes.join(totals, "ip", "left").select(
+    sampled = sources.withColumn("_own", F.lit(1))
+    # Sources other than the node itself, of n - 1 in all.
+    others = F.lit(min(n, pivots or n)) - F.coalesce("_own", F.lit(0))
+    share = (F.col("r") / F.col("t")) * (F.col("r") / F.greatest(others, F.lit(1)))
+    return nodes.join(totals, "ip", "left").join(sampled, "ip", "left").select(
         "ip", F.coalesce(share, F.lit(0.0)).alias("closeness")
     )
 
 
+def _sources(nodes: DataFrame, n: int, pivots: int | None) -> DataFrame:
+    if pivots is None or pivots >= n:
+        return nodes
+    return cut_lineage(nodes.orderBy(F.xxhash64("ip")).limit(pivots))
+
+
 def _shortest_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(s, v, d) for all reachable pairs; only rows that improved go into the next round."""
     known = sources.select(
@@ -162,9 +174,7 @@ def betweenness(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
     links = _without_loops(edges).select("src", "dst", F.col("weight").cast("double").alias("w"))
     nodes = cut_lineage(_nodes(edges))
     n = nodes.count()
-    sources = nodes
-    if pivots is not None and pivots < n:
-        sources = cut_lineage(nodes.orderBy(F.xxhash64("ip")).limit(pivots))
+    sources = _sources(nodes, n, pivots)
     dist = _shortest_distances(links, sources)
 
     from_end = dist.select("s", F.col("v").alias("src"), F.col("d").alias("du"))
@@ -329,6 +339,6 @@ def node_metrics(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
     return (
         degrees(edges)
         .join(betweenness(edges, pivots=pivots), "ip", "left")
-        .join(closeness(edges), "ip", "left")
+        .join(closeness(edges, pivots=pivots), "ip", "left")
         .join(eigenvector_centrality(edges).drop("converged"), "ip", "left")
     )

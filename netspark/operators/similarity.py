@@ -114,13 +114,12 @@ def fit_terms(
 
 def weights_long(model: TermModel, df: DataFrame, *, id_column: str, text_column: str) -> DataFrame:
     """(id, term, weight) for the terms that occur."""
-    names = F.array(*[F.lit(term) for term in model.terms])
+    names = df.sparkSession.createDataFrame(list(enumerate(model.terms)), "_i int, term string")
     vectors = model.transform(df.select(id_column, text_column), text_column)
-    return (
-        vectors.select(id_column, F.posexplode("vector").alias("_i", "weight"))
-        .filter(F.col("weight") != 0)
-        .select(id_column, names[F.col("_i")].alias("term"), "weight")
-    )
+    cells = F.transform("vector", lambda weight, i: F.struct(i.alias("_i"), weight.alias("weight")))
+    # Absent terms go before rows are made of the cells.
+    present = F.inline(F.filter(cells, lambda cell: cell["weight"] != 0))
+    return vectors.select(id_column, present).join(names, "_i").select(id_column, "term", "weight")
 
 
 def most_similar(

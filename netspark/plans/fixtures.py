@@ -83,10 +83,16 @@ SELECT DISTINCT src_ip AS ip FROM packets WHERE src_ip LIKE '%.1' OR src_ip LIKE
 SELECT ip, provider, collected_at, CASE provider
   WHEN 'fraud' THEN concat('{"fraud_score": ', CAST(o * 37 % 101 AS VARCHAR(10)), ', "proxy": ',
      CASE WHEN o % 2 = 0 THEN 'true' ELSE 'false' END, ', "tor": ',
-     CASE WHEN o % 3 = 0 THEN 'true' ELSE 'false' END, ', "country_code": "C', CAST(o % 3 AS VARCHAR(10)), '"}')
+     CASE WHEN o % 3 = 0 THEN 'true' ELSE 'false' END, ', "vpn": ',
+     CASE WHEN o % 5 = 0 THEN 'true' ELSE 'false' END, ', "bot_status": ',
+     CASE WHEN o % 7 = 0 THEN 'true' ELSE 'false' END, ', "is_crawler": ',
+     CASE WHEN o % 4 = 1 THEN 'true' ELSE 'false' END, ', "recent_abuse": ',
+     CASE WHEN o % 6 = 1 THEN 'true' ELSE 'false' END, ', "country_code": "C', CAST(o % 3 AS VARCHAR(10)), '"}')
   WHEN 'votes' THEN concat('{"data": {"attributes": {"last_analysis_stats": {"malicious": ',
      CAST(o * 5 % 40 AS VARCHAR(10)), ', "suspicious": ', CAST(o % 7 AS VARCHAR(10)),
-     ', "harmless": 20}, "categories": {"a": "Malware Site", "b": "Phishing"}, "country": "C',
+     ', "harmless": 20}, "categories": {"a": "',
+     CASE o % 3 WHEN 0 THEN 'Malware Site' WHEN 1 THEN 'Spam' ELSE 'Known Bad Host' END,
+     '", "b": "Phishing"}, "last_analysis_date": ', CAST(1700000000 + o AS VARCHAR(10)), ', "country": "C',
      CAST(o % 4 AS VARCHAR(10)), '"}}}')
   ELSE concat('{"data": {"abuseConfidenceScore": ', CAST(o * 13 % 101 AS VARCHAR(10)),
      ', "countryCode": "C', CAST(o % 5 AS VARCHAR(10)), '", "isp": "isp', CAST(o % 2 AS VARCHAR(10)),

@@ -20,18 +20,22 @@ _ABUSE = f"""abuse AS (SELECT ip, {_DOUBLE.format('$.data.abuseConfidenceScore')
   FROM reputation_feeds WHERE provider = 'abuse')"""
 
 _VOTES = f"""votes AS (SELECT ip, m, s, CAST(trunc((m + 0.5 * s) / (m + s + h) * 100) AS DOUBLE) AS score,
-    country, names FROM (SELECT ip,
+    country, seen, names FROM (SELECT ip,
       {_DOUBLE.format('$.data.attributes.last_analysis_stats.malicious')} AS m,
       {_DOUBLE.format('$.data.attributes.last_analysis_stats.suspicious')} AS s,
       {_DOUBLE.format('$.data.attributes.last_analysis_stats.harmless')} AS h,
       {_TEXT.format('$.data.attributes.country')} AS country,
-      ['malware_site', 'phishing'] AS names
+      {_TEXT.format('$.data.attributes.last_analysis_date')} AS seen,
+      [replace(lower({_TEXT.format('$.data.attributes.categories.a')}), ' ', '_'),
+       replace(lower({_TEXT.format('$.data.attributes.categories.b')}), ' ', '_')] AS names
   FROM reputation_feeds WHERE provider = 'votes') v)"""
 
+_FLAGS = ", ".join(
+    f"CASE WHEN {_TEXT.format('$.' + field)} = 'true' THEN '{name}' END" for field, name in reputation.FRAUD_FLAGS
+)
 _FRAUD = f"""fraud AS (SELECT ip, {_DOUBLE.format('$.fraud_score')} AS score,
   {_TEXT.format('$.country_code')} AS country,
-  list_filter([CASE WHEN {_TEXT.format('$.proxy')} = 'true' THEN 'proxy' END,
-               CASE WHEN {_TEXT.format('$.tor')} = 'true' THEN 'tor' END], lambda n: n IS NOT NULL) AS names
+  list_filter([{_FLAGS}], lambda n: n IS NOT NULL) AS names
   FROM reputation_feeds WHERE provider = 'fraud')"""
 
 
@@ -44,13 +48,15 @@ def _feed(inputs, provider, result):
         F.array_join("r.categories", ",").alias("categories"),
         F.col("r.location.country").alias("country"),
         F.col("r.location.isp").alias("isp"),
+        "r.last_reported",
     )
 
 
 @query(
     "reputation_abuse_score",
     oracle=f"""WITH {_ABUSE} SELECT ip, score, score > 50 AS is_malicious,
-               array_to_string(names, ',') AS categories, country, isp FROM abuse""",
+               array_to_string(names, ',') AS categories, country, isp, CAST(NULL AS VARCHAR) AS last_reported
+               FROM abuse""",
 )
 def reputation_abuse_score(inputs):
     return _feed(inputs, "abuse", reputation.abuse_result)
@@ -59,7 +65,8 @@ def reputation_abuse_score(inputs):
 @query(
     "reputation_vendor_votes",
     oracle=f"""WITH {_VOTES} SELECT ip, score, score > 50 AS is_malicious,
-               array_to_string(names, ',') AS categories, country, CAST(NULL AS VARCHAR) AS isp FROM votes""",
+               array_to_string(names, ',') AS categories, country, CAST(NULL AS VARCHAR) AS isp,
+               seen AS last_reported FROM votes""",
 )
 def reputation_vendor_votes(inputs):
     return _feed(inputs, "votes", reputation.votes_result)
@@ -68,7 +75,8 @@ def reputation_vendor_votes(inputs):
 @query(
     "reputation_fraud_flags",
     oracle=f"""WITH {_FRAUD} SELECT ip, score, score > 75 AS is_malicious,
-               array_to_string(names, ',') AS categories, country, CAST(NULL AS VARCHAR) AS isp FROM fraud""",
+               array_to_string(names, ',') AS categories, country, CAST(NULL AS VARCHAR) AS isp,
+               CAST(NULL AS VARCHAR) AS last_reported FROM fraud""",
 )
 def reputation_fraud_flags(inputs):
     return _feed(inputs, "fraud", reputation.fraud_result)

@@ -29,7 +29,7 @@ def packet_feature_table(
 
     Flow-grain groups join on (flow, time_window), address-grain groups on the address.
     ``centralities`` adds all node measures to both ends; they take a search from every node,
-    or betweenness one from ``pivots`` of them.
+    or, estimated, from ``pivots`` of them.
     """
     base = flows.with_flow_keys(packets, window_seconds=window_seconds).withColumns(
         {

@@ -80,14 +80,17 @@ def _scaled(inputs):
     return df.withColumn("features", preprocess.Scaler.fit(df).column(F.col("features")))
 
 
-@query("pca_variance", floats="explained")
+@query("pca_variance", floats="explained norm")
 def pca_variance(inputs):
-    """Share of variance per kept component, attached to the projected row norms."""
+    """Components that explain 95 % of the variance, their share, and each row's length among them."""
     df = _scaled(inputs)
     fitted = reduce.Projection.fit(df, variance=det.PCA_VARIANCE)
     total = F.lit(float(sum(fitted.explained)))
     row = fitted.column(F.col("features"))
-    return df.select("id", F.size(row).alias("components"), total.alias("explained"))
+    norm = F.sqrt(F.aggregate("row", F.lit(0.0), lambda total, x: total + x * x))
+    return df.select("id", row.alias("row")).select(
+        "id", F.size("row").alias("components"), total.alias("explained"), norm.alias("norm")
+    )
 
 
 @query("pca_k", floats="PC1 PC2 PC3 PC4 PC5")
@@ -224,7 +227,11 @@ def predict_score(inputs):
     return detector.transform(df.select("id", "features")).drop("features")
 
 
-@query("train_test_split")
+@query(
+    "train_test_split",
+    oracle="""SELECT vec_id AS id, label, CASE WHEN CAST('0x' || substr(md5(concat(vec_id, '-42')), 1, 7) AS BIGINT) % 100
+        >= 20 THEN 'train' ELSE 'test' END AS part FROM embeddings""",
+)
 def train_test_split(inputs):
     train, test = det.hash_split(embeddings(inputs).select("id", "label"))
     return train.withColumn("part", F.lit("train")).unionByName(

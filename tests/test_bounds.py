@@ -79,3 +79,15 @@ def test_hashed_categories(spark):
     model = preprocess.fit_preprocessor(df, numeric=["length"], categorical=["word"], hashed=16)
     rows = preprocess.apply_preprocessor(model, df).collect()
     assert all(len(r.features) == 17 and sum(r.features[1:]) == 1 for r in rows)
+
+
+def test_closeness_from_pivots(spark):
+    from netspark.operators import graph
+
+    edges = [(f"n{i}", f"n{(i + step) % 12}", 1) for i in range(12) for step in (1, 5)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight long")
+    exact = {r.ip: r.closeness for r in graph.closeness(df).collect()}
+    all_pivots = {r.ip: r.closeness for r in graph.closeness(df, pivots=12).collect()}
+    some = {r.ip: r.closeness for r in graph.closeness(df, pivots=6).collect()}
+    assert exact == all_pivots and set(some) == set(exact)
+    assert all(abs(some[k] - exact[k]) < 0.25 for k in exact)
