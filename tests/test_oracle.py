@@ -52,5 +52,3 @@ def test_runs_without_oracle(spark, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
-
-
