@@ -228,7 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SA
     """
     spark = prepared(docs.sparkSession)
     texts = docs.where(learn).select(F.col("doc_id").cast("long").alias("_label_id"), "text")
-    labelled = texts.join(majority_labels(labels), "_label_id").select(
+    # Labels grow with the corpus: the same plan at every size.
+    labelled = texts.join(majority_labels(labels).hint("merge"), "_label_id").select(
         (F.xxhash64("_label_id", "text").cast("double") / 2.0**64 + 0.5).alias("pick"), "good", "text"
     )
     rows = cut_lineage(labelled.mapInArrow(_featured, _FEATURE_SCHEMA))
