@@ -193,7 +193,7 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(spans_of)
         )
     )
-    joined = docs.withColumn(key, row_key()).join(cuts, key, "left")
+    joined = docs.withColumn(key, row_key()).join(cuts.hint("merge"), key, "left")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
