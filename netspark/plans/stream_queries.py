@@ -70,15 +70,15 @@ _FINAL = "floor((SELECT max(timestamp) FROM packets) * 1000) / 1000 - 120"
 @query(
     "stream_flow_windows",
     oracle=f"""SELECT flow, time_window, length_count, length_mean, length_std, length_min, length_max,
-      length_sum, packet_rate, byte_rate FROM flows WHERE time_window + 60 <= {_FINAL}""",
+      length_sum, protocol_nunique, src_port_nunique, dst_port_nunique, packet_rate, byte_rate
+      FROM flows WHERE time_window + 60 <= {_FINAL}""",
     floats="length_mean length_std packet_rate byte_rate",
 )
 def stream_flow_windows(inputs):
     """Windows that the watermark has closed by the end of the input."""
     packets = readers.read_packet_stream(inputs.spark, arrive(inputs))
     windows = streams.flow_windows(streams.with_event_time(packets))
-    names = ["protocol_nunique", "src_port_nunique", "dst_port_nunique"]
-    return _through_folder(inputs, windows, "stream-flows").drop(*names)
+    return _through_folder(inputs, windows, "stream-flows")
 
 
 @query(
