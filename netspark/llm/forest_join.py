@@ -1,8 +1,8 @@
 """Texts of similar wording: an n-gram Jaccard join by a MinHash LSH forest.
 
 1. Sketch. A text's MinHash values are dealt to ``TREES`` prefix tries, ``DEPTH`` values each. Texts with the
-   same set of shingles form a class; from here on a class counts once, however many copies it has.
-2. Forest. Classes meet where their labels in a trie share a prefix. Whole labels come first; the prefix is
+   same set of shingles are copies; from here on a set counts once, however many copies it has.
+2. Forest. Sets meet where their labels in a trie share a prefix. Whole labels come first; the prefix is
    shortened level by level until a pair at the threshold meets with the target recall,
    1 - (1 - s^k)^TREES. A crowded node is split into pairs of blocks, so that each task sees a bounded part
    and yet each two members meet.
@@ -35,7 +35,7 @@ RECALL = 0.9999
 #: Agreement of sketches, a byte per value. A pair at 0.8 of which one is at TIGHT to a third is at about 0.55
 #: to it or more; LOOSE leaves room for the error of a sketch.
 TIGHT, LOOSE = 0.75, 0.42
-#: Classes of a block; a task compares two blocks.
+#: Sets of a block; a task compares two blocks.
 NODE_BLOCK, VERIFY_BLOCK = 2000, 1000
 #: Values of the MinHash table computed at once, and cells of a 0/1 matrix.
 TABLE_VALUES, MATRIX_CELLS = 1 << 17, 1 << 22
@@ -70,7 +70,7 @@ def _minima(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, trees: int, depth: int, prefix: int) -> DataFrame:
-    """Class digest, sketch and trie nodes of each row; those of a text without words are null."""
+    """Digest of the set, sketch and trie nodes of each row; those of a text without words are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(trees * depth)
@@ -204,7 +204,7 @@ def _verified(similarity: float):
             all_sets = found.column("shingles").combine_chunks()
             nodes, counts, roots = [], [], []
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                # A class comes once, even if its row is repeated.
+                # A set comes once, even if its row is repeated.
                 cids, at = np.unique(all_ids[low:high], return_index=True)
                 own = all_own[low:high][at]
                 sets = [np.frombuffer(all_sets[low + k].as_py(), np.uint64) for k in at.tolist()]
@@ -273,14 +273,14 @@ def similar_texts(
     depth: int = DEPTH,
     recall: float = RECALL,
 ) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): row_key, doc_id, class_id, group_id, n_copies, n_links.
+    """A row per row of ``docs`` (doc_id, text): row_key, doc_id, copy_id, class_id, n_copies, n_links.
 
     Words are runs of word characters, lower-cased; a text of fewer than ``words`` words is one shingle.
-    Rows with the same set of shingles are a class: ``class_id`` is its smallest doc_id and ``n_copies`` its
-    rows. Two classes are linked if their Jaccard similarity is at least ``similarity``; ``n_links`` counts
-    the classes a row's class is linked with. ``group_id`` is the smallest doc_id that links lead to, and
-    ``group`` a number of that group. Texts that are null or without words are alike with nothing: a class
-    and group of their own. Null doc_ids lose to others; repeated rows are copies. Other columns are
+    Rows with the same set of shingles are copies: ``copy_id`` is their smallest doc_id, ``n_copies`` their
+    number. Two different sets are linked if their Jaccard similarity is at least ``similarity``; ``n_links``
+    counts the sets that a row's set is linked with. ``class_id`` is the smallest doc_id that copies and links
+    lead to, and ``group`` a number of that class. Texts that are null or without words are alike with
+    nothing: a class of their own. Null doc_ids lose to others; repeated rows are copies. Other columns are
     ignored. An empty table gives no rows.
     """
     spark = prepared(docs.sparkSession)
@@ -291,7 +291,7 @@ def similar_texts(
         .groupBy("c1", "c2")
         .agg(
             F.count(F.lit(1)).alias("n_copies"),
-            F.min("doc_id").alias("class_id"),
+            F.min("doc_id").alias("copy_id"),
             F.min("row_key").alias("example"),
             F.first("sketch").alias("sketch"),
             F.first("nodes").alias("nodes"),
@@ -337,24 +337,24 @@ def similar_texts(
     linked = links.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
     groups = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     known = (
-        classes.select("c1", "c2", "cid", "n_copies", "class_id")
+        classes.select("c1", "c2", "cid", "n_copies", "copy_id")
         .join(linked, "cid", "left")
         .join(groups.select(F.col("node").alias("cid"), "root"), "cid", "left")
         .withColumn("group", F.coalesce("root", "cid"))
     )
-    smallest = known.groupBy("group").agg(F.min("class_id").alias("group_id"))
+    smallest = known.groupBy("group").agg(F.min("copy_id").alias("class_id"))
     known = cut_lineage(
         known.join(smallest, "group").select(
-            "c1", "c2", "group", "class_id", "group_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
+            "c1", "c2", "group", "copy_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
         )
     )
     worded = rows.select("row_key", "doc_id", "c1", "c2").where("c1 IS NOT NULL").join(known, ["c1", "c2"])
-    names = ["row_key", "doc_id", "class_id", "group_id", "n_copies", "n_links", "group"]
+    names = ["row_key", "doc_id", "copy_id", "class_id", "n_copies", "n_links", "group"]
     wordless = rows.where("c1 IS NULL").select(
         "row_key",
         "doc_id",
+        F.col("doc_id").alias("copy_id"),
         F.col("doc_id").alias("class_id"),
-        F.col("doc_id").alias("group_id"),
         F.lit(1).cast("long").alias("n_copies"),
         F.lit(0).cast("long").alias("n_links"),
         F.lit(None).cast("long").alias("group"),

@@ -113,7 +113,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = forest_join.similar_texts(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "group_id", "n_copies", "n_links")
+    return found.select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
 
 
 @query

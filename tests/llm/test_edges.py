@@ -150,7 +150,7 @@ def test_similar(spark, odd_docs, no_docs):
     rows = forest_join.similar_texts(odd_docs).collect()
     assert len(rows) == len(ODD)
     assert {r.n_copies for r in rows if r.doc_id in (1, 2)} == {4}
-    assert {(r.class_id, r.n_links) for r in rows if r.doc_id == 2} == {(1, 0)}
+    assert {(r.class_id, r.copy_id, r.n_links) for r in rows if r.doc_id == 2} == {(1, 1, 0)}
     kept = forest_join.one_of_each_group(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9, 10]

@@ -328,14 +328,14 @@ def test_similar_texts_by_brute_force(spark, monkeypatch):
         monkeypatch.setattr(forest_join, "NODE_BLOCK", blocks)
         monkeypatch.setattr(forest_join, "VERIFY_BLOCK", blocks)
         rows = forest_join.similar_texts(df).collect()
-        assert {r.doc_id: (r.class_id, r.group_id, r.n_copies, r.n_links) for r in rows} == expected
+        assert {r.doc_id: (r.copy_id, r.class_id, r.n_copies, r.n_links) for r in rows} == expected
     assert max(e[3] for e in expected.values()) > 3
 
 
 def test_documents_by_brute_force(spark, documents):
     expected = brute_links({r.doc_id: r.text for r in documents.collect()})
     rows = queries.QUERIES["op9_ngram_jaccard"](spark, SF_DIR).collect()
-    assert {r.doc_id: (r.class_id, r.group_id, r.n_copies, r.n_links) for r in rows} == expected
+    assert {r.doc_id: (r.copy_id, r.class_id, r.n_copies, r.n_links) for r in rows} == expected
 
 
 def test_prefix_depth():
