@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netspark.llm import chunks, forest_join, packing, quality, templates
 from netspark.llm.queries import END_ID, TOKENIZER
-from netspark.llm.workers import table
+from netspark.llm.workers import free_name, table
 from netspark.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,7 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from ``labels``."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.learnable())
-    return quality.with_scores(docs, model).where("score >= 0.5").select(*docs.columns)
+    score = free_name(docs, "score")
+    return quality.with_scores(docs, model, output=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,24 +251,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SA
     return QualityModel(ratios, np.frombuffer(bytes(found.weights)), found.bias, found.slope, found.shift)
 
 
-def with_scores(docs: DataFrame, model: QualityModel, with_text: bool = True) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher is better) of each whole text; null texts count as empty.
+def with_scores(
+    docs: DataFrame, model: QualityModel, with_text: bool = True, output: str = "score"
+) -> DataFrame:
+    """``docs`` with a column ``output`` (0 to 1, higher is better) of each whole text; null texts count as empty.
 
-    Other columns are kept (``text`` unless asked otherwise); one named ``score`` is replaced.
+    Other columns are kept (``text`` unless asked otherwise); one named like ``output`` is replaced.
     """
     spark = prepared(docs.sparkSession)
     # BUCKETS numbers, twice; as plain values, which a worker reads without this package.
     shared = spark.sparkContext.broadcast((model.ratios, model.weights, model.bias, model.slope, model.shift))
-    out = [c for c in docs.columns if c != "score" and (with_text or c != "text")]
+    out = [c for c in docs.columns if c != output and (with_text or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = QualityModel(*shared.value)
         for batch in batches:
             scores = [known.score(t.as_py()) for t in batch.column("text")]
             columns = [batch.column(c) for c in out]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*out, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*out, output])
 
-    schema = docs.select(*out).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*out).withColumn(output, F.lit(0.0)).schema
     return docs.select(*out, *([] if with_text else ["text"])).mapInArrow(run, schema)
 
 
