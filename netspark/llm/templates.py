@@ -5,7 +5,8 @@ of them as one) are typed placeholders, all other words their lower-case form wi
 Windows of a document's template meet the items' windows in a hash join; a bitmap of fixed size lets only
 windows into it that some item may have. Windows of one document and item on one diagonal are an alignment;
 it counts if its slots are consistent: the same value of the item always became the same value of the
-document, and different ones different ones.
+document, and different ones different ones. Where they are not, the alignment is split at the conflict, and
+its consistent spans count if they are long enough by themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netspark.llm.shingles import mixed, windows
-from netspark.llm.workers import free_name, prepared, worker_state
+from netspark.llm.workers import free_name, prepared, runs, worker_state
 from netspark.session import cut_lineage
 
 #: Words and placeholders of a window; shorter items are windows of their own length, down to LEAST_WINDOW.
@@ -176,6 +177,87 @@ def _window_rows(widths: list[int], bitmap, own_width: bool):
     return run
 
 
+def consistent_spans(
+    places: list[int], pairs: dict[int, tuple[int, int]]
+) -> Iterator[tuple[int, int, bool]]:
+    """First and last of the longest spans of neighbouring ``places`` whose slots are consistent, and if one changed.
+
+    ``pairs``: by place, the slot's value in the item and in the document. Spans overlap where a conflict lies
+    between two slots; an alignment without conflicts is one span for each stretch without a gap.
+    """
+    there: dict[int, list[int]] = {}  # a value of the item: what it became, and how often in the span
+    back: dict[int, int] = {}
+    changed = 0
+    low = 0
+
+    for high, place in enumerate(places):
+        if high and place != places[high - 1] + 1:
+            yield places[low], places[high - 1], changed > 0
+            low, changed = high, 0
+            there.clear()
+            back.clear()
+        if place not in pairs:
+            continue
+        old, new = pairs[place]
+        told = False
+        while (old in there and there[old][0] != new) or back.get(new, old) != old:
+            if not told:
+                yield places[low], places[high - 1], changed > 0
+                told = True
+            gone = pairs.get(places[low])
+            low += 1
+            if gone is not None:
+                changed -= gone[0] != gone[1]
+                there[gone[0]][1] -= 1
+                if not there[gone[0]][1]:
+                    del there[gone[0]], back[gone[1]]
+        there.setdefault(old, [new, 0])[1] += 1
+        back[new] = old
+        changed += old != new
+    if places:
+        yield places[low], places[-1], changed > 0
+
+
+def _alignments(covered: int):
+    """Spans of the item that each diagonal covers: all of a consistent one, of others the long consistent spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("row_key", "item_key", "n_item", "first", "last", "changed")
+        for found, bounds in runs(batches, ["row_key", "item_key", "diagonal"]):
+            rows: dict[str, list] = {k: [] for k in names}
+            data = found.to_pydict()
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                places: set[int] = set()
+                pairs: dict[int, tuple[int, int]] = {}
+                for k in range(low, high):
+                    at = data["item_place"][k]
+                    places.update(range(at, at + data["width"][k]))
+                    for slot, old, new in zip(data["slots"][k], data["item_values"][k], data["doc_values"][k]):
+                        pairs[at + slot] = old, new
+                forth, back = {}, {}
+                sound = all(
+                    forth.setdefault(old, new) == new and back.setdefault(new, old) == old for old, new in pairs.values()
+                )
+                spans = list(consistent_spans(sorted(places), pairs))
+                if sound:
+                    changed = any(span[2] for span in spans)
+                    spans = [(first, last, changed) for first, last, _ in spans]
+                else:
+                    need = min(covered, data["n_item"][low])
+                    spans = [span for span in spans if span[1] - span[0] + 1 >= need]
+                for first, last, changed in spans:
+                    own = (data["row_key"][low], data["item_key"][low], data["n_item"][low], first, last, int(changed))
+                    for name, value in zip(names, own):
+                        rows[name].append(value)
+            if rows["row_key"]:
+                kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, kind) for v, kind in zip(rows.values(), kinds)], names=list(names)
+                )
+
+    return run
+
+
 def row_key() -> Column:
     """A key of a row; rows of equal doc_id and text share it."""
     return F.xxhash64("doc_id", "text")
@@ -184,10 +266,11 @@ def row_key() -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED) -> DataFrame:
     """A row per document and item found in it: row_key, doc_id, item_id, n_covered, n_item, share, verbatim.
 
-    ``docs``: doc_id, text; ``benchmark``: item_id, text. Found means that consistent alignments cover at
-    least ``covered`` words and placeholders of the item, or all of a shorter one; items below LEAST_WINDOW
+    ``docs``: doc_id, text; ``benchmark``: item_id, text. Found means that consistent alignments, and consistent
+    spans of that length in others, cover at least ``covered`` words and placeholders of the item, or all of a
+    shorter one; items below LEAST_WINDOW
     of them, and windows that are nearly all placeholders, are too common to be evidence and find nothing.
-    ``verbatim``: every slot kept its value. Null and empty texts have no windows. Items with null or
+    ``verbatim``: every slot covered kept its value. Null and empty texts have no windows. Items with null or
     repeated ids are told apart by their text; repeated rows of documents are one. Other columns are
     ignored. The order of the result is open.
     """
@@ -218,21 +301,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
         seen.join(known, ["hash", "width", "slots"]).withColumn("diagonal", F.col("doc_place") - F.col("item_place"))
     )
     diagonal = ["row_key", "item_key", "diagonal"]
-    pairs = met.select(*diagonal, F.explode(F.arrays_zip("item_values", "doc_values")).alias("pair")).distinct()
-    inconsistent = (
-        pairs.groupBy(diagonal)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.countDistinct("pair.item_values").alias("n_from"),
-            F.countDistinct("pair.doc_values").alias("n_to"),
-            F.max((F.col("pair.item_values") != F.col("pair.doc_values")).cast("int")).alias("changed"),
-        )
-        .select(*diagonal, ((F.col("n") > F.col("n_from")) | (F.col("n") > F.col("n_to"))).alias("broken"), "changed")
+    spans = (
+        met.select(*diagonal, "item_place", "width", "slots", "item_values", "doc_values", "n_item")
+        .repartition(*diagonal)
+        .sortWithinPartitions(*diagonal, "item_place")
+        .mapInArrow(_alignments(covered), "row_key long, item_key long, n_item int, first int, last int, changed int")
     )
-    sound = met.join(inconsistent, diagonal, "left").where(~F.coalesce("broken", F.lit(False)))
-    reach = F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1))
     found = (
-        sound.select("row_key", "item_key", "n_item", F.coalesce("changed", F.lit(0)).alias("changed"), reach.alias("at"))
+        spans.withColumn("at", F.explode(F.sequence("first", "last")))
         .groupBy("row_key", "item_key", "n_item", "at")
         .agg(F.min("changed").alias("changed"))
         .groupBy("row_key", "item_key", "n_item")

@@ -122,6 +122,32 @@ def test_templates_by_example(spark):
     assert found == {(1, 1): True, (2, 1): False, (6, 2): False}
 
 
+def test_one_conflict_leaves_the_rest_of_an_alignment(spark):
+    head, tail = " ".join(words(70, 20)), " ".join(words(71, 20))
+    item = f"{head} near Paris {tail} to Paris and 5 or 7 more"
+    texts = [item.replace("to Paris", "to Rome"), item.replace("7", "5"), item, text(72, 60)]
+    docs = spark.createDataFrame([(k, f"So. {t}.") for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: (r.n_covered == r.n_item, r.verbatim) for r in templates.contaminated(docs, benchmark).collect()}
+    assert found == {0: (True, False), 1: (False, True), 2: (True, True)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(0, 12), st.one_of(st.none(), st.tuples(st.integers(0, 2), st.integers(0, 2)))))
+def test_consistent_spans_by_brute_force(slots):
+    places, pairs = sorted(slots), {k: v for k, v in slots.items() if v}
+
+    def sound(a, b):
+        own = {pairs[k] for k in range(a, b + 1) if k in pairs}
+        return all(k in slots for k in range(a, b + 1)) and len({x for x, _ in own}) == len({y for _, y in own}) == len(own)
+
+    spans = [(a, b) for a in places for b in places if a <= b and sound(a, b)]
+    longest = {(a, b) for a, b in spans if not any((c, d) != (a, b) and c <= a and b <= d for c, d in spans)}
+    got = list(templates.consistent_spans(places, pairs))
+    assert {(a, b) for a, b, _ in got} == longest
+    assert all(c == any(pairs[k][0] != pairs[k][1] for k in range(a, b + 1) if k in pairs) for a, b, c in got)
+
+
 def test_every_planted_item_is_found(spark, documents):
     items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()
     planted = {(d.doc_id, i.item_id) for d in documents.collect() for i in items if i.text in d.text}
