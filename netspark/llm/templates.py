@@ -91,8 +91,9 @@ class Tokens(dict):
         return self.kind[at], self.hash[at], self.flags[at]
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, slot values (0 for words) and slot kinds (0 for words) of a text."""
+def canonical(text: str, inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, slot values (0 for words) and slot kinds (0 for words) of a text; ``inside``: as it would
+    be in the middle of a sentence, where a capitalised first word is a name."""
     kind, value, flags = worker_state("template tokens", Tokens).look_up(text)
     n = len(kind)
     ends = (flags & 1).astype(bool)
@@ -102,6 +103,7 @@ def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
     gone = np.cumsum(ends)
     opens[solid[1:]] = gone[solid[1:] - 1] > np.where(solid[:-1] > 0, gone[solid[:-1] - 1], 0)
+    opens[solid[0]] = not inside
     kind, value, flags, opens = kind[solid], value[solid], flags[solid], opens[solid]
     kind = kind.copy()
     after_number = np.zeros(len(kind), bool)
@@ -141,38 +143,65 @@ def _slots(values: np.ndarray, at: int, width: int) -> tuple[list[int], list[int
 
 
 _WINDOW_FIELDS = "hash long, place int, width int, slots array<int>, slot_values array<long>"
+_KINDS = {"key": pa.int64(), "hash": pa.int64(), "slots": pa.list_(pa.int32()), "slot_values": pa.list_(pa.int64())}
 
 
-def _window_rows(widths: list[int], bitmap, own_width: bool):
-    """Rows of the windows of each text: all of them, or those that a bitmap has."""
+def item_windows_of(text: str | None) -> tuple[int, list[tuple[int, int, int, list[int], list[int], int]]]:
+    """Size of an item, and its windows: hash, place, width, slots, values, first place covered.
+
+    A first word that is a name inside a sentence gives another first window; where it joins a name behind it,
+    the places count as if the joined name stood in the second one.
+    """
+    if not text:
+        return 0, []
+    variants = [canonical(text), canonical(text, inside=True)]
+    size = len(variants[0][0])
+    found = []
+    for inside, variant in enumerate(variants):
+        hashes, values, kinds = variant
+        width = min(WINDOW, len(hashes))
+        if width < LEAST_WINDOW or (inside and np.array_equal(kinds, variants[0][2])):
+            continue
+        shift = size - len(hashes)
+        words = np.concatenate(([0], np.cumsum(kinds == WORD)))
+        for at, h in enumerate((windows(hashes, width) ^ np.uint64(width)).view(np.int64).tolist()[: 1 if inside else None]):
+            if words[at + width] - words[at] >= LEAST_WORDS:
+                found.append((h, at + shift, width, *_slots(values, at, width), at if inside else at + shift))
+    return size, found
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the windows of each item."""
+    names = ("key", "hash", "place", "width", "slots", "slot_values", "first", "size")
+    for batch in batches:
+        rows: dict[str, list] = {k: [] for k in names}
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+            size, found = item_windows_of(text.as_py())
+            for window in found:
+                for name, value in zip(names, (key, *window, size)):
+                    rows[name].append(value)
+        if rows["key"]:
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, _KINDS.get(k, pa.int32())) for k, v in rows.items()})
+
+
+def _window_rows(widths: list[int], bitmap):
+    """Rows of the windows of each document that a bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+        bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("key", "hash", "place", "width", "slots", "slot_values", "size")}
+            rows: dict[str, list] = {k: [] for k in ("key", "hash", "place", "width", "slots", "slot_values")}
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                own = widths
-                size = 0
-                if own_width:  # an item: windows of the usual width, or of its own
-                    size = len(canonical(text)[0]) if text else 0
-                    own = [min(WINDOW, size)] if size >= LEAST_WINDOW else []
-                for width, hashes, places, values in template_windows(text, own):
-                    if bits is not None:
-                        slot = hashes >> np.uint64(40)
-                        hit = bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
-                        some = np.flatnonzero(hit)
-                        hashes, places = hashes[some], places[some]
+                for width, hashes, places, values in template_windows(text.as_py(), widths):
+                    slot = hashes >> np.uint64(40)
+                    hit = bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+                    some = np.flatnonzero(hit)
+                    hashes, places = hashes[some], places[some]
                     for h, at in zip(hashes.view(np.int64).tolist(), places.tolist()):
-                        offsets, slot_values = _slots(values, at, width)
-                        for name, value in zip(rows, (key, h, at, width, offsets, slot_values, size)):
+                        for name, value in zip(rows, (key, h, at, width, *_slots(values, at, width))):
                             rows[name].append(value)
-            kinds = {"hash": pa.int64(), "place": pa.int32(), "width": pa.int32(), "size": pa.int32()}
-            lists = {"slots": pa.list_(pa.int32()), "slot_values": pa.list_(pa.int64())}
             if rows["key"]:
-                yield pa.RecordBatch.from_pydict(
-                    {k: pa.array(v, (kinds | lists).get(k, pa.int64())) for k, v in rows.items()}
-                )
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, _KINDS.get(k, pa.int32())) for k, v in rows.items()})
 
     return run
 
@@ -231,9 +260,10 @@ def _alignments(covered: int):
                 pairs: dict[int, tuple[int, int]] = {}
                 for k in range(low, high):
                     at = data["item_place"][k]
-                    places.update(range(at, at + data["width"][k]))
+                    places.update(range(data["first"][k], at + data["width"][k]))
                     for slot, old, new in zip(data["slots"][k], data["item_values"][k], data["doc_values"][k]):
-                        pairs[at + slot] = old, new
+                        if old == new or at + slot not in pairs:
+                            pairs[at + slot] = old, new
                 forth, back = {}, {}
                 sound = all(
                     forth.setdefault(old, new) == new and back.setdefault(new, old) == old for old, new in pairs.values()
@@ -275,11 +305,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
     ignored. The order of the result is open.
     """
     spark = prepared(docs.sparkSession)
-    fields = f"key long, {_WINDOW_FIELDS}, size int"
+    fields = f"key long, {_WINDOW_FIELDS}"
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("item_id", "text").alias("key")
     ).dropDuplicates(["key"])
-    item_windows = cut_lineage(items.select("key", "text").mapInArrow(_window_rows([], None, True), fields))
+    item_windows = cut_lineage(items.select("key", "text").mapInArrow(_item_rows, f"{fields}, first int, size int"))
     # At most the bits of the bitmap come here, and the widths from LEAST_WINDOW to WINDOW.
     bit = F.shiftrightunsigned("hash", 40)
     bits = np.zeros(BITMAP_BITS, bool)
@@ -288,21 +318,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
 
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    doc_windows = keyed.select("key", "text").mapInArrow(_window_rows(widths, bitmap, False), fields)
+    doc_windows = keyed.select("key", "text").mapInArrow(_window_rows(widths, bitmap), fields)
     seen = doc_windows.select(
         F.col("key").alias("row_key"), "hash", "width", F.col("place").alias("doc_place"), "slots",
         F.col("slot_values").alias("doc_values"),
     ).distinct()
     known = item_windows.select(
         F.col("key").alias("item_key"), "hash", "width", F.col("place").alias("item_place"), "slots",
-        F.col("slot_values").alias("item_values"), F.col("size").alias("n_item"),
+        F.col("slot_values").alias("item_values"), "first", F.col("size").alias("n_item"),
     )
     met = cut_lineage(
         seen.join(known, ["hash", "width", "slots"]).withColumn("diagonal", F.col("doc_place") - F.col("item_place"))
     )
     diagonal = ["row_key", "item_key", "diagonal"]
     spans = (
-        met.select(*diagonal, "item_place", "width", "slots", "item_values", "doc_values", "n_item")
+        met.select(*diagonal, "item_place", "first", "width", "slots", "item_values", "doc_values", "n_item")
         .repartition(*diagonal)
         .sortWithinPartitions(*diagonal, "item_place")
         .mapInArrow(_alignments(covered), "row_key long, item_key long, n_item int, first int, last int, changed int")

@@ -132,6 +132,18 @@ def test_one_conflict_leaves_the_rest_of_an_alignment(spark):
     assert found == {0: (True, False), 1: (False, True), 2: (True, True)}
 
 
+def test_items_inside_a_sentence(spark):
+    items = ["Which of the rivers runs north today", "Does Paris lie on some big river", "where does it all end then now"]
+    items += ["Take 7 of the nine red apples home"]
+    texts = [f"He asked her: well {i[0].upper()}{i[1:]}, and so on." for i in items]
+    texts += [f"So, {items[3].replace('7', '12')} and go.", "Which of the rivers runs south today"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.share for r in templates.contaminated(docs, benchmark).collect()}
+    assert {(0, 0), (1, 1), (3, 3), (4, 3)} <= set(found) <= {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
+    assert set(found.values()) == {1.0}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(0, 12), st.one_of(st.none(), st.tuples(st.integers(0, 2), st.integers(0, 2)))))
 def test_consistent_spans_by_brute_force(slots):
