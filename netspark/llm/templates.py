@@ -6,7 +6,9 @@ Windows of a document's template meet the items' windows in a hash join; a bitma
 windows into it that some item may have. Windows of one document and item on one diagonal are an alignment;
 it counts if its slots are consistent: the same value of the item always became the same value of the
 document, and different ones different ones. Where they are not, the alignment is split at the conflict, and
-its consistent spans count if they are long enough by themselves.
+its consistent spans count if they are long enough by themselves. Windows of the words as they are written
+(numbers, names and bare signs too) meet in the same join, for exact copies of items that are short or nearly
+all placeholders.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ COVERED = 13
 BITMAP_BITS = 1 << 24
 #: Tokens that a worker remembers.
 CACHE_TOKENS = 300_000
+#: Sets literal windows apart from those of templates.
+LITERAL = 1 << 32
 
 # Common units of measure and money.
 UNITS = set(
@@ -52,7 +56,8 @@ _PLACEHOLDERS = mixed(np.array([0, 101, 102, 103, 104, 0], np.uint64))
 
 
 class Tokens(dict):
-    """A number for each token as it is written; by number: kind, hash, end of sentence, unit, capitalised."""
+    """A number for each token as it is written; by number: kind, hashes in lower case
+    and as written, flags (end of sentence, unit, capitalised, blank)."""
 
     def __init__(self):
         super().__init__()
@@ -61,11 +66,13 @@ class Tokens(dict):
     def reset(self) -> None:
         self.clear()
         self.kind, self.hash, self.flags = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+        self.written = np.zeros(1024, np.uint64)
 
     def __missing__(self, token: str) -> int:
         number = self[token] = len(self)
         if number == len(self.kind):
             self.kind, self.hash, self.flags = (np.concatenate((x, x)) for x in (self.kind, self.hash, self.flags))
+            self.written = np.concatenate((self.written, self.written))
         core = _EDGES.sub("", token)
         low = core.lower()
         ends = token.rstrip("\"')]}").endswith((".", "!", "?", ":")) or token == "\n"
@@ -81,26 +88,33 @@ class Tokens(dict):
             kind = WORD
         self.kind[number] = kind
         self.hash[number] = xxhash.xxh3_64_intdigest((low or token).encode("utf-8", "surrogatepass"))
-        self.flags[number] = ends | unit << 1 | proper << 2
+        self.written[number] = xxhash.xxh3_64_intdigest((core or token).encode("utf-8", "surrogatepass"))
+        self.flags[number] = ends | unit << 1 | proper << 2 | (not token.strip()) << 3
         return number
 
-    def look_up(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self) > CACHE_TOKENS:
             self.reset()
         at = np.array(list(map(self.__getitem__, text.replace("\n", " \n ").split(" "))))
-        return self.kind[at], self.hash[at], self.flags[at]
+        return self.kind[at], self.hash[at], self.flags[at], self.written[at]
 
 
-def canonical(text: str, inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, slot values (0 for words) and slot kinds (0 for words) of a text; ``inside``: as it would
-    be in the middle of a sentence, where a capitalised first word is a name."""
-    kind, value, flags = worker_state("template tokens", Tokens).look_up(text)
+def looked_up(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, hash, flags and hash as written of each token of a text."""
+    return worker_state("template tokens", Tokens).look_up(text)
+
+
+def canonical(
+    kind: np.ndarray, value: np.ndarray, flags: np.ndarray, inside: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, slot values (0 for words), slot kinds (0 for words) and first tokens of a text; ``inside``:
+    as it would be in the middle of a sentence, where a capitalised first word is a name."""
     n = len(kind)
     ends = (flags & 1).astype(bool)
     opens = np.ones(n, bool)  # begins a sentence: only breaks lie between it and an end, or the beginning
     solid = np.flatnonzero(kind != BREAK)
     if not len(solid):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8), solid
     gone = np.cumsum(ends)
     opens[solid[1:]] = gone[solid[1:] - 1] > np.where(solid[:-1] > 0, gone[solid[:-1] - 1], 0)
     opens[solid[0]] = not inside
@@ -119,15 +133,32 @@ def canonical(text: str, inside: bool = False) -> tuple[np.ndarray, np.ndarray,
         joined = np.add.reduceat(np.where(kind == NAME, mixed(value), np.uint64(0)), first)
         kind = kind[first]
         value = np.where(kind == NAME, joined, value[first])
+        solid = solid[first]
     slots = kind != WORD
-    return np.where(slots, _PLACEHOLDERS[kind], value), np.where(slots, value, np.uint64(0)), kind
+    return np.where(slots, _PLACEHOLDERS[kind], value), np.where(slots, value, np.uint64(0)), kind, solid
+
+
+def literal(written: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens but blank ones, also of numbers, names and bare signs, and their places."""
+    own = np.flatnonzero(flags & 8 == 0)
+    return written[own], own
+
 
+def literal_windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    return windows(hashes, width) ^ np.uint64(width | LITERAL)
 
-def template_windows(text: str | None, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per width: the hashes of the windows with enough words, their places, and the slot values of the text."""
+
+def document_windows(
+    text: str | None, widths: list[int], literal_widths: list[int]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Per width: the hashes of the windows, their places, and the slot values of the text.
+
+    Windows of the template have enough words; literal ones are all there are, and have no slots.
+    """
     if not text:
         return
-    hashes, values, kinds = canonical(text)
+    kind, value, flags, written = looked_up(text)
+    hashes, values, kinds, _ = canonical(kind, value, flags)
     words = np.concatenate(([0], np.cumsum(kinds == WORD)))
     for width in widths:
         if len(hashes) < width:
@@ -135,30 +166,40 @@ def template_windows(text: str | None, widths: list[int]) -> Iterator[tuple[int,
         found = windows(hashes, width) ^ np.uint64(width)
         enough = np.flatnonzero(words[width:] - words[:-width] >= LEAST_WORDS)
         yield width, found[enough], enough, values
+    hashes, _ = literal(written, flags)
+    for width in literal_widths:
+        found = literal_windows(hashes, width)
+        yield width, found, np.arange(len(found)), None
 
 
-def _slots(values: np.ndarray, at: int, width: int) -> tuple[list[int], list[int]]:
+def _slots(values: np.ndarray | None, at: int, width: int) -> tuple[list[int], list[int]]:
+    if values is None:
+        return [], []
     inside = np.flatnonzero(values[at : at + width])
     return inside.tolist(), values[at : at + width][inside].view(np.int64).tolist()
 
 
 _WINDOW_FIELDS = "hash long, place int, width int, slots array<int>, slot_values array<long>"
+_SPAN_FIELDS = "row_key long, item_key long, n_item int, first int, last int, changed int, enough int"
 _KINDS = {"key": pa.int64(), "hash": pa.int64(), "slots": pa.list_(pa.int32()), "slot_values": pa.list_(pa.int64())}
 
 
-def item_windows_of(text: str | None) -> tuple[int, list[tuple[int, int, int, list[int], list[int], int]]]:
-    """Size of an item, and its windows: hash, place, width, slots, values, first place covered.
+def item_windows_of(text: str | None) -> tuple[int, list[tuple]]:
+    """Size of an item, and its windows: hash, place, width, slots, values, first and last place covered, literal.
 
     A first word that is a name inside a sentence gives another first window; where it joins a name behind it,
-    the places count as if the joined name stood in the second one.
+    the places count as if the joined name stood in the second one. Literal windows count tokens as they are
+    written; ``literal`` is the number of those that the item has, 0 in windows of the template. What they cover
+    are words and placeholders that they touch.
     """
     if not text:
         return 0, []
-    variants = [canonical(text), canonical(text, inside=True)]
+    kind, value, flags, written = looked_up(text)
+    variants = [canonical(kind, value, flags), canonical(kind, value, flags, inside=True)]
     size = len(variants[0][0])
     found = []
     for inside, variant in enumerate(variants):
-        hashes, values, kinds = variant
+        hashes, values, kinds, _ = variant
         width = min(WINDOW, len(hashes))
         if width < LEAST_WINDOW or (inside and np.array_equal(kinds, variants[0][2])):
             continue
@@ -166,13 +207,20 @@ def item_windows_of(text: str | None) -> tuple[int, list[tuple[int, int, int, li
         words = np.concatenate(([0], np.cumsum(kinds == WORD)))
         for at, h in enumerate((windows(hashes, width) ^ np.uint64(width)).view(np.int64).tolist()[: 1 if inside else None]):
             if words[at + width] - words[at] >= LEAST_WORDS:
-                found.append((h, at + shift, width, *_slots(values, at, width), at if inside else at + shift))
-    return size, found
+                first = at if inside else at + shift
+                found.append((h, at + shift, width, *_slots(values, at, width), first, at + shift + width - 1, 0))
+    hashes, own = literal(written, flags)
+    touched = np.maximum(np.searchsorted(variants[0][3], own, "right") - 1, 0).tolist()
+    width = min(WINDOW, len(hashes))
+    if width:
+        for at, h in enumerate(literal_windows(hashes, width).view(np.int64).tolist()):
+            found.append((h, at, width, [], [], touched[at], touched[at + width - 1], len(hashes)))
+    return max(size, min(1, len(hashes))), found
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the windows of each item."""
-    names = ("key", "hash", "place", "width", "slots", "slot_values", "first", "size")
+    names = ("key", "hash", "place", "width", "slots", "slot_values", "first", "last", "literal", "size")
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in names}
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
@@ -184,7 +232,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, _KINDS.get(k, pa.int32())) for k, v in rows.items()})
 
 
-def _window_rows(widths: list[int], bitmap):
+def _window_rows(widths: list[int], literal_widths: list[int], bitmap):
     """Rows of the windows of each document that a bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +240,7 @@ def _window_rows(widths: list[int], bitmap):
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("key", "hash", "place", "width", "slots", "slot_values")}
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                for width, hashes, places, values in template_windows(text.as_py(), widths):
+                for width, hashes, places, values in document_windows(text.as_py(), widths, literal_widths):
                     slot = hashes >> np.uint64(40)
                     hit = bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
                     some = np.flatnonzero(hit)
@@ -251,16 +299,21 @@ def _alignments(covered: int):
     """Spans of the item that each diagonal covers: all of a consistent one, of others the long consistent spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("row_key", "item_key", "n_item", "first", "last", "changed")
-        for found, bounds in runs(batches, ["row_key", "item_key", "diagonal"]):
+        names = ("row_key", "item_key", "n_item", "first", "last", "changed", "enough")
+        for found, bounds in runs(batches, ["row_key", "item_key", "literal", "diagonal"]):
             rows: dict[str, list] = {k: [] for k in names}
             data = found.to_pydict()
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 places: set[int] = set()
+                begins: dict[int, int] = {}  # what literal windows that begin or end at a place cover
+                ends: dict[int, int] = {}
+                own_size = data["literal"][low]
                 pairs: dict[int, tuple[int, int]] = {}
                 for k in range(low, high):
                     at = data["item_place"][k]
-                    places.update(range(data["first"][k], at + data["width"][k]))
+                    if own_size:
+                        begins[at], ends[at + data["width"][k] - 1] = data["first"][k], data["last"][k]
+                    places.update(range(at if own_size else data["first"][k], at + data["width"][k]))
                     for slot, old, new in zip(data["slots"][k], data["item_values"][k], data["doc_values"][k]):
                         if old == new or at + slot not in pairs:
                             pairs[at + slot] = old, new
@@ -269,18 +322,22 @@ def _alignments(covered: int):
                     forth.setdefault(old, new) == new and back.setdefault(new, old) == old for old, new in pairs.values()
                 )
                 spans = list(consistent_spans(sorted(places), pairs))
-                if sound:
+                need = min(covered, own_size or data["n_item"][low])
+                long = [last - first + 1 >= need for first, last, _ in spans]
+                if own_size:
+                    spans = [(begins[first], ends[last], False) for first, last, _ in spans]
+                elif sound:
                     changed = any(span[2] for span in spans)
                     spans = [(first, last, changed) for first, last, _ in spans]
-                else:
-                    need = min(covered, data["n_item"][low])
-                    spans = [span for span in spans if span[1] - span[0] + 1 >= need]
-                for first, last, changed in spans:
-                    own = (data["row_key"][low], data["item_key"][low], data["n_item"][low], first, last, int(changed))
+                for (first, last, changed), enough in zip(spans, long):
+                    if not enough and (own_size or not sound):
+                        continue
+                    row = (data["row_key"][low], data["item_key"][low], data["n_item"][low])
+                    own = (*row, first, last, int(changed), int(enough))
                     for name, value in zip(names, own):
                         rows[name].append(value)
             if rows["row_key"]:
-                kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+                kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, kind) for v, kind in zip(rows.values(), kinds)], names=list(names)
                 )
@@ -298,8 +355,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text. Found means that consistent alignments, and consistent
     spans of that length in others, cover at least ``covered`` words and placeholders of the item, or all of a
-    shorter one; items below LEAST_WINDOW
-    of them, and windows that are nearly all placeholders, are too common to be evidence and find nothing.
+    shorter one, or that as many words of it, or all, follow each other as they are written. Of items below
+    LEAST_WINDOW words and placeholders, and where nearly all are placeholders, only such exact copies are
+    found; an item of one word is found wherever that word stands.
     ``verbatim``: every slot covered kept its value. Null and empty texts have no windows. Items with null or
     repeated ids are told apart by their text; repeated rows of documents are one. Other columns are
     ignored. The order of the result is open.
@@ -309,41 +367,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: int = COVERED)
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("item_id", "text").alias("key")
     ).dropDuplicates(["key"])
-    item_windows = cut_lineage(items.select("key", "text").mapInArrow(_item_rows, f"{fields}, first int, size int"))
-    # At most the bits of the bitmap come here, and the widths from LEAST_WINDOW to WINDOW.
+    item_windows = cut_lineage(items.select("key", "text").mapInArrow(_item_rows, f"{fields}, first int, last int, literal int, size int"))
+    # At most the bits of the bitmap come here, and the widths up to WINDOW.
     bit = F.shiftrightunsigned("hash", 40)
     bits = np.zeros(BITMAP_BITS, bool)
     bits[[row.bit for row in item_windows.select(bit.alias("bit")).distinct().toLocalIterator()]] = True
-    widths = sorted(row.width for row in item_windows.select("width").distinct().collect())
+    sizes = item_windows.select("width", (F.col("literal") > 0).alias("literal")).distinct().collect()
+    widths, literal_widths = (sorted(row.width for row in sizes if row.literal == kind) for kind in (False, True))
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
 
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    doc_windows = keyed.select("key", "text").mapInArrow(_window_rows(widths, bitmap), fields)
+    doc_windows = keyed.select("key", "text").mapInArrow(_window_rows(widths, literal_widths, bitmap), fields)
     seen = doc_windows.select(
         F.col("key").alias("row_key"), "hash", "width", F.col("place").alias("doc_place"), "slots",
         F.col("slot_values").alias("doc_values"),
     ).distinct()
     known = item_windows.select(
         F.col("key").alias("item_key"), "hash", "width", F.col("place").alias("item_place"), "slots",
-        F.col("slot_values").alias("item_values"), "first", F.col("size").alias("n_item"),
+        F.col("slot_values").alias("item_values"), "first", "last", "literal",
+        F.col("size").alias("n_item"),
     )
     met = cut_lineage(
         seen.join(known, ["hash", "width", "slots"]).withColumn("diagonal", F.col("doc_place") - F.col("item_place"))
     )
-    diagonal = ["row_key", "item_key", "diagonal"]
+    diagonal = ["row_key", "item_key", "literal", "diagonal"]
     spans = (
-        met.select(*diagonal, "item_place", "first", "width", "slots", "item_values", "doc_values", "n_item")
+        met.select(*diagonal, "item_place", "first", "last", "width", "slots", "item_values", "doc_values", "n_item")
         .repartition(*diagonal)
         .sortWithinPartitions(*diagonal, "item_place")
-        .mapInArrow(_alignments(covered), "row_key long, item_key long, n_item int, first int, last int, changed int")
+        .mapInArrow(_alignments(covered), _SPAN_FIELDS)
     )
     found = (
         spans.withColumn("at", F.explode(F.sequence("first", "last")))
         .groupBy("row_key", "item_key", "n_item", "at")
-        .agg(F.min("changed").alias("changed"))
+        .agg(F.min("changed").alias("changed"), F.max("enough").alias("enough"))
         .groupBy("row_key", "item_key", "n_item")
-        .agg(F.count(F.lit(1)).alias("n_covered"), F.max("changed").alias("changed"))
-        .where(F.col("n_covered") >= F.least(F.lit(covered), F.col("n_item")))
+        .agg(
+            F.count(F.lit(1)).alias("n_covered"),
+            F.max("changed").alias("changed"),
+            F.max("enough").alias("enough"),
+        )
+        .where((F.col("n_covered") >= F.least(F.lit(covered), F.col("n_item"))) | (F.col("enough") > 0))
     )
     names = items.select(F.col("key").alias("item_key"), "item_id")
     rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"))

@@ -144,6 +144,18 @@ def test_items_inside_a_sentence(spark):
     assert set(found.values()) == {1.0}
 
 
+def test_exact_copies_of_short_and_numeric_items(spark):
+    items = ["What is 12 + 34?", "Which number follows next: 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096?"]
+    items += ["Name it", "Rome", "1 2 3 4 5 6 7 8 9 10", "+ - +"]
+    texts = [f"He said: well {i} And so on." for i in items]
+    texts += ["What is 12 - 34?", "Next: 2, 4, 8, 16, 32, 64", "Name of it", "1 2 3 4 5 6 7 8 9 11"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = templates.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, k) for k in range(6)}
+    assert all(r.verbatim and r.share == 1 for r in rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(0, 12), st.one_of(st.none(), st.tuples(st.integers(0, 2), st.integers(0, 2)))))
 def test_consistent_spans_by_brute_force(slots):
