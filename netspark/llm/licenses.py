@@ -112,6 +112,15 @@ def rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def apart(results: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """Those that overlap none of the kept ones before them."""
+    kept: list[tuple[str, float, int, int]] = []
+    for r in results:
+        if all(r[2] + r[3] <= o[2] or o[2] + o[3] <= r[2] for o in kept):
+            kept.append(r)
+    return kept
+
+
 class Scanner:
     """Finds the templates in texts; knows the words of all of them."""
 
@@ -148,21 +157,12 @@ class Scanner:
                 continue
             width = size + size // 2
             held = np.searchsorted(own, own + width) - np.arange(len(own))
-            at = 0
-            for start in own[held >= need].tolist():
-                if start < at:
-                    continue
-                result = self._aligned(k, tokens, start, width)
-                if result is not None:
-                    results.append(result)
-                    at = result[2] + result[3]
+            own_results = {self._aligned(k, tokens, start, width) for start in own[held >= need].tolist()} - {None}
+            # Of overlapping alignments of one template the best covered stands, of equal ones the tightest.
+            results += apart(sorted(own_results, key=lambda r: (-r[1], r[3], r[2])))
         # Of notices that overlap the best covered stands, of equal ones the longer, then the earlier template.
         results.sort(key=lambda r: (-r[1], -r[3], r[2], self.names.index(r[0])))
-        kept: list[tuple[str, float, int, int]] = []
-        for r in results:
-            if all(r[2] + r[3] <= o[2] or o[2] + o[3] <= r[2] for o in kept):
-                kept.append(r)
-        return sorted(kept, key=lambda r: r[2])
+        return sorted(apart(results), key=lambda r: r[2])
 
     def _aligned(self, k: int, tokens: list[str], start: int, width: int) -> tuple[str, float, int, int] | None:
         template = self.words[k]

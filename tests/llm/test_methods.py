@@ -438,6 +438,14 @@ def test_notices_in_documents(spark, documents):
     assert {r.doc_id for r in rows} == {i for i, _ in planted}
 
 
+@pytest.mark.parametrize("before", ["", "the x y ", "under x y ", "License, the ", "Licensed the a 4.0 "])
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_exact_notices_are_covered_in_full(before, name):
+    notice = licenses.TEMPLATES[name]
+    found = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE).found(f"{before}{notice}. And so on.")
+    assert found == [(name, 1.0, len(before.split()), len(notice.split()))]
+
+
 # The pipeline
 
 
