@@ -3,7 +3,7 @@
 Places where a template's words lie close together are candidates. There the words that occur once in both the
 candidate and the template are anchors; the longest run of anchors in rising order is kept, and the gaps
 between them are aligned in the same way. The share of the template's words that find a partner is its
-coverage.
+coverage. The words that tell it from its siblings must be among them.
 """
 
 from __future__ import annotations
@@ -55,6 +55,19 @@ TEMPLATES = {
     ),
 }
 
+# Words that tell a license from its siblings, also from those without a template; each group stands together.
+IDENTITY = {
+    "Apache-2.0": ("apache", "2.0"),
+    "Apache-2.0 header": ("apache", "2.0"),
+    "MIT": ("mit",),
+    "CC-BY-4.0": ("cc by", "4.0"),
+    "CC-BY-NC-4.0": ("cc by-nc", "4.0"),
+    "CC-BY-SA-4.0": ("cc by-sa", "4.0"),
+    "GPL-3.0": ("gnu general public", "3"),
+    "GPL header": ("gnu general public", "3"),
+    "MPL-2.0": ("mozilla public", "2.0"),
+}
+
 FIELDS = "license string, coverage double, first_word long, n_words long"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -127,7 +140,9 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
         self.names = list(templates)
+        self.templates = list(templates.values())
         self.words = [words_of(t) for t in templates.values()]
+        self.required = [self._required(k) for k in range(len(self.names))]
         vocabulary = sorted({w for own in self.words for w in own if w})
         self.number = {w: k for k, w in enumerate(vocabulary)}
         self.has = np.zeros((len(self.names), len(vocabulary)), bool)
@@ -135,6 +150,24 @@ class Scanner:
             self.has[k, [self.number[w] for w in own if w]] = True
         self.seen: dict[str, int] = {}
 
+    def _required(self, k: int) -> list[list[int]]:
+        """Places of the template's words that must be aligned; those of a group with neighbours in the text.
+
+        They are its words of IDENTITY, and those that another template lacks which would else pass for it.
+        """
+        own = self.words[k]
+        groups = []
+        phrases = IDENTITY.get(self.names[k], ()) if TEMPLATES.get(self.names[k]) == self.templates[k] else ()
+        for phrase in phrases:
+            parts = phrase.split()
+            at = next(i for i in range(len(own)) if own[i : i + len(parts)] == parts)
+            groups.append(list(range(at, at + len(parts))))
+        for sibling in self.words:
+            shared = {j for _, j in align(sibling, own)}
+            if len(shared) >= self.coverage * len(own):
+                groups += [[j] for j in range(len(own)) if j not in shared]
+        return groups
+
     def _number(self, token: str) -> int:
         number = self.seen.get(token)
         if number is None:
@@ -171,6 +204,10 @@ class Scanner:
         share = len(pairs) / len(template)
         if share < self.coverage:
             return None
+        place = {j: i for i, j in pairs}
+        for group in self.required[k]:
+            if any(j not in place or place[j] - j != place[group[0]] - group[0] for j in group):
+                return None
         first, last = pairs[0][0], pairs[-1][0]
         return self.names[k], share, start + first, last - first + 1
 
@@ -180,7 +217,8 @@ def license_notices(
 ) -> DataFrame:
     """A row per notice: the columns of ``docs`` but ``text``, then license, coverage, first_word, n_words.
 
-    Words lie between white space and are counted from 0. A template that occurs twice gives two rows; where
+    A notice that lacks the words which tell a license from its siblings is none of it: "the BSD License" is not
+    MIT, "CC BY-ND 4.0" not CC-BY-4.0. Words lie between white space and are counted from 0. A template that occurs twice gives two rows; where
     templates overlap, the one with the highest coverage stands. A row without a notice, with a null or an
     empty text gives no row; repeated rows give theirs each. Columns named like the result's are replaced.
     Templates travel with the tasks: a short list, whatever the corpus.

@@ -446,6 +446,25 @@ def test_exact_notices_are_covered_in_full(before, name):
     assert found == [(name, 1.0, len(before.split()), len(notice.split()))]
 
 
+@pytest.mark.parametrize(
+    "notice",
+    ["Released under the BSD License", "Released under the GPL License", "Licensed under CC BY-ND 4.0",
+     "Licensed under CC BY 3.0", "Licensed under the Apache License, Version 1.1",
+     "This work is licensed under the GNU Lesser General Public License, version 3",
+     "This work is licensed under the GNU General Public License, version 2"],
+)
+def test_notices_of_other_licenses_are_not_taken(notice):
+    assert licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE).found(f"So. {notice}. And so on.") == []
+
+
+def test_notices_with_a_common_word_changed():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for notice, name in [("Distributed under the MIT License", "MIT"), ("Released under CC BY-NC 4.0", "CC-BY-NC-4.0")]:
+        assert [(r[0], r[1]) for r in scanner.found(notice)] == [(name, 0.8)]
+    own = licenses.Scanner({"a": "given under terms of A", "b": "given under terms of B"}, 0.8)
+    assert [r[0] for r in own.found("given under terms of B x y given under terms of C z")] == ["b"]
+
+
 # The pipeline
 
 
