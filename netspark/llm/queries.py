@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netspark.llm import chunks, forest_join, licenses, nearest_tiles, packing, quality, sharding, templates, url_rules, wavelet
+from netspark.llm import chunks, codebooks, divergence, forest_join, licenses, nearest_tiles, packing, pieces, quality, sharding, templates, url_rules, wavelet
 from netspark.llm.workers import prepared, table
 from netspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: The id behind each document.
 END_ID = 1
@@ -136,3 +137,115 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: ids divisible by 50; candidates: every other row."""
     return nearest_tiles.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+lang_terms AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM lang_terms GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (
+  SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n
+  FROM words w JOIN lang_terms t ON w.lang = t.lang AND w.term = t.term GROUP BY w.lang, w.source, w.term),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(k.total, 0) + s.v) AS p,
+    1 + (1000000000 * (t.n + 1)) // (s.total + s.v) AS q
+  FROM groups g
+  JOIN sizes s ON g.lang = s.lang
+  JOIN lang_terms t ON g.lang = t.lang
+  LEFT JOIN totals k ON g.lang = k.lang AND g.source = k.source
+  LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND t.term = c.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value
+  FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four parts, 256 entries each, four rounds."""
+    found = codebooks.codes(spark, table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256", "label")
+
+
+def _lloyd_sql(parts: int, size: int, rounds: int, scale: int) -> str:
+    """All rounds written out with complete comparisons; a distance and its entry are one number."""
+    steps = [
+        f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, embedding
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+numbered AS (
+  SELECT rid, len(embedding) // {parts} AS width, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS place
+  FROM kept),
+x AS MATERIALIZED (
+  SELECT rid, place // width AS part, place % width AS pos, floor({scale} * x::DOUBLE)::BIGINT AS v FROM numbered),
+c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, pos, v FROM x WHERE rid <= {size})"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, part, min(d * 256 + entry) AS best
+  FROM (SELECT x.rid, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d
+        FROM x JOIN c{k} c ON x.part = c.part AND x.pos = c.pos GROUP BY x.rid, x.part, c.entry)
+  GROUP BY rid, part)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""
+s{k} AS MATERIALIZED (
+  SELECT x.part, a.best % 256 AS entry, x.pos, sum(x.v)::BIGINT AS s, count(*) AS n
+  FROM x JOIN a{k} a ON x.rid = a.rid AND x.part = a.part GROUP BY x.part, a.best % 256, x.pos),
+c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, c.pos, coalesce((s - ((s % n) + n) % n) // n, c.v)::BIGINT AS v
+  FROM c{k} c LEFT JOIN s{k} s ON c.part = s.part AND c.entry = s.entry AND c.pos = s.pos)"""
+            )
+    steps.append(
+        f"""
+coded AS (
+  SELECT rid, string_agg(format('{{:02x}}', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error
+  FROM a{rounds} GROUP BY rid),
+books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS h FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  h AS codebooks_sha256, label::VARCHAR AS label
+FROM kept JOIN coded USING (rid), books
+"""
+    )
+    return ",".join(steps[:-1]) + "," + steps[-1]
+
+
+ORACLES["op12_vector_codes"] = _lloyd_sql(parts=4, size=256, rounds=4, scale=1024)
+
+
+@query
+def op13_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, PIECES)
