@@ -1,9 +1,10 @@
 """How the words of sources differ within a language, counted over fixed-width digests.
 
-Texts are counted where they are read, in bounded tables per task that are stored as (lang, source, digest, term,
-n, docs). Shuffles carry digests and counts; the strings stay behind. Once per task and digest a string takes
-part in an aggregate of the smallest and largest string by digest: where they differ, terms share a digest, and
-their rows are told apart by the string from there on. Strings come back for the rows that are put out.
+Texts are read twice, and counted where they are read, in bounded tables per task. The first reading counts the
+documents of each term by (lang, digest), with the smallest and the largest string of each digest: where they
+differ, terms share a digest and are told apart by their strings from there on. Few terms are in enough documents
+to be kept. The second reading counts kept terms per source and shuffles digests and counts alone; a bitmap of
+fixed size holds back most of the others, and a join decides. Strings come back for the rows that are put out.
 
 All values are integers:
 
@@ -34,10 +35,12 @@ from netspark.llm.workers import column, prepared, runs
 from netspark.session import cut_lineage
 
 UNIT = 1_000_000_000
-#: Terms counted in a task before they are written, about 0.2 kB each.
-TASK_TERMS = 300_000
-#: Rows of a stored batch, and bytes of terms at which it ends sooner.
+#: Terms counted in a task before they are sent on, about 0.2 kB each.
+TASK_TERMS = 400_000
+#: Rows of an Arrow batch, and bytes of terms at which it ends sooner.
 OUT_ROWS, OUT_BYTES = 20_000, 16 << 20
+#: 64-bit words of the bitmaps of digests (2 MB).
+BITMAP_WORDS = 1 << 18
 #: Pairs of sources of common terms that are held at once.
 PAIR_BLOCK = 1 << 20
 
@@ -46,7 +49,8 @@ TERM_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
 
-COUNT_SCHEMA = "lang string, source string, digest long, term string, n long, docs long"
+DOC_SCHEMA = "lang string, digest long, term string, docs long"
+COUNT_SCHEMA = "lang string, source string, digest long, split string, n long"
 PAIR_SCHEMA = "lang string, source string, item string, value long"
 
 
@@ -54,46 +58,83 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(TERM_BYTES).split()
 
 
-def _counted(bits: int):
-    mask = (1 << bits) - 1
-
-    def rows(tables: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (counts, docs) in tables.items():
-            found = list(counts.items())
-            at = 0
-            while at < len(found):
-                end, size = at, 0
-                while end < len(found) and end - at < OUT_ROWS and (end == at or size < OUT_BYTES):
-                    size += len(found[end][0])
-                    end += 1
-                part = found[at:end]
-                digests = np.array([xxhash.xxh3_64_intdigest(t) & mask for t, _ in part], np.uint64).view(np.int64)
+def digest_of(term: bytes, bits: int) -> int:
+    return xxhash.xxh3_64_intdigest(term) & (1 << bits) - 1
+
+
+def _batches(counts: Counter, bits: int) -> Iterator[tuple[list[bytes], list[int], np.ndarray]]:
+    """Terms, counts and digests, some at a time."""
+    found = list(counts.items())
+    at = 0
+    while at < len(found):
+        end, size = at, 0
+        while end < len(found) and end - at < OUT_ROWS and (end == at or size < OUT_BYTES):
+            size += len(found[end][0])
+            end += 1
+        part = found[at:end]
+        digests = np.array([digest_of(t, bits) for t, _ in part], np.uint64).view(np.int64)
+        yield [t for t, _ in part], [n for _, n in part], digests
+        at = end
+
+
+def _document_counts(bits: int):
+    """Documents of each term, by lang."""
+
+    def rows(tables: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, docs in tables.items():
+            for terms, counts, digests in _batches(docs, bits):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(part), pa.string()),
-                        pa.array([source] * len(part), pa.string()),
+                        pa.array([lang] * len(terms), pa.string()),
                         pa.array(digests),
-                        pa.array([t for t, _ in part], pa.binary()).cast(pa.string()),
-                        pa.array([n for _, n in part], pa.int64()),
-                        pa.array([docs[t] for t, _ in part], pa.int64()),
+                        pa.array(terms, pa.binary()).cast(pa.string()),
+                        pa.array(counts, pa.int64()),
+                    ],
+                    names=["lang", "digest", "term", "docs"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                tables.setdefault(lang, Counter()).update(set(terms_of(text)))
+            if sum(map(len, tables.values())) > TASK_TERMS:
+                yield from rows(tables)
+                tables = {}
+        yield from rows(tables)
+
+    return run
+
+
+def _source_counts(bits: int, kept: np.ndarray, shared: np.ndarray | None):
+    """Occurrences of terms whose digest may be kept, by lang and source."""
+
+    def rows(tables: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), counted in tables.items():
+            for terms, counts, digests in _batches(counted, bits):
+                some = np.flatnonzero(_in_bitmap(kept, digests))
+                splits = [""] * len(some)
+                if shared is not None:
+                    named = _in_bitmap(shared, digests[some])
+                    splits = [terms[k].decode() if yes else "" for k, yes in zip(some, named)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(some), pa.string()),
+                        pa.array([source] * len(some), pa.string()),
+                        pa.array(digests[some]),
+                        pa.array(splits, pa.string()),
+                        pa.array(np.array(counts, np.int64)[some]),
                     ],
-                    names=["lang", "source", "digest", "term", "n", "docs"],
+                    names=["lang", "source", "digest", "split", "n"],
                 )
-                at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        tables: dict[tuple[str, str], Counter] = {}
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("lang", "source", "text"))
             for lang, source, text in zip(*columns):
-                found = terms_of(text)
-                if found:
-                    if (lang, source) not in tables:
-                        tables[lang, source] = (Counter(), Counter())
-                    counts, docs = tables[lang, source]
-                    counts.update(found)
-                    docs.update(set(found))
-            if sum(len(c) for c, _ in tables.values()) > TASK_TERMS:
+                tables.setdefault((lang, source), Counter()).update(terms_of(text))
+            if sum(map(len, tables.values())) > TASK_TERMS:
                 yield from rows(tables)
                 tables = {}
         yield from rows(tables)
@@ -101,6 +142,20 @@ def _counted(bits: int):
     return run
 
 
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """A bit for each ``digest`` by its lowest bits; as large as ``BITMAP_WORDS`` however many there are."""
+    word = F.pmod(F.shiftright("digest", 6), F.lit(BITMAP_WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("digest", F.lit(64)).cast("int"))
+    words = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(BITMAP_WORDS, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _in_bitmap(bitmap: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    return (bitmap[(digests >> 6) % len(bitmap)] >> (digests & 63)) & 1 == 1
+
+
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(UNIT * (count + 1) / (total + kept)) in longs, the division in two steps of its digits."""
     ones, below = count + 1, total + kept
@@ -120,43 +175,45 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def term_counts(docs: DataFrame, min_docs: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Counts of kept terms per (lang, source), and the strings of all digests.
+def kept_terms(docs: DataFrame, min_docs: int, bits: int = 64) -> tuple[DataFrame, DataFrame | None]:
+    """Terms in at least ``min_docs`` documents of their lang, and the digests that terms share.
 
-    The first has lang, source, digest, split, n, lang_n and first (true in one row of each kept term of a lang);
-    ``split`` is empty, or the string where terms share a digest. The second has digest, low, high.
+    The first has lang, digest, split, term; ``split`` is empty, or the term where terms share a digest. The
+    second has lang, digest; None if there are none.
     """
-    known = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    counted = cut_lineage(docs.select(*known).mapInArrow(_counted(bits), COUNT_SCHEMA))
-    strings = cut_lineage(counted.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")))
-    shared = strings.where(F.col("low") != F.col("high")).select("digest", F.lit(True).alias("shared"))
+    counted = docs.select("lang", "text").mapInArrow(_document_counts(bits), DOC_SCHEMA)
+    by_digest = (
+        counted.repartition("lang", "digest")
+        .groupBy("lang", "digest")
+        .agg(F.sum("docs").alias("docs"), F.min("term").alias("low"), F.max("term").alias("high"))
+        .where(F.col("docs") >= min_docs)
+    )
+    found = cut_lineage(by_digest)
+    alone = found.where(F.col("low") == F.col("high")).select(
+        "lang", "digest", F.lit("").alias("split"), F.col("low").alias("term")
+    )
+    shared = found.where(F.col("low") != F.col("high")).select("lang", "digest")
     if shared.isEmpty():
-        rows = counted.withColumn("split", F.lit(""))
-    else:
-        rows = counted.join(cut_lineage(shared), "digest", "left").withColumn(
-            "split", F.when("shared", F.col("term")).otherwise("")
-        )
-    # Stored counts are already summed by task: one shuffle by term serves the sums and both windows.
-    term = ["lang", "digest", "split"]
-    by_source = (
-        rows.select(*term, "source", "n", "docs")
-        .repartition(*term)
-        .groupBy(*term, "source")
-        .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        return alone, None
+    by_term = counted.join(shared, ["lang", "digest"]).groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs"))
+    apart = by_term.where(F.col("docs") >= min_docs).select("lang", "digest", F.col("term").alias("split"), "term")
+    return cut_lineage(alone.unionByName(apart)), shared
+
+
+def term_counts(docs: DataFrame, kept: DataFrame, shared: DataFrame | None, bits: int = 64) -> DataFrame:
+    """Occurrences n of kept terms per (lang, source), and lang_n in the whole lang."""
+    maps = (_bitmap(kept), None if shared is None else _bitmap(shared))
+    counted = docs.mapInArrow(_source_counts(bits, *maps), COUNT_SCHEMA)
+    known = kept.select("lang", "digest", F.col("split").alias("kept_split"))
+    # Merged at every size, so that one shuffle by digest serves the join, the sums and the window.
+    met = counted.join(known.hint("merge"), ["lang", "digest"]).where(
+        (F.col("kept_split") == "") | (F.col("kept_split") == F.col("split"))
     )
-    whole = Window.partitionBy(*term)
-    kept = (
-        by_source.withColumns(
-            {
-                "first": F.row_number().over(whole.orderBy("source")) == 1,
-                "lang_n": F.sum("n").over(whole),
-                "lang_docs": F.sum("docs").over(whole),
-            }
-        )
-        .where(F.col("lang_docs") >= min_docs)
-        .select("lang", "source", "digest", "split", "n", "lang_n", "first")
+    term = ["lang", "digest", "kept_split"]
+    summed = met.groupBy(*term, "source").agg(F.sum("n").alias("n"))
+    return summed.withColumn("lang_n", F.sum("n").over(Window.partitionBy(*term))).select(
+        "lang", "source", "digest", F.col("kept_split").alias("split"), "n", "lang_n"
     )
-    return cut_lineage(kept), strings
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,28 +300,28 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, bits: int = 64) ->
     width of digests, smaller in tests to make terms share them.
     """
     prepared(docs.sparkSession)
-    kept, strings = term_counts(docs, min_docs, bits)
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("firsts"))
-    in_lang = Window.partitionBy("lang")
-    groups = docs.select(*named).distinct().join(sums, ["lang", "source"], "left").na.fill(0, ["total", "firsts"])
-    groups = groups.withColumns({"lang_total": F.sum("total").over(in_lang), "kept": F.sum("firsts").over(in_lang)})
+    docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    kept, shared = kept_terms(docs, min_docs, bits)
+    counts = cut_lineage(term_counts(docs, kept, shared, bits))
+    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
+    groups = groups.na.fill(0, ["total", "kept"])
+    groups = groups.withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang")))
     # A lang without kept terms has no shares at all.
     zero = F.when(F.col("kept") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("kept")))
     groups = cut_lineage(groups.select("lang", "source", "total", "lang_total", "kept", zero.alias("p0")))
 
-    shares = cut_lineage(
-        kept.join(groups, ["lang", "source"]).select(
-            "lang",
-            "source",
-            "digest",
-            "split",
-            "p0",
-            share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
-            share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"),
-        )
+    shares = counts.join(groups, ["lang", "source"]).select(
+        "lang",
+        "source",
+        "digest",
+        "split",
+        "p0",
+        share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
+        share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"),
     )
-    return _pair_part(groups, shares).unionByName(_term_part(shares, strings, top))
+    return _pair_part(groups, shares).unionByName(_term_part(shares, kept, top))
 
 
 def _ranked(df: DataFrame, part: str) -> DataFrame:
@@ -308,7 +365,7 @@ def _pair_part(groups: DataFrame, shares: DataFrame) -> DataFrame:
     return _ranked(summed, "pair")
 
 
-def _term_part(shares: DataFrame, strings: DataFrame, top: int) -> DataFrame:
+def _term_part(shares: DataFrame, kept: DataFrame, top: int) -> DataFrame:
     """The largest values by digest first; strings join what can still be among them and settle the ties."""
     valued = shares.where(F.col("p") > F.col("q")).select(
         "lang", "source", "digest", "split", spread(F.col("p"), F.col("q")).alias("value")
@@ -321,6 +378,5 @@ def _term_part(shares: DataFrame, strings: DataFrame, top: int) -> DataFrame:
         .agg(F.min("value").alias("last"))
     )
     near = valued.join(cut_lineage(last), ["lang", "source"]).where(F.col("value") >= F.col("last"))
-    item = F.when(F.col("split") == "", F.col("low")).otherwise(F.col("split"))
-    named = near.join(strings.select("digest", "low"), "digest").withColumn("item", item)
+    named = near.join(kept, ["lang", "digest", "split"]).withColumnRenamed("term", "item")
     return _ranked(named, "term").where(F.col("rank") <= top)
