@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -74,6 +75,23 @@ class PieceVocabulary:
         places = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
         #: By piece: 0 for the best score; equal scores have equal ranks.
         self.ranks = {piece: places[score] for piece, score in scores.items()}
+        # Where ids and scores go the same way, an id says its rank. Pieces of equal score (rows of blanks) are
+        # left out; segments that may need them are merged as strings.
+        self.pairs: dict[int, int] = {}
+        self.characters: dict[str, int] = {}
+        ordered = [self.ranks[p] for p in sorted(self.ids, key=self.ids.get)]
+        often = {r for r, n in Counter(ordered).items() if n > 1}
+        distinct = [r for r in ordered if r not in often]
+        equal = {p for p in self.ids if self.ranks[p] in often}
+        if n <= 1 << 15 and distinct == sorted(distinct) and all(set(p) == {BLANK} for p in equal):
+            for piece, known in self.ids.items():
+                if len(piece) == 1:
+                    self.characters[" " if piece == BLANK else piece] = known
+                elif self.ranks[piece] not in often:
+                    for cut in range(1, len(piece)):
+                        left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                        if left is not None and right is not None:
+                            self.pairs[left << 15 | right] = known
         self.segment = re.compile(_segment_pattern(p for p in self.ids if len(p) > 1))
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -97,6 +115,23 @@ class PieceVocabulary:
                 agenda[at] = rank(symbols[at] + symbols[at + 1], NO_PIECE)
         return symbols
 
+    def _merged_ids(self, ids: list[int]) -> list[int]:
+        """The same for a segment of known characters as ids, where a lower id is a better score."""
+        pair = self.pairs.get
+        agenda = [pair(a << 15 | b, NO_PIECE) for a, b in zip(ids, ids[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NO_PIECE:
+                break
+            at = agenda.index(best)
+            ids[at] = best
+            del ids[at + 1], agenda[at]
+            if at:
+                agenda[at - 1] = pair(ids[at - 1] << 15 | best, NO_PIECE)
+            if at < len(agenda):
+                agenda[at] = pair(best << 15 | ids[at + 1], NO_PIECE)
+        return ids
+
     def _merged_many(self, symbols: list[str]) -> list[str]:
         """The agenda as a heap over linked symbols; entries of symbols that changed are skipped."""
         rank = self.ranks.get
@@ -127,6 +162,10 @@ class PieceVocabulary:
 
     def segment_ids(self, segment: str) -> list[int]:
         """Ids of a segment in which blanks are blanks."""
+        if len(segment) <= FEW_SYMBOLS and not segment.startswith("  "):
+            known = list(map(self.characters.get, segment))
+            if None not in known:
+                return self._merged_ids(known)
         out: list[int] = []
         for piece in self.merged(list(segment.replace(" ", BLANK))):
             known = self.ids.get(piece)
