@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from netspark.ml.boundary import NU, Boundary, FourierMap
 from netspark.ml.forest import IsolationForest
 from netspark.ml.outlier_factor import OutlierFactor
+from netspark.operators.metric_index import MetricIndex
 from netspark.ml.preprocess import Scaler
 from netspark.ml.reduce import Projection, to_matrix
 from netspark.operators import ordering
@@ -194,7 +195,8 @@ class AnomalyDetector:
             }
         if self.factor is not None:
             settings["factor"] = {"k": self.factor.k, "offset": self.factor.offset}
-            self.factor.train.write.mode("overwrite").parquet(f"{path}/factor_train")
+            self.factor.index.cells.write.mode("overwrite").parquet(f"{path}/factor_cells")
+            settings["factor"]["pivots"] = self.factor.index.bounds.pivots.tolist()
             self.factor.known.write.mode("overwrite").parquet(f"{path}/factor_known")
         text = spark.createDataFrame([(json.dumps(settings),)], "value string")
         text.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
@@ -218,11 +220,11 @@ class AnomalyDetector:
             boundary = Boundary(fourier, np.asarray(b["normal"]), b["rho"], b["scale"])
             detector = replace(detector, boundary=boundary)
         if settings["factor"]:
-            factor = OutlierFactor(
-                spark.read.parquet(f"{path}/factor_train"),
-                spark.read.parquet(f"{path}/factor_known"),
-                **settings["factor"],
-            )
+            f = settings["factor"]
+            pivots = np.asarray(f["pivots"], np.float64)
+            cells = spark.read.parquet(f"{path}/factor_cells")
+            index = MetricIndex.of_cells(cells, pivots, neighbours=f["k"] + 1)
+            factor = OutlierFactor(index, spark.read.parquet(f"{path}/factor_known"), f["k"], f["offset"])
             detector = replace(detector, factor=factor)
         return detector
 

@@ -1,4 +1,4 @@
-"""Local outlier factor (Breunig et al. 2000) on the blocked nearest-row search."""
+"""Local outlier factor (Breunig et al. 2000) on a metric index."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.operators import nearest
+from netspark.operators.metric_index import MetricIndex, nearest_links
 from netspark.session import cut_lineage
 
 NEIGHBOURS = 20
@@ -15,16 +15,6 @@ AUTO_OFFSET = -1.5
 _TINY = 1e-10
 
 
-def _links(rows: DataFrame, train: DataFrame, k: int, *, skip_self: bool, **options) -> DataFrame:
-    """(id, right_id, distance): the k nearest training rows of each row."""
-    best = nearest.top_k(
-        rows, train, k=k, score=nearest.negative_distances, skip_self=skip_self, **options
-    )
-    return best.select("id", F.inline("best")).select(
-        "id", "right_id", (-F.col("score")).alias("distance")
-    )
-
-
 def _density(links: DataFrame, radius: DataFrame) -> DataFrame:
     """(id, lrd): inverse mean reachability distance."""
     known = radius.select(F.col("id").alias("right_id"), "k_distance")
@@ -53,7 +43,7 @@ def _factors(links: DataFrame, own: DataFrame, known: DataFrame) -> DataFrame:
 class OutlierFactor:
     """Training rows with their k-distance and density, as tables."""
 
-    train: DataFrame
+    index: MetricIndex
     known: DataFrame
     k: int
     offset: float = AUTO_OFFSET
@@ -62,15 +52,16 @@ class OutlierFactor:
     def fit(train: DataFrame, *, k: int = NEIGHBOURS, **options) -> OutlierFactor:
         """``train`` has ``id`` and ``vector``; pass a table or a checkpoint, it is read often."""
         train = train.select("id", "vector")
-        links = cut_lineage(_links(train, train, k, skip_self=True, **options))
+        index = MetricIndex.build(train, neighbours=k + 1)
+        links = cut_lineage(nearest_links(train, index, k=k, skip_self=True, **options))
         radius = links.groupBy("id").agg(F.max("distance").alias("k_distance"))
         known = cut_lineage(radius.join(_density(links, radius), "id"))
         training = _factors(links, known.select("id", "lrd"), known)
-        return OutlierFactor(train, cut_lineage(known.join(training, "id")), k)
+        return OutlierFactor(index, cut_lineage(known.join(training, "id")), k)
 
     def raw_scores(self, rows: DataFrame, **options) -> DataFrame:
         """(id, raw) of rows that were not trained on; an equal training row counts."""
-        links = cut_lineage(_links(rows, self.train, self.k, skip_self=False, **options))
+        links = cut_lineage(nearest_links(rows, self.index, k=self.k, **options))
         own = _density(links, self.known)
         return _factors(links, own, self.known)
 
@@ -80,4 +71,4 @@ class OutlierFactor:
         )
 
     def with_offset(self, offset: float) -> OutlierFactor:
-        return OutlierFactor(self.train, self.known, self.k, offset)
+        return OutlierFactor(self.index, self.known, self.k, offset)

@@ -82,20 +82,32 @@ def f_statistics(df: DataFrame, *, features: str = "features", label: str = "lab
         df.filter(F.col(label).isNotNull())
         .select(label, F.posexplode(features).alias("position", "x"))
         .groupBy("position", label)
-        .agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        .agg(
+            F.count("x").alias("n"),
+            F.avg("x").alias("m"),
+            F.var_pop("x").alias("v"),
+            F.min("x").alias("low"),
+            F.max("x").alias("high"),
+        )
     )
-    sums = cells.groupBy("position").agg(
+    # A row per feature and class: deviations of the class means lose no digits, as sums of squares would.
+    feature = Window.partitionBy("position")
+    mean = F.try_divide(F.sum(F.col("n") * F.col("m")).over(feature), F.sum("n").over(feature))
+    apart = cells.withColumn("apart", F.col("m") - mean)
+    sums = apart.groupBy("position").agg(
         F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("classes"),
+        F.count_if(F.col("n") > 0).alias("classes"),
         F.sum(F.col("n") * F.col("v")).alias("within"),
-        F.sum(F.col("n") * F.col("m")).alias("s1"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s2"),
+        F.sum(F.col("n") * F.col("apart") * F.col("apart")).alias("between"),
+        (F.min("low") < F.max("high")).alias("varies"),
+        F.bool_and(F.coalesce(F.col("low") == F.col("high"), F.lit(True))).alias("flat"),
     )
-    between = F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")
-    between = F.try_divide(between, F.col("classes") - 1)
-    within = F.try_divide(F.col("within"), F.col("n") - F.col("classes"))
+    between = F.try_divide("between", F.col("classes") - 1)
+    within = F.when(F.col("flat"), 0.0).otherwise(F.try_divide("within", F.col("n") - F.col("classes")))
     # Classes without spread of their own: infinitely far apart, or nothing to tell.
-    f = F.when(within > 0, between / within).when(between > 0, F.lit(float("inf")))
+    f = F.when(~F.col("varies"), F.lit(None)).when(within > 0, between / within).when(
+        F.col("flat"), F.lit(float("inf"))
+    )
     return sums.select("position", f.alias("f_value"))
 
 

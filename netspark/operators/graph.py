@@ -6,6 +6,8 @@ aggregation, and its result is checkpointed to the shared folder.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,17 +166,12 @@ def _shortest_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
         )
 
 
-def betweenness(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
-    """Directed betweenness with the packet count as distance, divided by (n-1)(n-2).
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s, u, x): the share of shortest paths from s that go through u, added up over their ends.
 
     Path counts and dependencies are sums over the shortest-path edges of each source,
-    built up hop by hop. ``pivots`` takes that many sources (by hash) and scales up.
+    built up hop by hop.
     """
-    edges = _stored(edges)
-    links = _without_loops(edges).select("src", "dst", F.col("weight").cast("double").alias("w"))
-    nodes = cut_lineage(_nodes(edges))
-    n = nodes.count()
-    sources = _sources(nodes, n, pivots)
     dist = _shortest_distances(links, sources)
 
     from_end = dist.select("s", F.col("v").alias("src"), F.col("d").alias("du"))
@@ -219,17 +216,122 @@ def betweenness(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
         if level.isEmpty():
             break
         collected = collected.unionByName(level)
+    return collected.filter(F.col("s") != F.col("u")).groupBy("s", "u").agg(F.sum("x").alias("x"))
+
+
+def _weighted_links(edges: DataFrame) -> DataFrame:
+    return _without_loops(edges).select("src", "dst", F.col("weight").cast("double").alias("w"))
+
+
+def betweenness(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
+    """Directed betweenness with the packet count as distance, divided by (n-1)(n-2).
+
+    The tables have nodes x sources rows: ``pivots`` takes that many sources (by hash) and scales up;
+    ``sampled_betweenness`` chooses their number by a stated error.
+    """
+    edges = _stored(edges)
+    nodes = cut_lineage(_nodes(edges))
+    n = nodes.count()
+    collected = _dependencies(_weighted_links(edges), _sources(nodes, n, pivots))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if pivots is not None and pivots < n:
         scale *= n / pivots
-    totals = (
-        collected.filter(F.col("s") != F.col("u"))
-        .groupBy(F.col("u").alias("ip"))
-        .agg((F.sum("x") * F.lit(scale)).alias("betweenness"))
+    totals = collected.groupBy(F.col("u").alias("ip")).agg(
+        (F.sum("x") * F.lit(scale)).alias("betweenness")
     )
     return nodes.join(totals, "ip", "left").fillna(0.0, subset=["betweenness"])
 
 
+def sampled_betweenness(
+    edges: DataFrame, *, error: float = 0.05, confidence: float = 0.9, batch: int = 64
+) -> DataFrame:
+    """(ip, betweenness, error_bound, sources): betweenness from as many sources as a stated error needs.
+
+    Sources are taken by their hash, about ``batch`` at a time, so tables have nodes x batch rows. Each gives
+    every node a share between 0 and 1; by the empirical Bernstein bound, split over nodes and batches, the mean
+    of m shares with variance v is off by at most sqrt(2 v g / m) + 3 g / m, g the logarithm of 3 / (1 -
+    confidence) times nodes times batches. Sampling ends when no node's bound exceeds ``error``, or with all
+    sources, when results are exact and the bound is 0.
+    """
+    edges = _stored(edges)
+    links = cut_lineage(_weighted_links(edges))
+    nodes = cut_lineage(_nodes(edges))
+    n = nodes.count()
+    if n < 3:
+        zero = F.lit(0.0)
+        return nodes.select("ip", zero.alias("betweenness"), zero.alias("error_bound"), F.lit(n).alias("sources"))
+    batches = -(-n // batch)
+    dealt = cut_lineage(nodes.withColumn("part", F.pmod(F.xxhash64("ip"), F.lit(batches))))
+    log = math.log(3 * n * batches / (1 - confidence))
+    sums = nodes.select("ip", F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+    used = 0
+    for number in range(batches):
+        sources = cut_lineage(dealt.filter(F.col("part") == number).select("ip"))
+        size = sources.count()
+        if not size:
+            continue
+        used += size
+        share = F.col("x") / (n - 2)
+        seen = _dependencies(links, sources).groupBy(F.col("u").alias("ip")).agg(
+            F.sum(share).alias("a1"), F.sum(share * share).alias("a2")
+        )
+        sums = cut_lineage(
+            sums.join(seen, "ip", "left").select(
+                "ip",
+                (F.col("s1") + F.coalesce("a1", F.lit(0.0))).alias("s1"),
+                (F.col("s2") + F.coalesce("a2", F.lit(0.0))).alias("s2"),
+            )
+        )
+        mean = F.col("s1") / used
+        spread = F.greatest(F.col("s2") / used - mean * mean, F.lit(0.0))
+        bound = F.lit(0.0) if used == n else F.sqrt(spread * (2 * log / used)) + 3 * log / used
+        if used == n or sums.agg(F.max(bound)).first()[0] * n / (n - 1) <= error:
+            break
+    scale = n / (n - 1)  # a node is no source of paths through itself
+    return sums.select(
+        "ip", (mean * scale).alias("betweenness"), (bound * scale).alias("error_bound"), F.lit(used).alias("sources")
+    )
+
+
+def sketched_closeness(edges: DataFrame, *, lg_k: int = 12, max_rounds: int | None = None) -> DataFrame:
+    """Closeness (see ``closeness``) of large graphs: a sketch of the nodes that reach each node.
+
+    A round unites a node's sketch with those of its predecessors that grew in the round before; the growth of
+    its estimated size in round t are nodes at distance t. Tables have a row per node of at most 2^lg_k bytes
+    and the rounds are as many as the longest distance. Sizes up to some 2^lg_k / 11 are exact, larger ones have a
+    relative standard error of about 1.04 / sqrt(2^lg_k), 1.6 % by default.
+    """
+    edges = _stored(edges)
+    hops = cut_lineage(_without_loops(edges).select("src", "dst").distinct())
+    nodes = cut_lineage(_nodes(edges))
+    n = nodes.count()
+    state = cut_lineage(
+        nodes.groupBy("ip")
+        .agg(F.hll_sketch_agg("ip", lg_k).alias("sketch"))
+        .select("ip", "sketch", F.lit(1).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("t"), F.lit(True).alias("grew"))
+    )
+    depth = 0
+    while max_rounds is None or depth < max_rounds:
+        depth += 1
+        senders = state.filter("grew").select(F.col("ip").alias("src"), "sketch")
+        offers = hops.join(senders, "src").groupBy(F.col("dst").alias("ip")).agg(
+            F.hll_union_agg("sketch").alias("offer")
+        )
+        united = F.when(F.col("offer").isNull(), F.col("sketch")).otherwise(F.hll_union("sketch", "offer"))
+        sized = state.join(offers, "ip", "left").select(
+            "ip", united.alias("sketch"), F.col("r").alias("before"), "t"
+        ).withColumn("r", F.greatest(F.hll_sketch_estimate("sketch"), F.col("before")))
+        grown = F.col("r") - F.col("before")
+        state = cut_lineage(
+            sized.select("ip", "sketch", "r", (F.col("t") + depth * grown).alias("t"), (grown > 0).alias("grew"))
+        )
+        if state.filter("grew").isEmpty():
+            break
+    reached = F.col("r") - 1
+    share = F.try_divide(reached, F.col("t")) * (reached / max(n - 1, 1))
+    return state.select("ip", F.coalesce(share, F.lit(0.0)).alias("closeness"))
+
+
 def eigenvector_centrality(
     edges: DataFrame,
     *,

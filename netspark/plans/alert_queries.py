@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from netspark.functions import severity as sev
 from netspark.operators import alerts as al
+from netspark.operators import asof
 from netspark.operators import volume
 from netspark.plans.registry import query
 
@@ -139,6 +140,24 @@ def nearest_bin_join(inputs):
     return volume.nearest_bin(_alerts(inputs), grid, seconds=5)
 
 
+@query(
+    "nearest_in_time",
+    oracle="""WITH a AS (SELECT packet_id, src_ip, timestamp FROM packets WHERE attack_type <> 'normal'),
+        n AS (SELECT packet_id AS match_id, src_ip, timestamp AS match_time FROM packets
+              WHERE attack_type = 'normal' AND timestamp IS NOT NULL),
+        m AS (SELECT a.packet_id, match_id, match_time FROM a JOIN n ON a.src_ip = n.src_ip AND a.timestamp IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY a.packet_id
+                ORDER BY abs(a.timestamp - match_time), match_time, match_id) = 1)
+      SELECT a.*, match_id, match_time FROM a LEFT JOIN m USING (packet_id)""",
+)
+def nearest_in_time(inputs):
+    """For each packet of an attack the normal packet of the same source that is nearest in time."""
+    packets = inputs.view("packets").select("packet_id", "src_ip", "timestamp", "attack_type")
+    attacks = packets.filter("attack_type <> 'normal'").drop("attack_type")
+    normal = packets.filter("attack_type = 'normal'").drop("attack_type")
+    return asof.nearest_in_time(attacks, normal, left_id="packet_id", right_id="packet_id", keys=["src_ip"])
+
+
 def _volume_sql(step: int) -> str:
     return f"""SELECT CAST(g.x AS DOUBLE) AS bin_start, coalesce(n, 0) AS packet_count FROM
       (SELECT unnest(generate_series((SELECT CAST(floor(min(timestamp) / {step}) * {step} AS BIGINT) FROM packets),

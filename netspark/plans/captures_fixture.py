@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,19 @@ def encode_captures(packets: DataFrame, *, packets_per_file: int = 5_000) -> Dat
 
     numbered = packets.withColumn("_file", F.floor(F.col("packet_id") / packets_per_file))
     return numbered.groupBy("_file").applyInPandas(build, "path string, content binary")
+
+
+def write_captures(packets: DataFrame, folder: str, *, packets_per_file: int = 5_000) -> None:
+    """Capture files in a folder that all executors reach; a repeated task writes the same files again."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local = "://" not in folder and not folder.startswith("file:")
+        system, root = (pafs.LocalFileSystem(), folder) if local else pafs.FileSystem.from_uri(folder)
+        system.create_dir(root)
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                with system.open_output_stream(f"{root}/{name}") as file:
+                    file.write(content)
+            yield batch[["path"]]
+
+    encode_captures(packets, packets_per_file=packets_per_file).mapInPandas(write, "path string").count()

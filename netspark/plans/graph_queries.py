@@ -65,22 +65,27 @@ def induced_subgraph(inputs):
     return graph.induced_subgraph(edges, graph.top_degree_nodes(edges, 8))
 
 
-@query(
-    "closeness",
-    oracle="""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+_CLOSENESS = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
         nodes AS (SELECT src AS ip FROM edges UNION SELECT dst FROM edges),
         walk(s, v, d) AS (SELECT ip, ip, 0 FROM nodes
           UNION SELECT s, dst, d + 1 FROM walk JOIN e ON v = src WHERE d < 24),
         best AS (SELECT s, v, min(d) AS d FROM walk GROUP BY s, v HAVING min(d) > 0),
         t AS (SELECT v AS ip, count(*) AS r, sum(d) AS total FROM best GROUP BY v)
       SELECT ip, coalesce(CAST(r AS DOUBLE) / total * r / ((SELECT count(*) FROM nodes) - 1), 0) AS closeness
-      FROM nodes LEFT JOIN t USING (ip)""",
-    floats="closeness",
-)
+      FROM nodes LEFT JOIN t USING (ip)"""
+
+
+@query("closeness", oracle=_CLOSENESS, floats="closeness")
 def closeness(inputs):
     return graph.closeness(_edges(inputs))
 
 
+@query("closeness_sketched", oracle=_CLOSENESS, floats="closeness")
+def closeness_sketched(inputs):
+    """Sketches of so few nodes are exact."""
+    return graph.sketched_closeness(_edges(inputs))
+
+
 def _betweenness_sql(doublings: int = 5, hops: int = 23) -> str:
     """All-pairs form: distances by repeated min-plus products, path counts hop by hop,
     then the share of shortest paths through each node, for graphs of up to ``hops + 1`` nodes."""
@@ -124,6 +129,13 @@ def betweenness(inputs):
     return graph.betweenness(_edges(inputs))
 
 
+@query("betweenness_sampled", oracle=_betweenness_sql(), floats="betweenness")
+def betweenness_sampled(inputs):
+    """An error that so few nodes cannot promise: all sources are taken, in batches."""
+    found = graph.sampled_betweenness(_edges(inputs), error=0.001, batch=8)
+    return found.filter(F.col("error_bound") == 0).select("ip", "betweenness")
+
+
 @query("eigenvector_centrality", floats="eigenvector")
 def eigenvector_centrality(inputs):
     return graph.eigenvector_centrality(_edges(inputs))

@@ -14,7 +14,7 @@ from netspark.ml.features import feature_array, numeric_columns
 from netspark.operators import alerts as al
 from netspark.operators import flows, graph
 from netspark.session import cut_lineage
-from netspark.sources import captures, readers, sinks
+from netspark.sources import capture_source, captures, readers, sinks
 from netspark.streaming import streams
 
 
@@ -124,7 +124,7 @@ def preprocess_files(
 
 def capture_files(spark: SparkSession, source: str, target: str, run_id: str) -> str | None:
     """Capture files to a packet run."""
-    return sinks.write_run(captures.to_packets(captures.read_captures(spark, source)), target, run_id)
+    return sinks.write_run(captures.to_packets(capture_source.read_captures(spark, source)), target, run_id)
 
 
 def feature_files(

@@ -101,18 +101,22 @@ def pca_k(inputs):
 
 @query(
     "select_k_best",
-    oracle=f"""WITH {_EMB_WITH_LABEL}, {_LONG}, c AS (SELECT position, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY ALL),
-        g AS (SELECT position, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) AS between_classes,
-          sum(n * v) / (sum(n) - count(*)) AS within_classes FROM c GROUP BY position),
+    oracle=f"""WITH {_EMB_WITH_LABEL}, {_LONG}, l2 AS (SELECT * FROM l UNION ALL SELECT id, label, 0.1, (SELECT max(position) + 1 FROM l) FROM e),
+        c AS (SELECT position, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l2 GROUP BY ALL
+          QUALIFY min(min(x)) OVER (PARTITION BY position) < max(max(x)) OVER (PARTITION BY position)),
+        t AS (SELECT position, sum(n * m) / sum(n) AS mean FROM c GROUP BY position),
+        g AS (SELECT position, sum(n * (m - mean) * (m - mean)) / (count(*) - 1) AS between_classes,
+          sum(n * v) / (sum(n) - count(*)) AS within_classes FROM c JOIN t USING (position) GROUP BY position),
         f AS (SELECT position, CASE WHEN within_classes > 0 THEN between_classes / within_classes
           WHEN between_classes > 0 THEN CAST('Infinity' AS DOUBLE) END AS f_value FROM g)
       SELECT position, f_value FROM f ORDER BY f_value DESC, position LIMIT 10""",
     floats="f_value",
 )
 def select_k_best(inputs):
-    """The last feature separates the classes perfectly: its F is infinite."""
+    """One more feature separates the classes perfectly, with an infinite F; another is constant and has none."""
     df = embeddings(inputs)
-    df = df.withColumn("features", F.array_append("features", F.col("label").cast("double")))
+    more = F.array(F.col("label").cast("double"), F.lit(0.1))
+    df = df.withColumn("features", F.concat("features", more))
     best = reduce.f_statistics(df).orderBy(F.desc("f_value"), "position").limit(10)
     return best.withColumn("position", F.col("position").cast("bigint"))
 

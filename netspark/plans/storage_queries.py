@@ -7,11 +7,11 @@ from netspark.functions import payloads
 from netspark.ml import preprocess
 from netspark.operators import alerts as al
 from netspark.operators import flows, intel
-from netspark.plans.captures_fixture import encode_captures
+from netspark.plans.captures_fixture import encode_captures, write_captures
 from netspark.plans.intel_queries import NOW
 from netspark.plans.registry import query
 from netspark.session import scratch_path
-from netspark.sources import captures, readers, sinks
+from netspark.sources import capture_source, captures, readers, sinks
 
 
 @query("read_packets_csv", oracle="SELECT * FROM packets")
@@ -108,8 +108,11 @@ _LAYERED = """l AS (SELECT *, dst_ip IS NOT NULL AS ip,
     floats="timestamp",
 )
 def read_pcap_dir(inputs):
-    files = encode_captures(inputs.view("packets"))
-    return captures.dissect_captures(files).drop("file", "record", "highest_layer", "malformed")
+    """Files of a folder, each read in ranges by several tasks."""
+    folder = scratch_path(inputs.spark, "captures")
+    write_captures(inputs.view("packets"), folder)
+    found = capture_source.read_captures(inputs.spark, folder, range_bytes=100_000)
+    return found.drop("file", "record", "highest_layer", "malformed", "record_bytes", "file_bytes")
 
 
 @query(

@@ -6,11 +6,10 @@ from netspark.ml import detector as det
 from netspark.ml import preprocess
 from netspark.operators import alerts as al
 from netspark.plans import jobs
-from netspark.plans.feature_queries import _IAT
 from netspark.plans.registry import query
 from netspark.session import scratch_path
 from netspark.sources import readers
-from netspark.streaming import streams
+from netspark.streaming import live_gaps, streams
 
 #: Files that arrive one after the other.
 ARRIVALS = 3
@@ -108,30 +107,50 @@ def stream_statistics(inputs):
     return inputs.spark.read.parquet(streams.batch_folder(path, streams.last_batch(done)))
 
 
+#: Every so many-th packet arrives when its slot has been closed.
+_OVERDUE = 50
+
+
 @query(
     "stream_inter_arrival",
-    oracle=f"""SELECT src_ip, avg(inter_arrival_time) AS mean_inter_arrival,
-      stddev_samp(inter_arrival_time) AS std_inter_arrival, min(inter_arrival_time) AS min_inter_arrival,
-      max(inter_arrival_time) AS max_inter_arrival FROM ({_IAT}) i WHERE src_ip IS NOT NULL GROUP BY src_ip""",
+    oracle=f"""WITH kept AS (SELECT src_ip, timestamp - lag(timestamp) OVER (
+        PARTITION BY src_ip ORDER BY timestamp, packet_id) AS gap
+        FROM packets WHERE src_ip IS NOT NULL AND timestamp IS NOT NULL AND packet_id % {_OVERDUE} <> 0),
+      overdue AS (SELECT src_ip, count(timestamp) AS late, count(*) - count(timestamp) AS undated
+        FROM packets WHERE src_ip IS NOT NULL AND (packet_id % {_OVERDUE} = 0 OR timestamp IS NULL) GROUP BY src_ip),
+      gaps AS (SELECT src_ip, avg(gap) AS mean_gap, stddev_samp(gap) AS std_gap, min(gap) AS low, max(gap) AS high
+        FROM kept GROUP BY src_ip)
+      SELECT src_ip, mean_gap AS mean_inter_arrival, std_gap AS std_inter_arrival, low AS min_inter_arrival,
+        high AS max_inter_arrival, coalesce(late, 0)::BIGINT AS late_packets,
+        coalesce(undated, 0)::BIGINT AS undated_packets
+      FROM gaps FULL JOIN overdue USING (src_ip)""",
     floats="mean_inter_arrival std_inter_arrival min_inter_arrival max_inter_arrival",
 )
 def stream_inter_arrival(inputs):
-    """Gap statistics per source, carried across micro-batches."""
-    packets = readers.read_packet_stream(inputs.spark, arrive_in_order(inputs), files_per_trigger=1)
-    path = scratch_path(inputs.spark, "stream-gaps")
-    done = _drain(inputs, packets, streams.gap_state_writer(path), "gaps")
-    state = inputs.spark.read.parquet(streams.batch_folder(path, streams.last_batch(done)))
-    return streams.gap_statistics(state)
+    """Gap statistics per source of a live stream; some packets arrive too late and are only counted."""
+    packets = inputs.view("packets")
+    overdue = (F.col("packet_id") % _OVERDUE == 0) | F.col("timestamp").isNull()
+    path = arrive_in_order(inputs, packets.filter(~overdue))
+    low, high = packets.agg(F.min("timestamp"), F.max("timestamp")).first()
+    # A packet of a much later time closes all slots; it has no source of its own.
+    closing = packets.limit(1).withColumns(
+        {"timestamp": F.lit(high + 10 * (high - low) + 1e6), "src_ip": F.lit(None).cast("string")}
+    )
+    for part in (closing, packets.filter(overdue)):
+        part.coalesce(1).write.mode("append").option("header", True).csv(path)
+    stream = readers.read_packet_stream(inputs.spark, path, files_per_trigger=1)
+    slot_seconds = max(1, int((high - low) / 2))
+    slots = live_gaps.gap_slots(stream, slot_seconds=slot_seconds)
+    return live_gaps.statistics(_through_folder(inputs, slots, "stream-gaps"))
 
 
 #: Packets of one file that arrives in time order.
 ORDERED_FILE_ROWS = 500_000
 
 
-def arrive_in_order(inputs) -> str:
+def arrive_in_order(inputs, packets) -> str:
     """One file per arrival, of bounded size, so that no micro-batch sees a later packet first."""
     path = scratch_path(inputs.spark, "ordered")
-    packets = inputs.view("packets")
     low, high, rows = packets.agg(F.min("timestamp"), F.max("timestamp"), F.count(F.lit(1))).first()
     arrivals = max(ARRIVALS, -(-rows // ORDERED_FILE_ROWS))
     step = (high - low) / arrivals

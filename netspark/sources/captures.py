@@ -1,7 +1,7 @@
-"""Capture files to packets: one task per file, headers decoded with array operations.
+"""Captures to packets: headers decoded with array operations.
 
-A capture cannot be entered in the middle, so a file is the unit of work; rotate
-captures well below 2 GB, the most that one binary row can hold.
+``dissect_captures`` takes whole captures as binary rows, which hold 2 GB at most; ``capture_source`` reads
+files of any size by ranges.
 """
 
 from __future__ import annotations
@@ -173,7 +173,11 @@ def dissect_captures(files: DataFrame) -> DataFrame:
                 if found and len(data):
                     yield _dissect(path, first, data, found)
 
-    decoded = files.select("path", "content").mapInPandas(decode, schemas.DISSECTED)
+    return with_service(files.select("path", "content").mapInPandas(decode, schemas.DISSECTED))
+
+
+def with_service(decoded: DataFrame) -> DataFrame:
+    """Dissected records with the name of their highest layer."""
     service = F.coalesce(
         lookup(SERVICES, F.least("src_port", "dst_port")),
         F.col("transport"),
@@ -184,11 +188,6 @@ def dissect_captures(files: DataFrame) -> DataFrame:
     return decoded.withColumn("highest_layer", service)
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """All capture files of a folder, dissected."""
-    return dissect_captures(spark.read.format("binaryFile").load(path))
-
-
 def to_packets(dissected: DataFrame) -> DataFrame:
     """Dissected records to packets; malformed records are left out (count them separately).
 

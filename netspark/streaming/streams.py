@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netspark.functions import calendar
 from netspark.operators import alerts as al
-from netspark.operators import intel, ordering
+from netspark.operators import intel
 from netspark.session import remove_folder, scratch_scope
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -186,109 +186,6 @@ def enrich(alerts: DataFrame, threat_db: DataFrame, blocklist: DataFrame) -> Dat
     return intel.flag_blocklisted(intel.enrich_alerts(alerts, threat_db), blocklist)
 
 
-# --- gaps between packets across micro-batches ------------------------------------------
-
-_STATE = "src_ip string, last double, n bigint, mean double, m2 double, low double, high double, late bigint"
-
-
-def _merge(state: DataFrame, news: DataFrame) -> DataFrame:
-    """Combine counts, means and squared deviations of two sets of gaps per source."""
-    zero = F.lit(0)
-    a, b = F.coalesce("s.n", zero), F.coalesce("b.n", zero)
-    total = a + b
-    shift = F.coalesce("b.mean", F.lit(0.0)) - F.coalesce("s.mean", F.lit(0.0))
-    weight = F.coalesce(F.try_divide(b, total), F.lit(0.0))
-    both = F.when((a > 0) & (b > 0), shift * shift * a * weight).otherwise(0.0)
-    mean = F.when(a == 0, F.col("b.mean")).when(b == 0, F.col("s.mean")).otherwise(
-        F.col("s.mean") + shift * weight
-    )
-    return state.alias("s").join(news.alias("b"), "src_ip", "full").select(
-        "src_ip",
-        F.greatest("s.last", "b.last").alias("last"),
-        total.alias("n"),
-        mean.alias("mean"),
-        (F.coalesce("s.m2", F.lit(0.0)) + F.coalesce("b.m2", F.lit(0.0)) + both).alias("m2"),
-        F.least("s.low", "b.low").alias("low"),
-        F.greatest("s.high", "b.high").alias("high"),
-        (F.coalesce("s.late", zero) + F.coalesce("b.late", zero)).cast("bigint").alias("late"),
-    )
-
-
-def update_gaps(batch: DataFrame, state: DataFrame, *, expire_seconds: float | None = None) -> DataFrame:
-    """The state after a batch.
-
-    Each known source enters the batch with the time of its last packet, so the first
-    gap is measured across batches. A row older than that is late: it is counted in
-    ``late`` and left out. A source that has been silent for longer than
-    ``expire_seconds``, measured from the newest packet, is dropped; if it comes back, it
-    starts anew.
-    """
-    rows = batch.filter(F.col("src_ip").isNotNull()).select("packet_id", "timestamp", "src_ip")
-    dated = rows.join(state.select("src_ip", "last"), "src_ip", "left")
-    in_time = F.col("last").isNull() | (F.col("timestamp") >= F.col("last"))
-    late = dated.filter(~in_time).groupBy("src_ip").agg(F.count(F.lit(1)).alias("late"))
-    rows = dated.filter(in_time).drop("last")
-    seeds = state.join(rows.select("src_ip"), "src_ip", "left_semi").select(
-        F.lit(-1).cast("bigint").alias("packet_id"), F.col("last").alias("timestamp"), "src_ip"
-    )
-    placed = ordering.with_previous(rows.unionByName(seeds), "src_ip", "timestamp", "_prev")
-    gap = F.when(F.col("packet_id") >= 0, F.col("timestamp") - F.col("_prev"))
-    news = (
-        placed.withColumn("gap", gap)
-        .groupBy("src_ip")
-        .agg(
-            F.max("timestamp").alias("last"),
-            F.count("gap").alias("n"),
-            F.avg("gap").alias("mean"),
-            (F.var_pop("gap") * F.count("gap")).alias("m2"),
-            F.min("gap").alias("low"),
-            F.max("gap").alias("high"),
-        )
-    )
-    merged = _merge(state, news.join(late, "src_ip", "full"))
-    if expire_seconds is None:
-        return merged
-    times = batch.agg(F.max("timestamp").alias("t")).unionAll(state.agg(F.max("last").alias("t")))
-    newest = times.agg(F.max("t").alias("t")).first().t
-    return merged if newest is None else merged.filter(F.col("last") >= newest - expire_seconds)
-
-
-def gap_state_writer(path: str, *, expire_seconds: float | None = None) -> Callable[[DataFrame, int], None]:
-    """State as one table per batch: read the last one, write the next, drop the one before the last.
-
-    Every batch is an ordinary distributed job, so one busy source does not end up in a
-    single stateful task.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            state = spark.createDataFrame([], _STATE)
-        else:
-            state = spark.read.schema(_STATE).parquet(batch_folder(path, batch_id - 1))
-        with scratch_scope(spark):
-            after_batch = update_gaps(batch, state, expire_seconds=expire_seconds)
-            after_batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
-        # The state before is kept: a batch that is replayed starts from it.
-        if batch_id >= 2:
-            remove_folder(spark, batch_folder(path, batch_id - 2))
-
-    return write
-
-
-def gap_statistics(state: DataFrame) -> DataFrame:
-    """The state as the statistics of the batch operator."""
-    return state.select(
-        "src_ip",
-        F.col("mean").alias("mean_inter_arrival"),
-        F.when(F.col("n") > 1, F.sqrt(F.try_divide(F.col("m2"), F.col("n") - 1))).alias(
-            "std_inter_arrival"
-        ),
-        F.col("low").alias("min_inter_arrival"),
-        F.col("high").alias("max_inter_arrival"),
-    )
-
-
 def last_batch(query: StreamingQuery) -> int:
     """Number of the newest micro-batch of a finished query."""
     progress = query.lastProgress

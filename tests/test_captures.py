@@ -1,10 +1,12 @@
 """Hand-packed capture files."""
 
+import os
+import random
 import struct
 
 import pytest
 
-from netspark.sources import captures
+from netspark.sources import capture_source, captures
 
 
 def ipv4(protocol, payload, *, src=(10, 0, 0, 1), dst=(10, 0, 0, 2), ttl=64, offset=0, options=b""):
@@ -69,7 +71,7 @@ def blocks(frames, order="<"):
 
 def read(spark, tmp_path, data):
     (tmp_path / "a.pcap").write_bytes(data)
-    return captures.read_captures(spark, str(tmp_path))
+    return capture_source.read_captures(spark, str(tmp_path))
 
 
 FILES = {
@@ -118,5 +120,69 @@ def test_many_files_and_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(captures, "ROWS_PER_BATCH", 4)
     for i in range(5):
         (tmp_path / f"{i}.pcap").write_bytes(classic(FRAMES))
-    rows = captures.read_captures(spark, str(tmp_path)).collect()
-    assert len(rows) == 45 and {r.record for r in rows} == set(range(9))
+    rows = capture_source.read_captures(spark, str(tmp_path)).collect()
+    files = {r.file for r in rows}
+    assert len(rows) == 45 and len(files) == 5 and len({(r.file, r.record) for r in rows}) == 45
+
+
+def many_frames(count, seed=1):
+    """Frames of many sizes; some carry what looks like a few record headers."""
+    draw = random.Random(seed)
+    fake = b"".join(struct.pack("<IIII", 1_700_000_000, 7, 0, 0) for _ in range(5)) + b"\xff" * 20
+    out = []
+    for k in range(count):
+        payload = fake if k % 7 == 0 else draw.randbytes(draw.randint(0, 400))
+        out.append(ethernet(0x0800, ipv4(17, udp(k % 60_000, 53) + payload)))
+    return out
+
+
+@pytest.mark.parametrize("order, nanoseconds", [("<", False), (">", True)])
+@pytest.mark.parametrize("range_bytes", [1_000, 7_777, 1 << 20])
+def test_ranges_of_a_file_fit_together(spark, tmp_path, order, nanoseconds, range_bytes):
+    frames = many_frames(400)
+    (tmp_path / "a.pcap").write_bytes(classic(frames, order, nanoseconds, tail=b"\x01" * 9))
+    (tmp_path / "b.pcap").write_bytes(blocks(frames[:50]))
+    (tmp_path / ".hidden").write_bytes(b"x")
+    found = capture_source.read_captures(spark, str(tmp_path), range_bytes=range_bytes)
+    rows = found.orderBy("file", "record").collect()
+    assert [r.src_port for r in rows if not r.malformed] == [*range(400), *range(50)]
+    assert sum(r.malformed for r in rows) == 1  # the cut end
+    assert capture_source.untiled(spark, str(tmp_path), range_bytes=range_bytes).count() == 0
+    if range_bytes == 1_000:
+        assert found.rdd.getNumPartitions() > 90
+
+
+def test_a_hidden_chain_is_noticed(spark, tmp_path):
+    """A frame with a whole capture inside can mislead a range; the sums show it."""
+    inner = b"".join(struct.pack("<IIII", 1_700_000_000, 7, 20, 20) + b"\x00" * 20 for _ in range(60))
+    (tmp_path / "a.pcap").write_bytes(classic([*FRAMES, inner, *FRAMES]))
+    whole = capture_source.read_captures(spark, str(tmp_path))
+    assert whole.count() == 19 and capture_source.untiled(spark, str(tmp_path)).count() == 0
+    assert capture_source.untiled(spark, str(tmp_path), range_bytes=1_500).count() == 1
+
+
+def test_columns_and_counts_of_captures(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(classic(FRAMES))
+    spark.dataSource.register(capture_source.CaptureSource)
+    found = spark.read.format(capture_source.FORMAT).option("columns", "src_ip, timestamp").load(str(tmp_path))
+    assert found.columns == ["src_ip", "timestamp"] and found.count() == 9
+
+
+def test_arriving_captures(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+
+    def drained():
+        stream = capture_source.read_capture_stream(spark, str(folder), range_bytes=2_000)
+        query = (
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "point"))
+            .trigger(availableNow=True).start(out)
+        )
+        query.awaitTermination()
+        return sorted((r.file.rsplit("/", 1)[1], r.src_port) for r in spark.read.parquet(out).collect())
+
+    (folder / "a.pcap").write_bytes(classic(many_frames(40)))
+    assert drained() == [("a.pcap", k) for k in range(40)]
+    (folder / "b.pcap").write_bytes(classic(many_frames(30)))
+    os.utime(folder / "b.pcap", (2_000_000_000, 2_000_000_000))
+    assert drained() == [("a.pcap", k) for k in range(40)] + [("b.pcap", k) for k in range(30)]

@@ -161,20 +161,6 @@ def test_rollup_takes_the_latest_document(spark):
     assert found["3.3.3.3"].categories == ["local_blocklist"]
 
 
-def test_similarity_in_blocks_equals_broadcast(spark):
-    words = "alpha beta gamma delta epsilon zeta eta theta".split()
-    texts = [(i, " ".join(words[(i * k) % 8] for k in range(1, 5))) for i in range(40)]
-    threats = spark.createDataFrame(texts[:25], "item_id bigint, text string")
-    alerts = spark.createDataFrame([*texts, (99, None), (98, "the and")], "doc_id bigint, text string")
-    options = dict(alert_id="doc_id", alert_text="text", threat_id="item_id", threat_text="text")
-    one = sorted(map(tuple, similarity.most_similar(alerts, threats, **options).collect()))
-    two = sorted(map(tuple, similarity.most_similar(
-        alerts, threats, max_broadcast_bytes=1, block_rows=7, **options).collect()))
-    assert [r[:2] for r in one] == [r[:2] for r in two]
-    assert [r[2] for r in one] == pytest.approx([r[2] for r in two])
-    assert {r[0]: r[2] for r in one}[99] == 0.0
-
-
 def test_vocabulary_is_limited(spark):
     corpus = spark.createDataFrame([(1, "aa aa bb cc"), (2, "bb dd the")], "id bigint, text string")
     model = similarity.fit_terms(corpus, id_column="id", text_column="text", max_terms=2)

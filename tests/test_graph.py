@@ -127,3 +127,42 @@ def test_self_loop_counts_twice(spark):
 def test_node_metrics_keeps_others_when_eigenvector_fails(spark):
     table = graph.node_metrics(edges_of(spark, TIES)).collect()
     assert len(table) == 5 and all(r.closeness is not None for r in table)
+
+
+def random_edges(spark, nodes, degree, seed):
+    draw = np.random.default_rng(seed)
+    pairs = {(int(a), int(b)) for a in range(nodes) for b in draw.integers(0, nodes, degree) if a != b}
+    rows = [(f"n{a}", f"n{b}", int(draw.integers(1, 4))) for a, b in sorted(pairs)]
+    return spark.createDataFrame(rows, "src string, dst string, weight bigint")
+
+
+def test_sketches_keep_their_error(spark):
+    """With 2^9 bytes sizes beyond some 45 nodes are estimates, with a standard error of 4.6 %."""
+    edges = random_edges(spark, 300, 3, 1)
+    exact = {r.ip: r.closeness for r in graph.closeness(edges).collect()}
+    small = {r.ip: r.closeness for r in graph.sketched_closeness(edges, lg_k=9).collect()}
+    whole = {r.ip: r.closeness for r in graph.sketched_closeness(edges).collect()}
+    assert small.keys() == whole.keys() == exact.keys()
+    assert whole == pytest.approx(exact, rel=1e-9)
+    off = [abs(small[k] - v) / v for k, v in exact.items() if v]
+    # Closeness goes with the square of a size, so its error is twice as large.
+    assert np.sqrt(np.mean(np.square(off))) < 2 * 0.046 and max(off) < 8 * 0.046
+
+
+def test_sketched_closeness_of_odd_graphs(spark):
+    rows = [("a", "b", 1), ("b", "a", 1), ("c", "c", 1), ("d", "e", 1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight bigint")
+    found = {r.ip: r.closeness for r in graph.sketched_closeness(edges).collect()}
+    assert found == pytest.approx({r.ip: r.closeness for r in graph.closeness(edges).collect()})
+    assert graph.sketched_closeness(edges.where("false")).count() == 0
+
+
+def test_sampled_betweenness_keeps_its_bound(spark):
+    edges = random_edges(spark, 120, 2, 2)
+    exact = {r.ip: r.betweenness for r in graph.betweenness(edges).collect()}
+    rows = graph.sampled_betweenness(edges, error=0.6, batch=30).collect()
+    assert rows[0].sources < 120 and max(r.error_bound for r in rows) <= 0.6
+    assert all(abs(r.betweenness - exact[r.ip]) <= r.error_bound for r in rows)
+    every = graph.sampled_betweenness(edges, error=0.01, batch=50).collect()
+    assert {r.error_bound for r in every} == {0.0} and {r.sources for r in every} == {120}
+    assert {r.ip: r.betweenness for r in every} == pytest.approx(exact)

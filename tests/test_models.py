@@ -9,7 +9,6 @@ from netspark.ml import detector as det
 from netspark.ml.forest import IsolationForest, average_path, tree_samples
 from netspark.ml.outlier_factor import OutlierFactor
 from netspark.ml.sequence import SequenceDetector
-from netspark.operators import nearest
 
 
 @pytest.fixture(scope="module")
@@ -130,7 +129,131 @@ def brute_factors(train, rows, k, same):
     return -(lrd[order].mean(1) / own)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 1, "block_rows": 40}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 40}])
+def test_outlier_factor(spark, cloud, options):
+    points, df = cloud
+    rows = df.withColumnRenamed("features", "vector")
+    fitted = OutlierFactor.fit(rows, k=20, **options)
+    found = {r.id: r.raw for r in fitted.known.collect()}
+    assert [found[i] for i in range(305)] == pytest.approx(brute_factors(points, None, 20, True), rel=1e-9)
+    fresh = points[:50] + 0.5
+    new = spark.createDataFrame(
+        [(i, [float(x) for x in p]) for i, p in enumerate(fresh)], "id bigint, vector array<double>"
+    )
+    scored = {r.id: r.raw for r in fitted.raw_scores(new, **options).collect()}
+    assert [scored[i] for i in range(50)] == pytest.approx(brute_factors(points, fresh, 20, False), rel=1e-9)
+
+
+@pytest.mark.parametrize("model_type", det.MODEL_TYPES)
+@pytest.mark.parametrize("use_pca", [True, False])
+def test_outliers_have_the_lowest_scores(cloud, model_type, use_pca):
+    _, df = cloud
+    options = {"boundary_options": {"nu": 0.1}}
+    fitted = det.AnomalyDetector.fit(df, model_type, use_pca=use_pca, **options)
+    scored = fitted.transform(df).select("id", "anomaly_score", "prediction", "is_anomaly").collect()
+    assert len(scored) == 305
+    worst = sorted(scored, key=lambda r: r.anomaly_score)[:5]
+    if model_type == det.FACTOR:  # the five are each other's neighbours, trained on themselves
+        assert all(np.isfinite(r.anomaly_score) for r in scored)
+    else:
+        assert {r.id for r in worst} == {300, 301, 302, 303, 304}
+    assert all(r.is_anomaly == (r.prediction == -1) for r in scored)
+
+
+def test_forest_is_the_same_for_every_partitioning(cloud):
+    _, df = cloud
+    one = IsolationForest.fit(df.repartition(1), trees=10)
+    many = IsolationForest.fit(df.repartition(13), trees=10)
+    assert one.nodes().equals(many.nodes())
+
+
+def test_forest_samples(cloud):
+    _, df = cloud
+    samples = tree_samples(df, trees=7, rows=64, seed=1, total=305)
+    counts = samples.groupBy("tree").agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).collect()
+    assert [(r.n, r.d) for r in counts] == [(64, 64)] * 7
+
+
+def test_forest_samples_of_a_large_table(spark):
+    df = spark.range(200_000).withColumn("features", F.array(F.col("id").cast("double")))
+    samples = tree_samples(df, trees=100, rows=256, seed=42, total=200_000)
+    counts = samples.groupBy("tree").count().collect()
+    assert len(counts) == 100 and all(r["count"] == 256 for r in counts)
+
+
+def test_average_path():
+    assert average_path(1) == 0 and average_path(2) == 1
+    assert average_path(256) == pytest.approx(10.2448, abs=1e-3)
+
+
+def test_packet_outliers(packets, spark):
+    """Packets of length 9999 to port 31337 among ordinary ones."""
+    odd = {"length": 9999, "dst_port": 31337}
+    rows = [(i, i, "10.0.0.1", "10.0.0.2", {"length": 60 + i % 50, "dst_port": 80 + i % 3}) for i in range(95)]
+    rows += [(95 + i, 95 + i, "10.0.0.1", "10.0.0.2", odd) for i in range(5)]
+    table = packets(rows)
+    model = preprocess.fit_preprocessor(table)
+    df = preprocess.apply_preprocessor(model, table).withColumnRenamed("packet_id", "id")
+    scored = det.AnomalyDetector.fit(df.select("id", "features")).transform(df.select("id", "features"))
+    worst = scored.orderBy("anomaly_score").limit(5).collect()
+    assert {r.id for r in worst} == {95, 96, 97, 98, 99}
+
+
+def test_contamination(cloud):
+    _, df = cloud
+    scored = det.AnomalyDetector.fit(df, contamination=0.1).transform(df)
+    assert scored.filter("is_anomaly").count() == 31  # the lowest tenth of 305
+
+
+def test_fourier_features_approach_the_kernel():
+    generator = np.random.default_rng(0)
+    points = generator.normal(size=(40, 5))
+    exact = np.exp(-0.2 * ((points[:, None] - points[None]) ** 2).sum(-1))
+    z = boundary.FourierMap.draw(5, 0.2, features=4096)(points)
+    assert np.abs(z @ z.T - exact).max() < 0.08
+
+
+def test_boundary_share_outside(cloud):
+    points, df = cloud
+    fitted = boundary.Boundary.fit(df, nu=0.2)
+    assert np.mean(fitted.scores(points) < 0) == pytest.approx(0.2, abs=0.01)
+
+
+def test_boundary_solves_the_dual(cloud):
+    """No convex combination within the box has a clearly shorter normal vector."""
+    points, df = cloud
+    fitted = boundary.Boundary.fit(df, nu=0.5, steps=200)
+    z = fitted.fourier(points)
+    weights = np.full(len(z), 1 / len(z))
+    for step in range(3000):
+        margin = z @ (weights @ z)
+        order = np.argsort(margin)
+        target = np.zeros(len(z))
+        target[order[: len(z) // 2]] = 1 / (len(z) // 2)
+        weights += 2 / (step + 2) * (target - weights)
+    best = np.linalg.norm(weights @ z)
+    assert np.linalg.norm(fitted.normal) <= best * 1.05
+
+
+def brute_factors(train, rows, k, same):
+    def knn(points, skip):
+        d = np.sqrt(((points[:, None] - train[None]) ** 2).sum(-1))
+        if skip:
+            np.fill_diagonal(d, np.inf)
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return order, np.take_along_axis(d, order, 1)
+
+    order, dist = knn(train, True)
+    radius = dist[:, -1]
+    lrd = 1 / (np.maximum(dist, radius[order]).mean(1) + 1e-10)
+    if same:
+        return -(lrd[order].mean(1) / lrd)
+    order, dist = knn(rows, False)
+    own = 1 / (np.maximum(dist, radius[order]).mean(1) + 1e-10)
+    return -(lrd[order].mean(1) / own)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 40}])
 def test_outlier_factor(spark, cloud, options):
     points, df = cloud
     rows = df.withColumnRenamed("features", "vector")
@@ -250,3 +373,16 @@ def test_sequences_flag_the_odd_run(packets):
     flagged = {i for i, r in found.items() if r.prediction == -1}
     assert flagged and flagged <= set(range(9, 200))
     assert len(flagged) == 10  # 5 % of 191 runs lie above the 95th percentile
+
+
+def test_constants_are_never_selected(spark):
+    """Rounding of sums must not make a constant look infinitely far apart."""
+    constants = [0.1, 0.3, 0.7, 1.1, 2.3, 0.001, 123.456, 5.0]
+    rows = [(i % 3, [*constants, (i % 3) * 10.0 + (i % 7) * 0.1, float(i % 2), float(i % 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "label int, features array<double>")
+    found = {r.position: r.f_value for r in reduce.f_statistics(df).collect()}
+    assert all(found[k] is None for k in range(len(constants)))
+    assert found[10] == float("inf") and found[8] > 1000 > found[9] >= 0
+    positions, _ = reduce.select_k_best(df, 2)
+    assert positions == [8, 10]
+    assert reduce.select_k_best(df, 9)[0] == [8, 9, 10]

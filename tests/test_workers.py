@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 
 from netspark.ml.boundary import FourierMap
 from netspark.ml.forest import IsolationForest, _grow
-from netspark.operators.nearest import negative_distances
+from netspark.operators.metric_index import distances
 from netspark.sources.captures import records
 
 LOAD = """
@@ -30,7 +30,7 @@ def test_functions_travel_by_value(tmp_path):
         columns=["node", "feature", "threshold", "left", "right", "path"],
     ).assign(tree=0)
     forest = IsolationForest.from_nodes(nodes, 6)
-    extra = (FourierMap.draw(2, 0.5), negative_distances, records)
+    extra = (FourierMap.draw(2, 0.5), distances, records)
     (tmp_path / "task").write_bytes(cloudpickle.dumps((forest, rows, extra)))
     environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run(
