@@ -36,13 +36,13 @@ from netspark.session import cut_lineage
 
 UNIT = 1_000_000_000
 #: Terms counted in a task before they are sent on, about 0.2 kB each.
-TASK_TERMS = 400_000
+TASK_TERMS = 200_000
 #: Rows of an Arrow batch, and bytes of terms at which it ends sooner.
 OUT_ROWS, OUT_BYTES = 20_000, 16 << 20
 #: 64-bit words of the bitmaps of digests (2 MB).
 BITMAP_WORDS = 1 << 18
 #: Pairs of sources of common terms that are held at once.
-PAIR_BLOCK = 1 << 20
+PAIR_BLOCK = 1 << 18
 
 #: ASCII bytes that are no letters separate terms; A-Z become a-z; bytes of other characters stay.
 TERM_BYTES = bytes(
@@ -50,12 +50,16 @@ TERM_BYTES = bytes(
 )
 
 DOC_SCHEMA = "lang string, digest long, term string, docs long"
-COUNT_SCHEMA = "lang string, source string, digest long, split string, n long"
+COUNT_SCHEMA = "lang string, digest long, split string, counts array<struct<source:string,n:long>>"
 PAIR_SCHEMA = "lang string, source string, item string, value long"
 
 
-def terms_of(text: str) -> list[bytes]:
-    return text.encode().translate(TERM_BYTES).split()
+def terms_of(text: bytes) -> list[bytes]:
+    return text.translate(TERM_BYTES).split()
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def digest_of(term: bytes, bits: int) -> int:
@@ -96,7 +100,7 @@ def _document_counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in zip(batch.column("lang").to_pylist(), _texts(batch)):
                 tables.setdefault(lang, Counter()).update(set(terms_of(text)))
             if sum(map(len, tables.values())) > TASK_TERMS:
                 yield from rows(tables)
@@ -107,33 +111,53 @@ def _document_counts(bits: int):
 
 
 def _source_counts(bits: int, kept: np.ndarray, shared: np.ndarray | None):
-    """Occurrences of terms whose digest may be kept, by lang and source."""
+    """Occurrences of terms whose digest may be kept, by lang: a row for each term with its sources."""
 
     def rows(tables: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+        by_lang: dict[str, list[tuple[str, Counter]]] = {}
         for (lang, source), counted in tables.items():
-            for terms, counts, digests in _batches(counted, bits):
-                some = np.flatnonzero(_in_bitmap(kept, digests))
-                splits = [""] * len(some)
-                if shared is not None:
-                    named = _in_bitmap(shared, digests[some])
-                    splits = [terms[k].decode() if yes else "" for k, yes in zip(some, named)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(some), pa.string()),
-                        pa.array([source] * len(some), pa.string()),
-                        pa.array(digests[some]),
-                        pa.array(splits, pa.string()),
-                        pa.array(np.array(counts, np.int64)[some]),
-                    ],
-                    names=["lang", "source", "digest", "split", "n"],
-                )
+            by_lang.setdefault(lang, []).append((source, counted))
+        for lang, sources in by_lang.items():
+            terms = [t for _, counted in sources for t in counted]
+            if not terms:
+                continue
+            counts = np.fromiter((n for _, counted in sources for n in counted.values()), np.int64, len(terms))
+            origin = np.repeat(np.arange(len(sources)), [len(counted) for _, counted in sources])
+            digests = np.fromiter((digest_of(t, bits) for t in terms), np.uint64, len(terms)).view(np.int64)
+            some = np.flatnonzero(_in_bitmap(kept, digests))
+            splits = np.full(len(terms), "", object)
+            if shared is not None:
+                for k in some[_in_bitmap(shared, digests[some])].tolist():
+                    splits[k] = terms[k].decode()
+                some = some[np.argsort(splits[some].astype(str), kind="stable")]
+            some = some[np.argsort(digests[some], kind="stable")]
+            new = np.diff(digests[some]) != 0
+            if shared is not None:
+                new |= splits[some][1:] != splits[some][:-1]
+            begin = np.concatenate(([0], np.flatnonzero(new) + 1)) if len(some) else np.empty(0, np.int64)
+            ends = np.append(begin, len(some)).astype(np.int32)
+            names = pa.array([source for source, _ in sources], pa.string())
+            pairs = pa.StructArray.from_arrays(
+                [names.take(pa.array(origin[some])), pa.array(counts[some])], names=["source", "n"]
+            )
+            whole = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(begin), pa.string()),
+                    pa.array(digests[some][begin]),
+                    pa.array(splits[some][begin].tolist(), pa.string()),
+                    pa.ListArray.from_arrays(pa.array(ends), pairs),
+                ],
+                names=["lang", "digest", "split", "counts"],
+            )
+            for at in range(0, len(begin), OUT_ROWS):
+                yield whole.slice(at, OUT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[tuple[str, str], Counter] = {}
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("lang", "source", "text"))
-            for lang, source, text in zip(*columns):
-                tables.setdefault((lang, source), Counter()).update(terms_of(text))
+            keys = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            for key, text in zip(keys, _texts(batch)):
+                tables.setdefault(key, Counter()).update(terms_of(text))
             if sum(map(len, tables.values())) > TASK_TERMS:
                 yield from rows(tables)
                 tables = {}
@@ -210,7 +234,7 @@ def term_counts(docs: DataFrame, kept: DataFrame, shared: DataFrame | None, bits
         (F.col("kept_split") == "") | (F.col("kept_split") == F.col("split"))
     )
     term = ["lang", "digest", "kept_split"]
-    summed = met.groupBy(*term, "source").agg(F.sum("n").alias("n"))
+    summed = met.select(*term, F.inline("counts")).groupBy(*term, "source").agg(F.sum("n").alias("n"))
     return summed.withColumn("lang_n", F.sum("n").over(Window.partitionBy(*term))).select(
         "lang", "source", "digest", F.col("kept_split").alias("split"), "n", "lang_n"
     )
@@ -321,7 +345,9 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, bits: int = 64) ->
         share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
         share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"),
     )
-    return _pair_part(groups, shares).unionByName(_term_part(shares, kept, top))
+    # Terms of equal shares have equal values, so their number is all that most of what follows needs.
+    equal = cut_lineage(shares.groupBy("lang", "source", "p", "p0", "q").agg(F.count(F.lit(1)).alias("terms")))
+    return _pair_part(groups, shares, equal).unionByName(_term_part(shares, equal, kept, top))
 
 
 def _ranked(df: DataFrame, part: str) -> DataFrame:
@@ -331,7 +357,7 @@ def _ranked(df: DataFrame, part: str) -> DataFrame:
     )
 
 
-def _pair_part(groups: DataFrame, shares: DataFrame) -> DataFrame:
+def _pair_part(groups: DataFrame, shares: DataFrame, equal: DataFrame) -> DataFrame:
     """All ordered pairs of sources of a lang, which is what is put out, and three sums for each."""
     others = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     differ = F.col("source") != F.col("item")
@@ -339,9 +365,8 @@ def _pair_part(groups: DataFrame, shares: DataFrame) -> DataFrame:
     base = groups.select("lang", "source", "kept", "p0").join(others, "lang").where(differ).select(
         "lang", "source", "item", F.coalesce(F.col("kept") * spread(p0, q0), F.lit(0)).alias("value")
     )
-    # Terms of equal share add equal amounts.
-    equal = cut_lineage(shares.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("terms")))
-    met = equal.join(others, "lang").where(differ)
+    own_shares = equal.groupBy("lang", "source", "p", "p0").agg(F.sum("terms").alias("terms"))
+    met = own_shares.join(others, "lang").where(differ)
     own = met.select(
         "lang", "source", "item", (F.col("terms") * (spread(p, q0) - spread(p0, q0))).alias("value")
     )
@@ -365,18 +390,21 @@ def _pair_part(groups: DataFrame, shares: DataFrame) -> DataFrame:
     return _ranked(summed, "pair")
 
 
-def _term_part(shares: DataFrame, kept: DataFrame, top: int) -> DataFrame:
+def _term_part(shares: DataFrame, equal: DataFrame, kept: DataFrame, top: int) -> DataFrame:
     """The largest values by digest first; strings join what can still be among them and settle the ties."""
-    valued = shares.where(F.col("p") > F.col("q")).select(
-        "lang", "source", "digest", "split", spread(F.col("p"), F.col("q")).alias("value")
-    )
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+    group = ["lang", "source"]
+    over = F.col("p") > F.col("q")
+    value = spread(F.col("p"), F.col("q")).alias("value")
+    values = equal.where(over).select(*group, value, "terms").groupBy(*group, "value").agg(F.sum("terms").alias("terms"))
+    larger = Window.partitionBy(*group).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    # The smallest value that begins among the first.
     last = (
-        valued.select("lang", "source", "value", F.row_number().over(by_value).alias("at"))
-        .where(F.col("at") <= top)
-        .groupBy("lang", "source")
+        values.withColumn("before", F.coalesce(F.sum("terms").over(larger), F.lit(0)))
+        .where(F.col("before") < top)
+        .groupBy(*group)
         .agg(F.min("value").alias("last"))
     )
-    near = valued.join(cut_lineage(last), ["lang", "source"]).where(F.col("value") >= F.col("last"))
+    valued = shares.where(over).select(*group, "digest", "split", value)
+    near = valued.join(cut_lineage(last), group).where(F.col("value") >= F.col("last"))
     named = near.join(kept, ["lang", "digest", "split"]).withColumnRenamed("term", "item")
     return _ranked(named, "term").where(F.col("rank") <= top)
