@@ -25,6 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netspark.llm.workers import free_name, prepared, worker_state
 
@@ -283,16 +284,16 @@ def _mapped(docs: DataFrame, model: str, text: str, output: str, check: bool, di
     if digests:
         kept = docs.drop(text)
         names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-        types = ["long", "string", "string"]
+        types = [T.LongType(), T.StringType(), T.StringType()]
     else:
         kept = docs
-        names, types = [output, f"{output}_text"], ["array<int>", "string"]
+        names, types = [output, f"{output}_text"], [T.ArrayType(T.IntegerType()), T.StringType()]
     for k, name in enumerate(names):
         names[k] = free_name(kept, name)
     inner = free_name(docs, "_piece_text")
     carried = kept.columns
     source = docs.select(*carried, F.col(text).cast("string").alias(inner))
-    schema = kept.schema
+    schema = T.StructType(kept.schema.fields)
     for name, kind in zip(names, types):
         schema = schema.add(name, kind)
 
