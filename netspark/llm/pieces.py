@@ -9,7 +9,9 @@ Merges never cross a place that no piece spans, so a text falls into segments th
 blanks, and around characters that stand in no longer piece (digits, say). Where these places are is read off
 the vocabulary. Frequent segments are remembered.
 
-Each Arrow batch is also encoded and decoded by the library; a difference ends the task with an error.
+Each Arrow batch is checked against the library: the segments that were encoded for it, put in a row between
+line feeds, are encoded by the library as well, so that every remembered segment has been compared once;
+so is one whole text of the batch, and all texts are decoded by the library. A difference ends the task with an error.
 """
 
 from __future__ import annotations
@@ -93,6 +95,10 @@ class PieceVocabulary:
                         left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                         if left is not None and right is not None:
                             self.pairs[left << 15 | right] = known
+        #: No piece has a line feed beside another character.
+        self.apart = not any("\n" in p and len(p) > 1 for p in self.ids) and not any(
+            BLANK in p.lstrip(BLANK) for p in self.ids
+        )
         self.segment = re.compile(_segment_pattern(p for p in self.ids if len(p) > 1))
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -218,11 +224,14 @@ class SegmentIds(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.older: dict[str, tuple[int, ...]] = {}
+        #: Segments encoded since the last check.
+        self.fresh: list[str] = []
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
         ids = self.older.get(segment)
         if ids is None:
             ids = tuple(self.vocabulary.segment_ids(segment))
+            self.fresh.append(segment)
         if len(segment) <= CACHE_CHARS:
             if len(self) >= CACHE_SEGMENTS:
                 self.older = dict(self)
@@ -244,20 +253,48 @@ def segment_ids(model: str) -> SegmentIds:
     return worker_state(f"segments:{model}", lambda: SegmentIds(PieceVocabulary(model)))
 
 
-def check_batch(cache: SegmentIds, texts: list[str], ids: list[list[int]], decoded: list[str]) -> None:
-    """Compare a batch with the library's own ids and texts."""
-    library = cache.vocabulary.library
+def check_segments(cache: SegmentIds) -> None:
+    """Compare the segments encoded since the last check with the library's ids."""
+    vocabulary, fresh = cache.vocabulary, cache.fresh
+    cache.fresh = []
+    lead, feed = vocabulary.library.encode("\n"), vocabulary.segment_ids("\n")
     at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end]) <= CHECK_CHARS):
-            chars += len(texts[end])
-            end += 1
-        if library.encode(texts[at:end], add_bos=False, add_eos=True, num_threads=1) != ids[at:end]:
+    while at < len(fresh):
+        # No piece reaches over a line feed, so segments stay apart in a row of them.
+        row, expected, chars = [], list(lead), 0
+        while at < len(fresh) and (chars == 0 or chars + len(fresh[at]) <= CHECK_CHARS):
+            segment = fresh[at]
+            row += "\n", segment
+            expected += feed if chars else ()
+            expected += cache[segment] if segment in cache else vocabulary.segment_ids(segment)
+            chars += len(segment)
+            at += 1
+        if vocabulary.library.encode("".join(row)) != expected:
             raise RuntimeError("ids differ from those of the sentencepiece library")
-        if library.decode(ids[at:end], num_threads=1) != decoded[at:end]:
-            raise RuntimeError("decoded texts differ from those of the sentencepiece library")
-        at = end
+
+
+def check_texts(cache: SegmentIds, texts: list[str], ids: list[list[int]]) -> None:
+    """Compare the ids of whole texts with the library's."""
+    if cache.vocabulary.library.encode(texts, add_bos=False, add_eos=True, num_threads=1) != ids:
+        raise RuntimeError("ids differ from those of the sentencepiece library")
+
+
+def check_decoded(cache: SegmentIds, ids: list[list[int]], decoded: list[str]) -> None:
+    """Compare decoded texts with the library's."""
+    if cache.vocabulary.library.decode(ids, num_threads=1) != decoded:
+        raise RuntimeError("decoded texts differ from those of the sentencepiece library")
+
+
+def check_batch(cache: SegmentIds, texts: list[str], ids: list[list[int]], decoded: list[str], number: int = 0) -> None:
+    """Compare a batch with the library's own ids and texts; ``number`` chooses the text that is compared whole."""
+    if cache.vocabulary.apart:
+        check_segments(cache)
+        whole = number % len(texts) if texts else 0
+        check_texts(cache, texts[whole : whole + 1], ids[whole : whole + 1])
+    else:
+        cache.fresh.clear()
+        check_texts(cache, texts, ids)
+    check_decoded(cache, ids, decoded)
 
 
 def encoded(docs: DataFrame, model: str, text: str = "text", output: str = "ids", check: bool = True) -> DataFrame:
@@ -300,12 +337,12 @@ def _mapped(docs: DataFrame, model: str, text: str, output: str, check: bool, di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = segment_ids(model)
         decode, names_of = cache.vocabulary.decode, cache.vocabulary.decimals.__getitem__
-        for batch in batches:
+        for number, batch in enumerate(batches):
             texts = [t or "" for t in batch.column(inner).to_pylist()]
             ids = [cache.ids(t) for t in texts]
             decoded = [decode(i) for i in ids]
             if check:
-                check_batch(cache, texts, ids, decoded)
+                check_batch(cache, texts, ids, decoded, number)
             if digests:
                 made = [
                     pa.array([len(i) for i in ids], pa.int64()),
