@@ -236,13 +236,24 @@ def test_generations_of_the_cache(cache, monkeypatch):
     assert len(small) <= 3 and len(small.older) <= 3
 
 
-def test_a_difference_is_an_error(cache):
+def test_a_difference_is_an_error(cache, monkeypatch):
     ids = cache.ids("some text")
     pieces.check_batch(cache, ["some text"], [ids], ["some text"])
     with pytest.raises(RuntimeError):
         pieces.check_batch(cache, ["some text"], [ids[:-1]], ["some text"])
     with pytest.raises(RuntimeError):
         pieces.check_batch(cache, ["some text"], [ids], ["other text"])
+    fresh = pieces.SegmentIds(cache.vocabulary)
+    texts = ["one two,three  4four ", "one two"]
+    ids = [fresh.ids(t) for t in texts]
+    assert " one" in fresh.fresh and "," in fresh.fresh
+    pieces.check_batch(fresh, texts, ids, texts)
+    assert not fresh.fresh
+    # A segment that was encoded wrongly is found although its text is not the one compared whole.
+    fresh.ids("wrong")
+    fresh[" wrong"] = fresh[" one"]
+    with pytest.raises(RuntimeError):
+        pieces.check_batch(fresh, texts, ids, texts)
 
 
 def test_pieces_of_odd_documents(spark, odd_docs, no_docs):
