@@ -134,7 +134,7 @@ def betweenness(inputs):
 @query("betweenness_sampled", oracle=_betweenness_sql(), floats="betweenness")
 def betweenness_sampled(inputs):
     """An error that so few nodes cannot promise: all sources are taken, in batches."""
-    found = graph.sampled_betweenness(_edges(inputs), error=0.001, batch=8)
+    found = graph.sampled_betweenness(_edges(inputs), error=0.001, batch=12)
     return found.filter(F.col("error_bound") == 0).select("ip", "betweenness")
 
 

@@ -102,7 +102,7 @@ def pca_k(inputs):
 @query(
     "select_k_best",
     oracle=f"""WITH {_EMB_WITH_LABEL}, {_LONG}, l2 AS (SELECT * FROM l UNION ALL SELECT id, label, 0.1, (SELECT max(position) + 1 FROM l) FROM e),
-        c AS (SELECT position, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l2 GROUP BY ALL
+        c AS (SELECT position, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l2 GROUP BY position, label
           QUALIFY min(min(x)) OVER (PARTITION BY position) < max(max(x)) OVER (PARTITION BY position)),
         t AS (SELECT position, sum(n * m) / sum(n) AS mean FROM c GROUP BY position),
         g AS (SELECT position, sum(n * (m - mean) * (m - mean)) / (count(*) - 1) AS between_classes,
