@@ -1,7 +1,13 @@
-"""Isolation forest (Liu, Ting and Zhou 2008), grown and scored on the executors."""
+"""Isolation forest (Liu, Ting and Zhou 2008), grown and scored on the executors.
+
+All draws are counted, not taken from a generator: the MD5 of seed, tree and row id orders the rows of a sample,
+the MD5 of seed, tree and node picks a node's feature and threshold. So a forest depends on nothing but the rows
+and the seed, and any engine with MD5 can grow the same one level by level.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -14,6 +20,8 @@ TREES = 100
 SAMPLE_ROWS = 256
 SEED = 42
 AUTO_OFFSET = -0.5
+#: Values of a draw: 13 hexadecimal digits, which a double holds exactly.
+DRAWS = 1 << 52
 _NODE = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
 
@@ -36,16 +44,17 @@ def tree_samples(
     leaves enough candidates, of which the smallest draws are kept. The same rows are
     chosen however the data is partitioned.
     """
-    spread = 2**52
     chance = min(1.0, (rows + 8.0 * math.sqrt(rows) + 32.0) / max(total, 1))
     taking_part = min(1.0, trees * chance)
-    draw = lambda *parts: F.pmod(F.xxhash64(F.col(id_column), *parts), F.lit(spread))
+    draw = lambda *parts: F.md5(F.concat_ws("-", F.lit(seed), *parts, F.col(id_column)))
+    # Draws are compared as hexadecimal text, whose order is that of the numbers.
+    limit = lambda share: F.lit(f"{min(int(share * DRAWS), DRAWS - 1):013x}g")
     candidates = (
         df.select(id_column, "features")
-        .filter(draw(F.lit(seed)) <= int(taking_part * spread))
+        .filter(draw() <= limit(taking_part))
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_draw", draw(F.col("tree"), F.lit(seed)))
-        .filter(F.col("_draw") <= int(chance / taking_part * spread))
+        .withColumn("_draw", draw(F.col("tree")))
+        .filter(F.col("_draw") <= limit(chance / taking_part))
     )
     order = Window.partitionBy("tree").orderBy("_draw", id_column)
     return (
@@ -55,11 +64,16 @@ def tree_samples(
     )
 
 
-def _grow(matrix: np.ndarray, generator: np.random.Generator, depth_limit: int) -> list[tuple]:
-    """Nodes (node, feature, threshold, left, right, path); a leaf has feature -1."""
+def node_draws(seed: int, tree: int, node: int) -> tuple[int, float]:
+    """What picks the feature of a node, and where its threshold lies between 0 and 1."""
+    digest = hashlib.md5(f"{seed}-{tree}-node-{node}".encode()).hexdigest()
+    return int(digest[24:], 16), int(digest[:13], 16) / DRAWS
+
+
+def _grow(matrix: np.ndarray, seed: int, tree: int, depth_limit: int) -> list[tuple]:
+    """Nodes (node, feature, threshold, left, right, path); a leaf has feature -1, node n the children 2n + 1 and 2n + 2."""
     nodes: list[tuple] = []
     stack = [(0, np.arange(len(matrix)), 0)]
-    next_node = 1
     while stack:
         node, members, depth = stack.pop()
         part = matrix[members]
@@ -68,11 +82,13 @@ def _grow(matrix: np.ndarray, generator: np.random.Generator, depth_limit: int)
         if depth >= depth_limit or len(members) <= 1 or not len(usable):
             nodes.append((node, -1, 0.0, node, node, depth + average_path(len(members))))
             continue
-        feature = int(generator.choice(usable))
-        threshold = float(generator.uniform(low[feature], high[feature]))
+        pick, share = node_draws(seed, tree, node)
+        feature = int(usable[pick % len(usable)])
+        threshold = float(low[feature] + share * (high[feature] - low[feature]))
+        if not threshold < high[feature]:  # rounded up: the highest row still goes right
+            threshold = float(low[feature])
         goes_left = part[:, feature] <= threshold
-        left, right = next_node, next_node + 1
-        next_node += 2
+        left, right = 2 * node + 1, 2 * node + 2
         nodes.append((node, feature, threshold, left, right, 0.0))
         stack.append((right, members[~goes_left], depth + 1))
         stack.append((left, members[goes_left], depth + 1))
@@ -114,7 +130,7 @@ class IsolationForest:
             matrix = np.stack(sample["features"].to_numpy()).astype(np.float64)
             if prepare is not None:
                 matrix = prepare(matrix)
-            found = _grow(matrix, np.random.default_rng([seed, tree]), depth_limit)
+            found = _grow(matrix, seed, tree, depth_limit)
             frame = pd.DataFrame(
                 found, columns=["node", "feature", "threshold", "left", "right", "path"]
             )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from netspark.ml import detector as det
 from netspark.ml import preprocess, reduce
 from netspark.ml.sequence import SequenceDetector
+from netspark.plans.forest_sql import VERDICT, forest_ctes
 from netspark.plans.registry import query
 from netspark.session import cut_lineage, scratch_path
 
@@ -127,8 +128,17 @@ def _detected(inputs, model_type, **options):
     return detector.transform(df).drop("features", "label")
 
 
-@query("isolation_forest", floats="anomaly_score")
+_FOREST_ON_EMBEDDINGS = f"WITH {_EMB}, {forest_ctes('e', 'e')} SELECT {VERDICT} FROM forest_scores"
+
+
+@query("isolation_forest", oracle=_FOREST_ON_EMBEDDINGS, floats="anomaly_score")
 def isolation_forest(inputs):
+    return _detected(inputs, det.FOREST, use_pca=False)
+
+
+@query("isolation_forest_reduced", floats="anomaly_score")
+def isolation_forest_reduced(inputs):
+    """On the components that explain 95 % of the variance."""
     return _detected(inputs, det.FOREST)
 
 
@@ -221,14 +231,27 @@ def contamination_threshold(inputs):
     return scored.withColumn("is_anomaly", F.col("anomaly_score") < F.lit(cut))
 
 
-@query("predict_score", floats="anomaly_score")
+_PROTOCOLS = "(SELECT DISTINCT protocol FROM f)"
+_PACKET_FEATURES = f"""f AS MATERIALIZED (SELECT packet_id, coalesce(protocol, 'unknown') AS protocol, {_FILLED} FROM packets),
+  o AS (SELECT packet_id, list(CAST(f.protocol = p.protocol AS DOUBLE) ORDER BY p.protocol) AS hot
+        FROM f CROSS JOIN {_PROTOCOLS} p GROUP BY packet_id),
+  e AS MATERIALIZED (SELECT packet_id AS id,
+        list_concat([{", ".join(f"CAST({c} AS DOUBLE)" for c in _NUMERIC)}], hot) AS features FROM f JOIN o USING (packet_id))"""
+
+
+@query(
+    "predict_score",
+    oracle=f"WITH {_PACKET_FEATURES}, {forest_ctes('e', 'e', 0.25)} SELECT {VERDICT} FROM forest_scores",
+    floats="anomaly_score",
+)
 def predict_score(inputs):
     """Per-packet scoring with the preprocessing of the packet table."""
     packets = inputs.view("packets")
     model = preprocess.fit_preprocessor(packets, numeric=_NUMERIC, categorical=["protocol"])
     df = preprocess.apply_preprocessor(model, packets).withColumnRenamed("packet_id", "id")
-    detector = det.AnomalyDetector.fit(df, det.FOREST, contamination=0.25)
-    return detector.transform(df.select("id", "features")).drop("features")
+    rows = cut_lineage(df.select("id", "features"))
+    detector = det.AnomalyDetector.fit(rows, det.FOREST, use_pca=False, contamination=0.25)
+    return detector.transform(rows).drop("features")
 
 
 @query(
@@ -243,12 +266,12 @@ def train_test_split(inputs):
     )
 
 
-@query("save_load_model", floats="anomaly_score")
+@query("save_load_model", oracle=_FOREST_ON_EMBEDDINGS, floats="anomaly_score")
 def save_load_model(inputs):
     """Scores of a detector that went through the shared folder."""
     df = embeddings(inputs)
     path = scratch_path(inputs.spark, "model")
-    det.AnomalyDetector.fit(df, det.FOREST).save(inputs.spark, path)
+    det.AnomalyDetector.fit(df, det.FOREST, use_pca=False).save(inputs.spark, path)
     loaded = det.AnomalyDetector.load(inputs.spark, path)
     return loaded.transform(df).drop("features", "label")
 
