@@ -70,7 +70,7 @@ def alert_type_title(inputs):
     )
 
 
-_BUILT = """SELECT packet_id AS alert_id, timestamp,
+BUILT = """SELECT packet_id AS alert_id, timestamp,
   CASE attack_type WHEN 'normal' THEN 'Anomalous Network Traffic'
     WHEN 'port_scan' THEN 'Port Scan Attack' WHEN 'ddos' THEN 'Ddos Attack'
     WHEN 'data_exfiltration' THEN 'Data Exfiltration Attack' WHEN 'brute_force' THEN 'Brute Force Attack'
@@ -83,7 +83,7 @@ _BUILT = """SELECT packet_id AS alert_id, timestamp,
   FROM detections d JOIN (SELECT packet_id, dst_port FROM packets) p USING (packet_id) WHERE prediction = -1"""
 
 
-@query("alert_build", oracle=_BUILT, floats="anomaly_score")
+@query("alert_build", oracle=BUILT, floats="anomaly_score")
 def alert_build(inputs):
     ports = inputs.view("packets").select("packet_id", "dst_port")
     return al.build_alerts(inputs.view("detections").join(ports, "packet_id"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from netspark.ml import detector as det
 from netspark.ml import preprocess, reduce
 from netspark.ml.sequence import SequenceDetector
+from netspark.plans.components_sql import component_ctes, projected
 from netspark.plans.forest_sql import VERDICT, forest_ctes
 from netspark.plans.registry import query
 from netspark.session import cut_lineage, scratch_path
@@ -94,7 +95,7 @@ def pca_variance(inputs):
     )
 
 
-@query("pca_k", floats="PC1 PC2 PC3 PC4 PC5")
+@query("pca_k", oracle=f"WITH RECURSIVE {_EMB}, {component_ctes('e', '5')} {projected('(SELECT id, features, label FROM e)', 5, ', label')}", floats="PC1 PC2 PC3 PC4 PC5")
 def pca_k(inputs):
     df = embeddings(inputs)
     return reduce.Projection.fit(df, k=5).columns(df).drop("features")
@@ -232,7 +233,7 @@ def contamination_threshold(inputs):
 
 
 _PROTOCOLS = "(SELECT DISTINCT protocol FROM f)"
-_PACKET_FEATURES = f"""f AS MATERIALIZED (SELECT packet_id, coalesce(protocol, 'unknown') AS protocol, {_FILLED} FROM packets),
+PACKET_FEATURES = f"""f AS MATERIALIZED (SELECT packet_id, coalesce(protocol, 'unknown') AS protocol, {_FILLED} FROM packets),
   o AS (SELECT packet_id, list(CAST(f.protocol = p.protocol AS DOUBLE) ORDER BY p.protocol) AS hot
         FROM f CROSS JOIN {_PROTOCOLS} p GROUP BY packet_id),
   e AS MATERIALIZED (SELECT packet_id AS id,
@@ -241,7 +242,7 @@ _PACKET_FEATURES = f"""f AS MATERIALIZED (SELECT packet_id, coalesce(protocol, '
 
 @query(
     "predict_score",
-    oracle=f"WITH {_PACKET_FEATURES}, {forest_ctes('e', 'e', 0.25)} SELECT {VERDICT} FROM forest_scores",
+    oracle=f"WITH {PACKET_FEATURES}, {forest_ctes('e', 'e', 0.25)} SELECT {VERDICT} FROM forest_scores",
     floats="anomaly_score",
 )
 def predict_score(inputs):
@@ -284,17 +285,42 @@ def sequence_anomaly(inputs):
     return found.select("packet_id", "src_ip", "anomaly_score", "prediction")
 
 
-@query("projection_2d", floats="PC1 PC2 anomaly_score")
+@query(
+    "projection_2d",
+    oracle=f"""WITH RECURSIVE {_EMB}, {component_ctes("e", "2")}, {forest_ctes("e", "e")},
+      x AS ({projected("e", 2)}), y AS (SELECT {VERDICT} FROM forest_scores)
+      SELECT id, PC1, PC2, anomaly_score, prediction FROM x JOIN y USING (id)""",
+    floats="PC1 PC2 anomaly_score",
+)
 def projection_2d(inputs):
     """Two components with the detector's verdict, for a scatter plot."""
     df = embeddings(inputs)
-    scored = det.AnomalyDetector.fit(df, det.FOREST).transform(df)
+    scored = det.AnomalyDetector.fit(df, det.FOREST, use_pca=False).transform(df)
     flat = reduce.Projection.fit(df, k=2).columns(scored)
     return flat.select("id", "PC1", "PC2", "anomaly_score", "prediction")
 
 
+_BUCKET = "CAST('0x' || substr(md5(concat(vec_id, '-42')), 1, 7) AS BIGINT) % 100"
+_SPLIT = f"""w AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS features,
+    CASE WHEN label = 0 THEN -1 ELSE 1 END AS label, {_BUCKET} >= 20 AS train FROM embeddings),
+  a AS MATERIALIZED (SELECT id, features FROM w WHERE train),
+  b AS MATERIALIZED (SELECT id, features FROM w WHERE NOT train)"""
+
+
 @query(
     "train_evaluate_job",
+    oracle=f"""WITH {_SPLIT}, {forest_ctes("a", "b", 0.1)},
+      v AS (SELECT label > 0 AS truth, anomaly_score >= 0 AS guess, anomaly_score
+            FROM forest_scores JOIN w USING (id)),
+      c AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE truth AND guess) AS tp,
+              count(*) FILTER (WHERE NOT truth AND guess) AS fp, count(*) FILTER (WHERE truth AND NOT guess) AS fn,
+              count(*) FILTER (WHERE NOT truth AND NOT guess) AS tn, avg(anomaly_score) AS mean_score,
+              min(anomaly_score) AS min_score, max(anomaly_score) AS max_score FROM v)
+      SELECT coalesce((tp + tn) / nullif(n, 0), 0) AS accuracy,
+        coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision,
+        coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS recall,
+        coalesce(tp * 2 / nullif(CAST(tp * 2 + fp + fn AS DOUBLE), 0), 0) AS f1_score,
+        coalesce((fn + tn) / nullif(n, 0), 0) AS anomaly_ratio, mean_score, min_score, max_score FROM c""",
     floats="accuracy precision recall f1_score anomaly_ratio mean_score min_score max_score",
 )
 def train_evaluate_job(inputs):
@@ -305,5 +331,5 @@ def train_evaluate_job(inputs):
         "label", F.when(F.col("label") == 0, -1).otherwise(1)
     )
     path = scratch_path(inputs.spark, "trained")
-    metrics = train_and_evaluate(labelled, path, model_type=det.FOREST, contamination=0.1)
+    metrics = train_and_evaluate(labelled, path, model_type=det.FOREST, use_pca=False, contamination=0.1)
     return cut_lineage(metrics)

@@ -6,6 +6,9 @@ from netspark.ml import detector as det
 from netspark.ml import preprocess
 from netspark.operators import alerts as al
 from netspark.plans import jobs
+from netspark.plans.alert_queries import BUILT
+from netspark.plans.forest_sql import VERDICT, forest_ctes
+from netspark.plans.model_queries import PACKET_FEATURES
 from netspark.plans.registry import query
 from netspark.session import scratch_path
 from netspark.sources import readers
@@ -162,14 +165,20 @@ def arrive_in_order(inputs, packets) -> str:
     return path
 
 
-@query("stream_alerts", floats="anomaly_score")
+@query(
+    "stream_alerts",
+    oracle=f"""WITH {PACKET_FEATURES}, {forest_ctes("e", "e", 0.1)}, y AS (SELECT {VERDICT} FROM forest_scores),
+      scored AS (SELECT packets.*, anomaly_score, prediction FROM packets JOIN y ON id = packet_id)
+      {BUILT.replace("detections d", "scored d")}""",
+    floats="anomaly_score",
+)
 def stream_alerts(inputs):
     """Score arriving packets with a fitted forest, alert, route and batch; the alerts."""
     packets = inputs.view("packets")
     numeric = ["length", "src_port", "dst_port", "ttl", "tcp_flags"]
     model = preprocess.fit_preprocessor(packets, numeric=numeric, categorical=["protocol"])
     ready = preprocess.apply_preprocessor(model, packets).withColumnRenamed("packet_id", "id")
-    detector = det.AnomalyDetector.fit(ready, det.FOREST, contamination=0.1)
+    detector = det.AnomalyDetector.fit(ready, det.FOREST, use_pca=False, contamination=0.1)
     arriving = readers.read_packet_stream(inputs.spark, arrive(inputs))
     score = lambda batch: jobs.detect_packets(batch, model, detector)
     path = scratch_path(inputs.spark, "stream-alerts")
