@@ -9,14 +9,14 @@ from __future__ import annotations
 SQUARINGS = 48
 
 
-def component_ctes(rows: str, k: str, centred: bool = True) -> str:
+def component_ctes(rows: str, k: str) -> str:
     """Relations down to ``components`` (component from 1, vector, eigenvalue) of ``rows`` (id, features), ``k`` of them.
 
     For a statement that begins with ``WITH RECURSIVE``. ``pc_mean`` has the means of all features as a list.
     """
     largest = "list_position(diagonal, list_max(diagonal))"
     return f"""pc_long AS MATERIALIZED (SELECT id, unnest(features) AS x, generate_subscripts(features, 1) AS p FROM {rows}),
-pc_mean AS MATERIALIZED (SELECT list({"m" if centred else "0.0e0"} ORDER BY p) AS mean FROM (SELECT p, avg(x) AS m FROM pc_long GROUP BY p)),
+pc_mean AS MATERIALIZED (SELECT list(m ORDER BY p) AS mean FROM (SELECT p, avg(x) AS m FROM pc_long GROUP BY p)),
 pc_cells AS (SELECT a.p AS i, b.p AS j, covar_samp(a.x, b.x) AS c FROM pc_long a JOIN pc_long b USING (id) GROUP BY ALL),
 pc_lists AS (SELECT i, list(c ORDER BY j) AS line FROM pc_cells GROUP BY i),
 pc_matrix AS MATERIALIZED (SELECT list(line ORDER BY i) AS matrix FROM pc_lists),

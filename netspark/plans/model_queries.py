@@ -82,7 +82,21 @@ def _scaled(inputs):
     return df.withColumn("features", preprocess.Scaler.fit(df).column(F.col("features")))
 
 
-@query("pca_variance", floats="explained norm")
+@query(
+    "pca_variance",
+    oracle=f"""WITH RECURSIVE {_EMB}, {_LONG},
+      z AS (SELECT id, position, (x - avg(x) OVER p) / stddev_pop(x) OVER p AS z FROM l
+            WINDOW p AS (PARTITION BY position)),
+      s AS MATERIALIZED (SELECT id, list(z ORDER BY position) AS features FROM z GROUP BY id),
+      {component_ctes("s", "len(rest)")},
+      shares AS (SELECT component, vector, eigenvalue / sum(eigenvalue) OVER () AS share,
+          sum(eigenvalue) OVER (ORDER BY component) / sum(eigenvalue) OVER () AS reached FROM components),
+      kept AS (SELECT * FROM shares WHERE reached - share <= {det.PCA_VARIANCE})
+      SELECT id, (SELECT CAST(count(*) AS INT) FROM kept) AS components, (SELECT sum(share) FROM kept) AS explained,
+        sqrt(sum(pow(list_dot_product(features, vector), 2))) AS norm
+      FROM s CROSS JOIN kept GROUP BY id""",
+    floats="explained norm",
+)
 def pca_variance(inputs):
     """Components that explain 95 % of the variance, their share, and each row's length among them."""
     df = _scaled(inputs)
