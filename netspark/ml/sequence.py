@@ -56,6 +56,24 @@ class SequenceDetector:
         quantile: float = QUANTILE,
         entity: str = "src_ip",
     ) -> SequenceDetector:
+        return SequenceDetector._fit(packets, features, length, encoding, quantile, entity)[0]
+
+    @staticmethod
+    def fit_transform(
+        packets: DataFrame,
+        features: list[str],
+        *,
+        length: int = LENGTH,
+        encoding: int = ENCODING,
+        quantile: float = QUANTILE,
+        entity: str = "src_ip",
+    ) -> tuple[SequenceDetector, DataFrame]:
+        """The detector and its own packets judged, from the errors that gave the threshold: runs are built once."""
+        detector, errors = SequenceDetector._fit(packets, features, length, encoding, quantile, entity)
+        return detector, detector._judged(packets, errors)
+
+    @staticmethod
+    def _fit(packets, features, length, encoding, quantile, entity) -> tuple[SequenceDetector, DataFrame]:
         scaler = Scaler.fit(packets.select(feature_array(features).alias("features")))
         # Read by two fits and the threshold, so the shuffled runs are written once.
         runs = cut_lineage(
@@ -63,9 +81,9 @@ class SequenceDetector:
         )
         projection = Projection.fit(runs, "flat", k=encoding)
         detector = SequenceDetector(features, scaler, projection, 0.0, length, entity)
-        errors = cut_lineage(runs.select(detector._error()("flat").alias("e")))
-        limit = ordering.exact_quantiles(errors, "e", [quantile])[0]
-        return SequenceDetector(features, scaler, projection, limit, length, entity)
+        errors = cut_lineage(runs.select("packet_id", detector._error()("flat").alias("_error")))
+        limit = ordering.exact_quantiles(errors.withColumnRenamed("_error", "e"), "e", [quantile])[0]
+        return SequenceDetector(features, scaler, projection, limit, length, entity), errors
 
     def _error(self):
         mean = np.asarray(self.projection.mean)
@@ -86,7 +104,9 @@ class SequenceDetector:
         runs = scaled_sequences(
             packets, self.scaler, self.features, length=self.length, entity=self.entity
         )
-        errors = runs.select("packet_id", self._error()("flat").alias("_error"))
+        return self._judged(packets, runs.select("packet_id", self._error()("flat").alias("_error")))
+
+    def _judged(self, packets: DataFrame, errors: DataFrame) -> DataFrame:
         bad = F.coalesce(F.col("_error") > self.threshold, F.lit(False))
         return (
             packets.join(errors, "packet_id", "left")

@@ -291,11 +291,28 @@ def save_load_model(inputs):
     return loaded.transform(df).drop("features", "label")
 
 
-@query("sequence_anomaly", floats="anomaly_score")
+_RUN_FEATURES = ["length", "src_port", "dst_port", "ttl"]
+_RUN_Z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in _RUN_FEATURES)
+
+
+@query(
+    "sequence_anomaly",
+    oracle=f"""WITH RECURSIVE f AS (SELECT packet_id, src_ip, timestamp, [{_RUN_Z}] AS x FROM packets),
+      h AS (SELECT packet_id, list(x) OVER (PARTITION BY src_ip ORDER BY timestamp, packet_id ROWS 9 PRECEDING) AS h
+            FROM f WHERE src_ip IS NOT NULL),
+      runs AS MATERIALIZED (SELECT packet_id AS id, flatten(h) AS features FROM h WHERE len(h) = 10),
+      {component_ctes("runs", "8")},
+      c AS (SELECT id, list_transform(features, lambda x, i : x - mean[i]) AS c FROM runs CROSS JOIN pc_mean),
+      r AS (SELECT id, (any_value(list_dot_product(c, c)) - sum(pow(list_dot_product(c, vector), 2))) / any_value(len(c))
+            AS error FROM c CROSS JOIN components GROUP BY id),
+      q AS (SELECT quantile_cont(error, 0.95) AS cut FROM r)
+      SELECT packet_id, src_ip, coalesce(-error, 0) AS anomaly_score, CASE WHEN error > cut THEN -1 ELSE 1 END AS prediction
+      FROM packets LEFT JOIN r ON id = packet_id CROSS JOIN q""",
+    floats="anomaly_score",
+)
 def sequence_anomaly(inputs):
     packets = inputs.view("packets")
-    features = ["length", "src_port", "dst_port", "ttl"]
-    found = SequenceDetector.fit(packets, features).transform(packets)
+    _, found = SequenceDetector.fit_transform(packets, _RUN_FEATURES)
     return found.select("packet_id", "src_ip", "anomaly_score", "prediction")
 
 
