@@ -338,13 +338,20 @@ def eigenvector_centrality(
     max_rounds: int = 100,
     tolerance: float = 1e-6,
     rounds_per_checkpoint: int = 10,
+    relative: bool = False,
 ) -> DataFrame:
     """Weighted in-edge eigenvector centrality by power iteration.
 
     Some rounds are planned together and end in one checkpoint with one test; without
-    convergence the column is null and ``converged`` is false.
+    convergence the column is null and ``converged`` is false. ``relative`` divides all weights by a bound of the
+    largest eigenvalue. The centrality stays what it is, but a node's own value then weighs enough in a step for
+    graphs without odd cycles, whose largest eigenvalues cancel each other, to converge as well.
     """
     edges = _stored(edges)
+    if relative:
+        sums = [edges.groupBy(end).agg(F.sum("weight").alias("w")).agg(F.max("w")).first()[0] for end in ("src", "dst")]
+        bound = min((float(w) for w in sums if w), default=1.0)
+        edges = edges.withColumn("weight", F.col("weight") / F.lit(bound))
     nodes = cut_lineage(_nodes(edges))
     n = nodes.count()
     # A step is x + A'x: every node also sends itself its own value.
@@ -435,12 +442,15 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
     )
 
 
-def node_metrics(edges: DataFrame, *, pivots: int | None = None) -> DataFrame:
-    """All node measures in one table; a missing eigenvector leaves the others alone."""
+def node_metrics(edges: DataFrame, *, pivots: int | None = None, relative: bool = False) -> DataFrame:
+    """All node measures in one table; a missing eigenvector leaves the others alone.
+
+    ``relative``: see :func:`eigenvector_centrality`.
+    """
     edges = _stored(edges)
     return (
         degrees(edges)
         .join(betweenness(edges, pivots=pivots), "ip", "left")
         .join(closeness(edges, pivots=pivots), "ip", "left")
-        .join(eigenvector_centrality(edges).drop("converged"), "ip", "left")
+        .join(eigenvector_centrality(edges, relative=relative).drop("converged"), "ip", "left")
     )

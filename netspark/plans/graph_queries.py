@@ -138,11 +138,60 @@ def betweenness_sampled(inputs):
     return found.filter(F.col("error_bound") == 0).select("ip", "betweenness")
 
 
-@query("eigenvector_centrality", floats="eigenvector")
+def _eigenvector_sql(relative: bool) -> str:
+    """Rounds on a matrix as nested lists; every tenth one is tested."""
+    most = "SELECT max(w) FROM (SELECT sum(weight) AS w FROM edges GROUP BY {})"
+    bound = f"least(({most.format('src')}), ({most.format('dst')}))" if relative else "1.0e0"
+    length = "sqrt(list_dot_product({0}, {0}))".format
+    return f"""WITH RECURSIVE nodes AS (SELECT src AS ip FROM edges UNION SELECT dst FROM edges),
+        cells AS (SELECT i.ip AS i, j.ip AS j, CASE WHEN i.ip = j.ip THEN 1.0e0 ELSE 0.0e0 END
+            + coalesce(weight, 0) / CAST({bound} AS DOUBLE) AS c
+          FROM nodes i CROSS JOIN nodes j LEFT JOIN edges ON src = j.ip AND dst = i.ip),
+        lines AS (SELECT i, list(c ORDER BY j) AS line FROM cells GROUP BY i),
+        m AS MATERIALIZED (SELECT list(line ORDER BY i) AS m, list(i ORDER BY i) AS ips FROM lines),
+        rounds(round, x, change) AS (
+          SELECT 0, list_transform(ips, lambda ip : 1.0e0 / len(ips)), 1.0e0 FROM m
+          UNION ALL
+          SELECT round + 1, list_transform(y, lambda a : a / {length("y")}), list_sum(list_transform(y, lambda a, i :
+            abs(a / {length("y")} - x[i] / {length("x")})))
+          FROM (SELECT round, x, list_transform(m, lambda line : list_dot_product(line, x)) AS y FROM rounds CROSS JOIN m
+                WHERE round < 100)),
+        found AS (SELECT x FROM rounds WHERE round > 0 AND round % 10 = 0 AND change < len(x) * 1e-6 ORDER BY round LIMIT 1)
+      SELECT unnest(ips) AS ip, unnest(coalesce((SELECT x FROM found), list_transform(ips, lambda ip : CAST(NULL AS DOUBLE))))
+        AS eigenvector, (SELECT count(*) FROM found) > 0 AS converged FROM m"""
+
+
+@query("eigenvector_centrality", oracle=_eigenvector_sql(relative=False), floats="eigenvector")
 def eigenvector_centrality(inputs):
     return graph.eigenvector_centrality(_edges(inputs))
 
 
+@query("eigenvector_centrality_relative", oracle=_eigenvector_sql(relative=True), floats="eigenvector")
+def eigenvector_centrality_relative(inputs):
+    """The same centrality by weights that let this graph, which is almost bipartite, converge."""
+    return graph.eigenvector_centrality(_edges(inputs), relative=True)
+
+
+_MEASURES = ("degree", "in_degree", "out_degree", "in_out_ratio", "betweenness", "closeness", "eigenvector")
+_ENDS = ", ".join(f"{side}.{name} AS {side}_{name}" for side in ("src", "dst") for name in _MEASURES)
+
+
+@query(
+    "node_metrics_join_all",
+    oracle=f"""WITH {_NODES}, measures AS MATERIALIZED (SELECT * FROM nodes JOIN ({_betweenness_sql()}) b USING (ip)
+          JOIN ({_CLOSENESS}) c USING (ip) JOIN ({_eigenvector_sql(relative=True)}) v USING (ip))
+      SELECT packet_id, src_ip, dst_ip, {_ENDS} FROM packets LEFT JOIN measures src ON src.ip = src_ip
+      LEFT JOIN measures dst ON dst.ip = dst_ip""",
+    floats=" ".join(f"{side}_{name}" for side in ("src", "dst") for name in _MEASURES[3:]),
+)
+def node_metrics_join_all(inputs):
+    """Every measure at both ends of each packet."""
+    packets = inputs.view("packets")
+    measures = graph.node_metrics(graph.weighted_edges(packets), relative=True)
+    joined = graph.join_node_metrics(packets.select("packet_id", "src_ip", "dst_ip"), measures)
+    return joined.drop("src_converged", "dst_converged")
+
+
 @query(
     "clustering_coefficient",
     oracle="""WITH u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst),

@@ -51,7 +51,7 @@ def packet_feature_table(
     flow_grain = flows.flow_behavior(flow_table, limits).join(entropy, flows.FLOW_KEYS, "left")
     flow_grain = flow_grain.join(patterns, flows.FLOW_KEYS, "left")
     edges = graph.weighted_edges(packets)
-    nodes = graph.node_metrics(edges, pivots=pivots) if centralities else graph.degrees(edges)
+    nodes = graph.node_metrics(edges, pivots=pivots, relative=True) if centralities else graph.degrees(edges)
     source_grain = flows.port_scan_behavior(packets).join(
         flows.inter_arrival_stats(packets), "src_ip", "left"
     )
