@@ -37,6 +37,32 @@ def dummy_columns(name: str, values: Iterable[str]) -> dict[str, Column]:
     return {f"{name}_{v}": F.coalesce((column == v).cast("int"), F.lit(0)) for v in values}
 
 
+#: String values of all columns together that become dummies; reductions work on dense rows.
+MAX_DUMMIES = 2000
+
+
+def encoded_columns(df: DataFrame, *, exclude: Iterable[str] = NOT_FEATURES) -> dict[str, Column]:
+    """Numbers, truth values as 0 and 1, and a dummy for each value of each string column (null: 0 everywhere).
+
+    Dummies are in the order of their values. More than ``MAX_DUMMIES`` values are an error: such columns want
+    the dictionary of :mod:`netspark.ml.dictionary` and sparse rows.
+    """
+    left_out = set(exclude)
+    names = numeric_columns(df, exclude=left_out)
+    columns = {name: F.col(name) for name in names}
+    columns |= {n: F.col(n).cast("int") for n, kind in df.dtypes if kind == "boolean" and n not in left_out}
+    texts = [n for n, kind in df.dtypes if kind == "string" and n not in left_out]
+    if not texts:
+        return columns
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in texts])))
+    known = pairs.select("col.*").filter(F.col("value").isNotNull()).distinct().limit(MAX_DUMMIES + 1).collect()
+    if len(known) > MAX_DUMMIES:
+        raise ValueError(f"more than {MAX_DUMMIES} values in {texts}")
+    for name in texts:
+        columns |= dummy_columns(name, sorted(row.value for row in known if row.name == name))
+    return columns
+
+
 def feature_array(names: Iterable[str]) -> Column:
     """array<double> of the columns, null as 0 and NaN as 0."""
     zero = F.lit(0.0)

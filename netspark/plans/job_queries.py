@@ -2,8 +2,15 @@
 
 from netspark.plans import jobs
 from netspark.plans.feature_queries import _DEGREES, _IAT, _KEYED, _SIZE_RATIOS, _SIZE_SUMS
+from netspark.plans.components_sql import component_ctes, projected
 from netspark.plans.registry import query
 
+_NUMBERS = ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE)" for c in ("length", "src_port", "dst_port", "ttl", "tcp_flags"))
+_WITH_DUMMIES = f"""v AS (SELECT DISTINCT protocol AS value FROM packets WHERE protocol IS NOT NULL),
+  hot AS (SELECT packet_id, list(coalesce(CAST(protocol = value AS DOUBLE), 0) ORDER BY value) AS hot
+          FROM packets CROSS JOIN v GROUP BY packet_id),
+  e AS MATERIALIZED (SELECT packet_id AS id, list_concat([{_NUMBERS}], hot) AS features FROM packets JOIN hot USING (packet_id))"""
+
 
 @query(
     "extract_all_features_job",
@@ -72,3 +79,14 @@ def feature_assembly_selected(inputs):
     packets = inputs.view("packets")
     table = jobs.packet_feature_table(packets)
     return jobs.reduce_feature_table(table, k=5, label="attack_type")
+
+
+@query(
+    "feature_reduction_default",
+    oracle=f"""WITH RECURSIVE {_WITH_DUMMIES}, {component_ctes("e", "3")}
+      SELECT id AS packet_id, PC1, PC2, PC3 FROM ({projected("e", 3)})""",
+    floats="PC1 PC2 PC3",
+)
+def feature_reduction_default(inputs):
+    """Five numbers and five protocols: a third of them is left."""
+    return jobs.reduce_feature_table(inputs.view("packets"))

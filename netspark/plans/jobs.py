@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from netspark.functions import calendar, network
 from netspark.ml import detector as det
 from netspark.ml import preprocess, reduce
-from netspark.ml.features import feature_array, numeric_columns
+from netspark.ml.features import NOT_FEATURES, encoded_columns, feature_array, numeric_columns
 from netspark.operators import alerts as al
 from netspark.operators import flows, graph
 from netspark.session import cut_lineage
@@ -60,10 +60,21 @@ def packet_feature_table(
 
 
 def reduce_feature_table(
-    table: DataFrame, *, k: int = 10, label: str | None = None, id_column: str = "packet_id"
+    table: DataFrame, *, k: int | None = None, label: str | None = None, id_column: str = "packet_id"
 ) -> DataFrame:
-    """Keep the k best numeric features by F-test with a label, else k components."""
-    names = numeric_columns(table)
+    """Keep the k best features by F-test with a label, else k components.
+
+    With ``k`` the numeric columns are reduced. Without it truth values and dummies of the string columns are
+    features as well, and a third of all features is left.
+    """
+    if k is None:
+        not_features = {*NOT_FEATURES, id_column, "flow", *([] if label is None else [label])}
+        encoded = encoded_columns(table, exclude=not_features)
+        others = [id_column, *([] if label is None else [label])]
+        table = table.select(*others, *[column.alias(name) for name, column in encoded.items()])
+        names, k = list(encoded), max(1, len(encoded) // 3)
+    else:
+        names = numeric_columns(table)
     # The joins behind the table are costly and every fit reads it, so it is written once.
     vectors = cut_lineage(
         table.select(

@@ -113,6 +113,23 @@ def test_eigenvector_without_convergence_is_null(spark):
     assert all(r.eigenvector is None and not r.converged for r in result)
 
 
+def test_relative_weights_keep_the_eigenvector(spark):
+    """A two-sided graph, whose plain rounds swing; both sides are weighted by the same vector."""
+    rows = [(f"a{i}", f"b{j}", 500 + i * 7 + j) for i in range(4) for j in range(3)]
+    rows += [(b, a, w) for a, b, w in rows]
+    nodes = sorted({n for s, _, _ in rows for n in (s,)})
+    matrix = np.zeros((len(nodes), len(nodes)))
+    for s, t, w in rows:
+        matrix[nodes.index(s), nodes.index(t)] = w
+    values, vectors = np.linalg.eigh(matrix)
+    expected = np.abs(vectors[:, np.argmax(values)])
+    assert not graph.eigenvector_centrality(edges_of(spark, rows)).first().converged
+    result = graph.eigenvector_centrality(edges_of(spark, rows), relative=True).collect()
+    found = {r.ip: r.eigenvector for r in result if r.converged}
+    assert [found[n] for n in nodes] == pytest.approx(expected.tolist(), abs=1e-5)
+    assert graph.eigenvector_centrality(edges_of(spark, rows).limit(0), relative=True).count() == 0
+
+
 def test_clustering(spark):
     square = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "a", 1), ("a", "c", 1), ("c", "a", 9), ("z", "a", 1)]
     found = {r.ip: r.clustering for r in graph.clustering_coefficient(edges_of(spark, square)).collect()}

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,23 @@ def test_all_centralities_in_the_feature_table(spark):
     table = jobs.packet_feature_table(Inputs(spark, SF_DIR).view("packets"), centralities=True)
     row = table.filter("dst_ip IS NOT NULL").first()
     assert row.src_betweenness is not None and row.dst_closeness is not None and row.src_degree > 0
+
+
+def test_default_reduction_keeps_a_third(spark):
+    rows = [(i, float(i % 7), float(i * i % 11), i % 2 == 0, "abc"[i % 3] if i % 5 else None) for i in range(60)]
+    table = spark.createDataFrame(rows, "packet_id bigint, x double, y double, even boolean, kind string")
+    matrix = np.array([[x, y, even, kind == "a", kind == "b", kind == "c"] for _, x, y, even, kind in rows], float)
+    centred = matrix - matrix.mean(axis=0)
+    values = np.linalg.svd(centred, compute_uv=False)[:2]
+    found = jobs.reduce_feature_table(table)
+    assert found.columns == ["packet_id", "PC1", "PC2"]
+    parts = np.array([[r.PC1, r.PC2] for r in found.collect()])
+    assert np.linalg.norm(parts, axis=0) == pytest.approx(values)
+    labelled = table.withColumn("label", F.col("packet_id") % 2)
+    assert jobs.reduce_feature_table(labelled, label="label").columns[0] == "packet_id"
+
+
+def test_too_many_dummies_are_an_error(spark):
+    table = spark.range(3000).select(F.col("id").alias("packet_id"), F.col("id").cast("string").alias("kind"))
+    with pytest.raises(ValueError, match="more than 2000 values"):
+        jobs.reduce_feature_table(table)

@@ -1,5 +1,7 @@
 """Models against brute force and known outliers."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,27 @@ def test_forest_is_the_same_for_every_partitioning(cloud):
     assert one.nodes().equals(many.nodes())
 
 
+def test_trees_follow_their_draws(cloud):
+    """Each inner node splits where the MD5 of seed, tree and node says; children lie at 2n + 1 and 2n + 2."""
+    points, df = cloud
+    fitted = IsolationForest.fit(df, trees=5, sample_rows=64, seed=3)
+    for tree in range(5):
+        order = sorted(range(len(points)), key=lambda i: hashlib.md5(f"3-{tree}-{i}".encode()).hexdigest())
+        inside = {0: points[order[:64]]}
+        for node in range(63):
+            if node not in inside or fitted.feature[tree, node] < 0:
+                continue
+            part = inside[node]
+            digest = hashlib.md5(f"3-{tree}-node-{node}".encode()).hexdigest()
+            feature = int(digest[24:], 16) % 3
+            low, high = part[:, feature].min(), part[:, feature].max()
+            assert fitted.feature[tree, node] == feature
+            assert fitted.threshold[tree, node] == low + int(digest[:13], 16) / 2**52 * (high - low)
+            left = part[:, feature] <= fitted.threshold[tree, node]
+            inside[2 * node + 1], inside[2 * node + 2] = part[left], part[~left]
+        assert len(inside) > 20 and all(len(part) for part in inside.values())
+
+
 def test_forest_samples(cloud):
     _, df = cloud
     samples = tree_samples(df, trees=7, rows=64, seed=1, total=305)
@@ -370,6 +393,8 @@ def test_sequences_flag_the_odd_run(packets):
     found = {r.packet_id: r for r in fitted.transform(table).collect()}
     assert len(found) == 204
     assert all(found[i].anomaly_score == 0.0 and found[i].prediction == 1 for i in [*range(9), 500, 503])
+    _, judged = SequenceDetector.fit_transform(table, ["length", "dst_port"], encoding=2)
+    assert {r.packet_id: r for r in judged.collect()} == found
     flagged = {i for i, r in found.items() if r.prediction == -1}
     assert flagged and flagged <= set(range(9, 200))
     assert len(flagged) == 10  # 5 % of 191 runs lie above the 95th percentile

@@ -26,7 +26,7 @@ def test_functions_travel_by_value(tmp_path):
 
     rows = np.arange(12.0).reshape(6, 2)
     nodes = pd.DataFrame(
-        _grow(rows, np.random.default_rng(1), 3),
+        _grow(rows, 1, 0, 3),
         columns=["node", "feature", "threshold", "left", "right", "path"],
     ).assign(tree=0)
     forest = IsolationForest.from_nodes(nodes, 6)
