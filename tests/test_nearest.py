@@ -1,9 +1,12 @@
 """Searches that leave pairs out: inverted index of descriptions, metric index of vectors."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netspark.ml.outlier_factor import OutlierFactor
 from netspark.operators import metric_index as mi
 from netspark.operators import similarity as sim
 
@@ -141,3 +144,48 @@ def test_few_or_no_rows(spark):
     none = mi.MetricIndex.build(df.where("false"), neighbours=6)
     assert mi.nearest_links(df, none, k=5).count() == 0
     assert mi.nearest_links(df.where("false"), index, k=5).count() == 0
+
+
+def test_products_leave_no_neighbour_out():
+    """Rows far from the origin, of unequal size, close together, without a finite length: as compared one by one."""
+    draw = np.random.default_rng(5)
+    plain = draw.normal(0, 1, (3000, 6))
+    cases = [plain, plain + 1e6, plain * 1e-7, plain * 1e20, plain * 10.0 ** draw.integers(-3, 6, (3000, 1)),
+             draw.integers(0, 3, (3000, 6)).astype(float), plain[:30]]
+    odd = plain.copy()
+    odd[::700, 2], odd[5, 0] = np.nan, np.inf
+    for values in [*cases, odd]:
+        queries = values[:40]
+        with np.errstate(invalid="ignore", over="ignore"):
+            exact = np.round(mi.distances(queries, values), mi.DIGITS)
+        reach = np.full(len(queries), np.inf)
+        reach[::2] = np.nanmedian(exact[::2], axis=1)
+        found = set(zip(*(x.tolist() for x in mi._Points(values).candidates(queries, reach, 5))))
+        for i, row in enumerate(exact):
+            last = min(np.sort(row[np.isfinite(row)], kind="stable")[:5].max(initial=-1.0), reach[i])
+            assert {(i, int(j)) for j in np.flatnonzero(row <= last)} <= found
+        if values is plain:
+            assert len(found) < 10 * len(queries)
+
+
+def test_blocks_travel_once_per_block(spark):
+    """Where no bound leaves cells out, a query visits blocks of many cells, not one cell after the other."""
+    values = np.random.default_rng(6).normal(0, 1, (900, 24))
+    df = points(spark, values).repartition(3)
+    index = mi.MetricIndex.build(df, neighbours=6)
+    _, visits = mi.visited(df.select(F.col("id").alias("q"), "vector"), index, 300)
+    assert visits.count() <= 4 * len(values) < len(values) * len(index.bounds.pivots) / 4
+
+
+def test_searched_vectors_are_not_searched_again(spark, monkeypatch):
+    values = np.random.default_rng(7).normal(0, 1, (60, 3))
+    df = points(spark, values)
+    factor = OutlierFactor.fit(df, k=5)
+    asked = []
+    search = mi.visited
+    monkeypatch.setattr(mi, "visited", lambda q, *rest: (asked.append(q.count()), search(q, *rest))[1])
+    more = points(spark, np.concatenate([values[:20], values[:4] + 0.5]))
+    found = {r.id: r.raw for r in factor.raw_scores(more).collect()}
+    assert asked == [4]
+    alone = {r.id: r.raw for r in replace(factor, lists=None).raw_scores(more).collect()}
+    assert asked == [4, 24] and found == pytest.approx(alone)
