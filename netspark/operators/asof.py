@@ -75,23 +75,27 @@ def nearest_in_time(
         both, names, "_t", "_tie", bucket_seconds=bucket_seconds, max_bucket_rows=max_bucket_rows
     )
     group = [*names, "_bucket"]
-    whole = Window.partitionBy(*names).orderBy("_bucket") if names else Window.partitionBy(F.lit(0)).orderBy("_bucket")
+    # What follows is what precedes in descending order: a frame that reaches to the end is read anew for each row.
+    key = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    earlier_ends = (Window.unboundedPreceding, -1)
     ends = (
         bucketed.groupBy(*group)
         .agg(F.min("_point").alias("_first"), F.max("_point").alias("_last"))
         .withColumns(
             {
-                "_before": F.last("_last", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)),
-                "_after": F.first("_first", True).over(whole.rowsBetween(1, Window.unboundedFollowing)),
+                "_before": F.last("_last", True).over(key.orderBy("_bucket").rowsBetween(*earlier_ends)),
+                "_after": F.last("_first", True).over(key.orderBy(F.desc("_bucket")).rowsBetween(*earlier_ends)),
             }
         )
         .drop("_first", "_last")
     )
-    inside = Window.partitionBy(*group).orderBy("_t", "_side", "_own")
+    inside = Window.partitionBy(*group)
+    order = ["_t", "_side", "_own"]
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     seen = bucketed.withColumns(
         {
-            "_previous": F.last("_point", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-            "_next": F.first("_point", True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+            "_previous": F.last("_point", True).over(inside.orderBy(*order).rowsBetween(*so_far)),
+            "_next": F.last("_point", True).over(inside.orderBy(*map(F.desc, order)).rowsBetween(*so_far)),
         }
     ).filter(F.col("_side") == 1)
     placed = seen.join(ends, group, "left")

@@ -56,3 +56,21 @@ def test_without_keys_and_without_rows(spark):
     assert asof.nearest_in_time(left.where("false"), right, left_id="i", right_id="j").count() == 0
     with pytest.raises(ValueError):
         asof.nearest_in_time(left, right, left_id="i", right_id="j", direction="up")
+
+
+def test_no_window_reaches_to_the_end(spark):
+    """Such a frame is read anew for each row: a key with many buckets, or a full one, took time squared."""
+    left = spark.createDataFrame([(1, "a", 1.0)], "i long, key string, timestamp double")
+    found = asof.nearest_in_time(left, left.withColumnRenamed("i", "j"), left_id="i", right_id="j", keys=["key"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_many_times_of_one_key(spark):
+    """More rows in one bucket, and more buckets of one key, than a square of them allows."""
+    right = spark.range(0, 120_000).selectExpr("id AS j", "'a' AS key", "id * 1.0D AS timestamp")
+    left = spark.range(0, 120_000).selectExpr("id AS i", "'a' AS key", "id + 0.75D AS timestamp")
+    for seconds in (1.0, 1e9):
+        found = asof.nearest_in_time(left, right, left_id="i", right_id="j", keys=["key"], bucket_seconds=seconds)
+        wrong = found.filter("match_id <> least(i + 1, 119999)")
+        assert (found.count(), wrong.count()) == (120_000, 0)
