@@ -12,6 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netspark.operators import ordering
 from netspark.session import cut_lineage
 
 # Words of two or more letters, digits or underscores.
@@ -52,17 +53,33 @@ def term_statistics(
 ) -> DataFrame:
     """Per term: documents that have it and total occurrences.
 
-    Counted per (document, term) first, so a word in every document is already small
-    when terms are shuffled.
+    A row counts its own words and, beside them, its different ones, so only terms are
+    shuffled. Rows of one id are one document: where ids repeat, their words are counted
+    per (document, term) first.
     """
     stop = STOP_WORDS if stop_words is None else stop_words
-    words = corpus.select(
-        F.col(id_column).alias("_doc"), F.explode(tokens(F.col(text_column))).alias("term")
-    ).filter(~F.col("term").isin(*stop))
-    per_document = words.groupBy("_doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return per_document.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
+    rows = corpus.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("_text"))
+    repeated = cut_lineage(
+        rows.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_doc")
     )
+    single = ordering.null_safe_join(rows, repeated, ["_doc"], "left_anti")
+    words = tokens(F.col("_text"))
+    counted = (
+        single.select(words.alias("_all"))
+        .select(F.posexplode(F.array("_all", F.array_distinct("_all"))).alias("df", "_words"))
+        .select(F.explode("_words").alias("term"), F.col("df").cast("long").alias("df"))
+        .filter(~F.col("term").isin(*stop))
+        .select("term", "df", (F.lit(1) - F.col("df")).alias("cf"))
+    )
+    merged = (
+        ordering.null_safe_join(rows, repeated, ["_doc"], "left_semi")
+        .select("_doc", F.explode(words).alias("term"))
+        .filter(~F.col("term").isin(*stop))
+        .groupBy("_doc", "term")
+        .agg(F.count(F.lit(1)).alias("cf"))
+        .select("term", F.lit(1).cast("long").alias("df"), "cf")
+    )
+    return counted.unionByName(merged).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 @dataclass(frozen=True)

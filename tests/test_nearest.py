@@ -189,3 +189,21 @@ def test_searched_vectors_are_not_searched_again(spark, monkeypatch):
     assert asked == [4]
     alone = {r.id: r.raw for r in replace(factor, lists=None).raw_scores(more).collect()}
     assert asked == [4, 24] and found == pytest.approx(alone)
+
+
+def test_terms_of_repeated_ids_and_of_single_rows(spark):
+    rows = [(1, "alpha beta alpha the"), (2, "Beta gamma"), (2, "beta delta"), (None, "alpha"), (None, "alpha"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sim.term_statistics(df, id_column="doc_id", text_column="text")
+    assert found.columns == ["term", "df", "cf"]
+    assert {r.term: (r.df, r.cf) for r in found.collect()} == {
+        "alpha": (2, 4), "beta": (2, 3), "gamma": (1, 1), "delta": (1, 1)}
+
+
+def test_terms_of_single_rows_are_not_shuffled_by_document(spark, tmp_path):
+    """Words of rows whose id does not repeat are shuffled once, as terms."""
+    df = spark.createDataFrame([(k, "alpha beta " * 50) for k in range(40)], "doc_id long, text string")
+    found = sim.term_statistics(df, id_column="doc_id", text_column="text")
+    assert {tuple(r) for r in found.collect()} == {("alpha", 40, 2000), ("beta", 40, 2000)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(term" in plan and "hashpartitioning(_doc" not in plan
