@@ -14,10 +14,12 @@ all placeholders.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ COVERED = 13
 BITMAP_BITS = 1 << 24
 #: Tokens that a worker remembers.
 CACHE_TOKENS = 300_000
+#: Bytes of texts whose tokens are looked up together, or one longer text.
+PART_BYTES = 4 << 20
 #: Sets literal windows apart from those of templates.
 LITERAL = 1 << 32
 
@@ -50,6 +54,9 @@ UNITS = set(
 
 WORD, NUMBER, NAME, UNIT, NUMBER_UNIT, BREAK = range(6)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: What most edges are made of, and what tokens with an end of a sentence end in.
+_SIGNS = string.punctuation + string.whitespace
+_ENDS = (".", "!", "?", ":", '"', "'", ")", "]", "}")
 _NUMBER = re.compile(r"[\d][\d.,:/-]*")
 _NUMBER_UNIT = re.compile(r"([\d][\d.,:/-]*)([^\W\d_]+)")
 _PLACEHOLDERS = mixed(np.array([0, 101, 102, 103, 104, 0], np.uint64))
@@ -65,72 +72,97 @@ class Tokens(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.kind, self.hash, self.flags = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
-        self.written = np.zeros(1024, np.uint64)
+        self.columns = tuple(np.zeros(0, kind) for kind in (np.int8, np.uint64, np.int8, np.uint64))
+        self.added: list[tuple[int, int, int, int]] = []
 
     def __missing__(self, token: str) -> int:
         number = self[token] = len(self)
-        if number == len(self.kind):
-            self.kind, self.hash, self.flags = (np.concatenate((x, x)) for x in (self.kind, self.hash, self.flags))
-            self.written = np.concatenate((self.written, self.written))
-        core = _EDGES.sub("", token)
+        if token.isalpha() and token.islower():  # most are plain words
+            low = token.lower()
+            own = written = xxhash.xxh3_64_intdigest(token.encode())
+            if low != token:
+                own = xxhash.xxh3_64_intdigest(low.encode())
+            self.added.append((WORD, own, (low in UNITS) << 1, written))
+            return number
+        core = token.strip(_SIGNS)
+        if core and not (core[0].isalnum() and core[-1].isalnum()):
+            core = _EDGES.sub("", core)
         low = core.lower()
-        ends = token.rstrip("\"')]}").endswith((".", "!", "?", ":")) or token == "\n"
-        unit = low in UNITS or token.strip() in UNITS
+        ends = token.endswith(_ENDS) and token.rstrip("\"')]}").endswith((".", "!", "?", ":")) or token == "\n"
+        unit = low in UNITS or not core and token.strip() in UNITS
         proper = core[:1].isupper() and (len(core) == 1 or not core.isupper())
         if not core:
             kind = UNIT if unit else BREAK
+        elif not core[0].isdecimal():
+            kind = WORD
         elif _NUMBER.fullmatch(core):
             kind = NUMBER
-        elif _NUMBER_UNIT.fullmatch(core) and _NUMBER_UNIT.fullmatch(core)[2].lower() in UNITS:
+        elif (match := _NUMBER_UNIT.fullmatch(core)) and match[2].lower() in UNITS:
             kind = NUMBER_UNIT
         else:
             kind = WORD
-        self.kind[number] = kind
-        self.hash[number] = xxhash.xxh3_64_intdigest((low or token).encode("utf-8", "surrogatepass"))
-        self.written[number] = xxhash.xxh3_64_intdigest((core or token).encode("utf-8", "surrogatepass"))
-        self.flags[number] = ends | unit << 1 | proper << 2 | (not token.strip()) << 3
+        own = xxhash.xxh3_64_intdigest((low or token).encode("utf-8", "surrogatepass"))
+        written = own if core == low else xxhash.xxh3_64_intdigest(core.encode("utf-8", "surrogatepass"))
+        blank = not core and not token.strip()
+        self.added.append((kind, own, ends | unit << 1 | proper << 2 | blank << 3, written))
         return number
 
-    def look_up(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, tokens: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Kind, hash, flags and hash as written of each token; different ones are looked up once."""
         if len(self) > CACHE_TOKENS:
             self.reset()
-        at = np.array(list(map(self.__getitem__, text.replace("\n", " \n ").split(" "))))
-        return self.kind[at], self.hash[at], self.flags[at], self.written[at]
-
-
-def looked_up(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, hash, flags and hash as written of each token of a text."""
-    return worker_state("template tokens", Tokens).look_up(text)
+        coded = tokens.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
+        if self.added:
+            self.columns = tuple(
+                np.concatenate((known, np.array(more, known.dtype))) for known, more in zip(self.columns, zip(*self.added))
+            )
+            self.added = []
+        at = own[coded.indices.to_numpy()]
+        return tuple(known[at] for known in self.columns)
+
+
+def looked_up(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Kind, hash, flags and hash as written of each token of texts, and the place of its text."""
+    split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+    tokens = split.flatten().cast(pa.string())
+    if not len(tokens):
+        return (*(np.zeros(0, kind) for kind in (np.int8, np.uint64, np.int8, np.uint64)), np.zeros(0, np.int64))
+    text_of = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+    return *worker_state("template tokens", Tokens).look_up(tokens), text_of
 
 
 def canonical(
-    kind: np.ndarray, value: np.ndarray, flags: np.ndarray, inside: bool = False
+    kind: np.ndarray, value: np.ndarray, flags: np.ndarray, text_of: np.ndarray, inside: bool = False
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, slot values (0 for words), slot kinds (0 for words) and first tokens of a text; ``inside``:
-    as it would be in the middle of a sentence, where a capitalised first word is a name."""
-    n = len(kind)
+    """Template hashes, slot values (0 for words), slot kinds (0 for words) and first tokens of texts, which
+    ``text_of`` tells apart; ``inside``: as one would be in the middle of a sentence, where a capitalised first
+    word is a name."""
     ends = (flags & 1).astype(bool)
-    opens = np.ones(n, bool)  # begins a sentence: only breaks lie between it and an end, or the beginning
     solid = np.flatnonzero(kind != BREAK)
     if not len(solid):
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8), solid
     gone = np.cumsum(ends)
-    opens[solid[1:]] = gone[solid[1:] - 1] > np.where(solid[:-1] > 0, gone[solid[:-1] - 1], 0)
-    opens[solid[0]] = not inside
-    kind, value, flags, opens = kind[solid], value[solid], flags[solid], opens[solid]
-    kind = kind.copy()
+    # Begins a sentence: only breaks lie between it and an end, or the beginning.
+    opens = np.ones(len(solid), bool)
+    opens[1:] = gone[solid[1:] - 1] > np.where(solid[:-1] > 0, gone[solid[:-1] - 1], 0)
+    same = np.zeros(len(solid), bool)  # stands in the text of the one before it
+    same[1:] = text_of[solid[1:]] == text_of[solid[:-1]]
+    opens[~same] = not inside
+    kind, value, flags = kind[solid], value[solid], flags[solid]
     after_number = np.zeros(len(kind), bool)
-    after_number[1:] = kind[:-1] == NUMBER
+    after_number[1:] = (kind[:-1] == NUMBER) & same[1:]
     kind[after_number & ((flags >> 1) & 1).astype(bool) & ((kind == WORD) | (kind == UNIT))] = UNIT
     kind[(kind == UNIT) & ~after_number] = WORD
     kind[(kind == WORD) & ((flags >> 2) & 1).astype(bool) & ~opens] = NAME
     # A run of names is one slot; its value is made of all of them.
-    if (kind == NAME).any():
+    names = kind == NAME
+    if names.any():
         again = np.zeros(len(kind), bool)
-        again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
+        again[1:] = names[1:] & names[:-1] & same[1:]
         first = np.flatnonzero(~again)
-        joined = np.add.reduceat(np.where(kind == NAME, mixed(value), np.uint64(0)), first)
+        joined = np.add.reduceat(np.where(names, mixed(value), np.uint64(0)), first)
         kind = kind[first]
         value = np.where(kind == NAME, joined, value[first])
         solid = solid[first]
@@ -149,27 +181,34 @@ def literal_windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def document_windows(
-    text: str | None, widths: list[int], literal_widths: list[int]
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Per width: the hashes of the windows, their places, and the slot values of the text.
+    texts: pa.Array, widths: list[int], literal_widths: list[int]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Per width: the windows' hashes, texts, places in their texts and among all tokens, and the tokens' slot values.
 
-    Windows of the template have enough words; literal ones are all there are, and have no slots.
+    Windows of the template have enough words; literal ones are all there are, and have no slots. None lies
+    across two texts. Null texts have none.
     """
-    if not text:
-        return
-    kind, value, flags, written = looked_up(text)
-    hashes, values, kinds, _ = canonical(kind, value, flags)
+    kind, value, flags, written, text_of = looked_up(texts)
+    hashes, values, kinds, solid = canonical(kind, value, flags, text_of)
     words = np.concatenate(([0], np.cumsum(kinds == WORD)))
+    own = text_of[solid]
     for width in widths:
-        if len(hashes) < width:
-            continue
-        found = windows(hashes, width) ^ np.uint64(width)
-        enough = np.flatnonzero(words[width:] - words[:-width] >= LEAST_WORDS)
-        yield width, found[enough], enough, values
-    hashes, _ = literal(written, flags)
+        enough = _inside(own, width)
+        enough = enough[words[enough + width] - words[enough] >= LEAST_WORDS]
+        found = windows(hashes, width)[enough] ^ np.uint64(width)
+        yield width, found, own[enough], enough - np.searchsorted(own, own[enough]), enough, values
+    hashes, solid = literal(written, flags)
+    own = text_of[solid]
     for width in literal_widths:
-        found = literal_windows(hashes, width)
-        yield width, found, np.arange(len(found)), None
+        every = _inside(own, width)
+        found = literal_windows(hashes, width)[every]
+        yield width, found, own[every], every - np.searchsorted(own, own[every]), every, None
+
+
+def _inside(text_of: np.ndarray, width: int) -> np.ndarray:
+    """Where windows begin that lie in one text."""
+    n = max(len(text_of) - width + 1, 0)
+    return np.flatnonzero(text_of[:n] == text_of[width - 1 : width - 1 + n])
 
 
 def _slots(values: np.ndarray | None, at: int, width: int) -> tuple[list[int], list[int]]:
@@ -194,8 +233,8 @@ def item_windows_of(text: str | None) -> tuple[int, list[tuple]]:
     """
     if not text:
         return 0, []
-    kind, value, flags, written = looked_up(text)
-    variants = [canonical(kind, value, flags), canonical(kind, value, flags, inside=True)]
+    kind, value, flags, written, one = looked_up(pa.array([text], pa.string()))
+    variants = [canonical(kind, value, flags, one), canonical(kind, value, flags, one, inside=True)]
     size = len(variants[0][0])
     found = []
     for inside, variant in enumerate(variants):
@@ -232,6 +271,17 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, _KINDS.get(k, pa.int32())) for k, v in rows.items()})
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Some texts at a time, PART_BYTES of them or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def _window_rows(widths: list[int], literal_widths: list[int], bitmap):
     """Rows of the windows of each document that a bitmap has."""
 
@@ -239,15 +289,17 @@ def _window_rows(widths: list[int], literal_widths: list[int], bitmap):
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("key", "hash", "place", "width", "slots", "slot_values")}
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                for width, hashes, places, values in document_windows(text.as_py(), widths, literal_widths):
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for part in _parts(batch.column("text")):
+                for width, hashes, text, places, at, values in document_windows(part, widths, literal_widths):
                     slot = hashes >> np.uint64(40)
                     hit = bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
                     some = np.flatnonzero(hit)
-                    hashes, places = hashes[some], places[some]
-                    for h, at in zip(hashes.view(np.int64).tolist(), places.tolist()):
-                        for name, value in zip(rows, (key, h, at, width, *_slots(values, at, width))):
+                    own = (keys[text[some]], hashes[some].view(np.int64), places[some], at[some])
+                    for key, h, place, begin in zip(*(x.tolist() for x in own)):
+                        for name, value in zip(rows, (key, h, place, width, *_slots(values, begin, width))):
                             rows[name].append(value)
+                keys = keys[len(part) :]
             if rows["key"]:
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, _KINDS.get(k, pa.int32())) for k, v in rows.items()})
 

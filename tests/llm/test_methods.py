@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,6 +123,20 @@ def test_templates_by_example(spark):
     assert found == {(1, 1): True, (2, 1): False, (6, 2): False}
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    texts = [text(80, 40), None, "", "\n", "ends in New", "York begins. Take 7", "km more of it", "A b. \"C\" d", text(81, 9)]
+    texts += ["Éa _x_ 12.5 7kg, (in) x٣km 日本. Of 10:30 USA\n% $ a:b"] * 2
+
+    def windows_of(part):
+        found = Counter()
+        for width, hashes, owner, places, at, values in templates.document_windows(pa.array(part, pa.string()), [2, 5], [1, 3]):
+            for h, k, place, begin in zip(hashes.tolist(), owner.tolist(), places.tolist(), at.tolist()):
+                found[part[k], width, h, place, str(templates._slots(values, begin, width))] += 1
+        return found
+
+    assert windows_of(texts) == sum((windows_of([t]) for t in texts), Counter())
+
+
 def test_one_conflict_leaves_the_rest_of_an_alignment(spark):
     head, tail = " ".join(words(70, 20)), " ".join(words(71, 20))
     item = f"{head} near Paris {tail} to Paris and 5 or 7 more"
