@@ -1,6 +1,6 @@
 """How the words of sources differ within a language, counted over fixed-width digests.
 
-Texts are read twice, and counted where they are read, in bounded tables per task. The first reading counts the
+Texts are read twice, and counted where they are read, in bounded blocks per task. The first reading counts the
 documents of each term by (lang, digest), with the smallest and the largest string of each digest: where they
 differ, terms share a digest and are told apart by their strings from there on. Few terms are in enough documents
 to be kept. The second reading counts kept terms per source and shuffles digests and counts alone; a bitmap of
@@ -22,11 +22,11 @@ so only the last sum looks at two sources of a term; tasks add it up by pair of
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ from netspark.llm.workers import column, prepared, runs
 from netspark.session import cut_lineage
 
 UNIT = 1_000_000_000
-#: Terms counted in a task before they are sent on, about 0.2 kB each.
-TASK_TERMS = 200_000
+#: Terms of texts, or bytes of texts, that a task counts together; an Arrow batch is not divided.
+TASK_TERMS, TASK_BYTES = 4_000_000, 64 << 20
 #: Rows of an Arrow batch, and bytes of terms at which it ends sooner.
 OUT_ROWS, OUT_BYTES = 20_000, 16 << 20
 #: 64-bit words of the bitmaps of digests (2 MB).
@@ -54,58 +54,93 @@ COUNT_SCHEMA = "lang string, digest long, split string, counts array<struct<sour
 PAIR_SCHEMA = "lang string, source string, item string, value long"
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    return text.translate(TERM_BYTES).split()
+def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of some texts, and how many each text has."""
+    low = pa.array([t.translate(TERM_BYTES) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()).view(pa.string())
+    split = pc.ascii_split_whitespace(low)
+    found = split.flatten()
+    solid = pc.greater(pc.binary_length(found), 0)  # a blank at an edge leaves an empty string
+    ends = np.concatenate(([0], np.cumsum(solid.to_numpy(zero_copy_only=False))))
+    sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
+    return found.filter(solid), np.diff(ends[sizes])
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their rows, their different terms, and the row and the term of each occurrence."""
+    rows: list[pa.RecordBatch] = []
+    terms: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
 
+    def block() -> tuple[pa.Table, pa.Array, np.ndarray, np.ndarray]:
+        coded = pa.concat_arrays(terms).dictionary_encode()
+        many = np.concatenate(sizes)
+        return pa.Table.from_batches(rows), coded.dictionary, np.repeat(np.arange(len(many)), many), _indices(coded)
 
-def digest_of(term: bytes, bits: int) -> int:
-    return xxhash.xxh3_64_intdigest(term) & (1 << bits) - 1
+    for batch in batches:
+        found, many = _terms(batch.column("text"))
+        rows.append(batch.drop_columns("text"))
+        terms.append(found)
+        sizes.append(many)
+        if sum(map(len, terms)) > TASK_TERMS or sum(t.nbytes for t in terms) > TASK_BYTES:
+            yield block()
+            rows, terms, sizes = [], [], []
+    if rows:
+        yield block()
 
 
-def _batches(counts: Counter, bits: int) -> Iterator[tuple[list[bytes], list[int], np.ndarray]]:
-    """Terms, counts and digests, some at a time."""
-    found = list(counts.items())
+def _coded(rows: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+    """Different strings of a column, and the number of each row's."""
+    coded = rows[name].combine_chunks().cast(pa.string()).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.dictionary, _indices(coded)
+
+
+def _digests(terms: pa.Array, bits: int) -> np.ndarray:
+    found = terms.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    return (digests & np.uint64((1 << bits) - 1)).view(np.int64)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and how often each stands there."""
+    values = np.sort(values)
+    begin = np.flatnonzero(np.diff(values, prepend=-1))  # no value is negative
+    return values[begin], np.diff(begin, append=len(values))
+
+
+def _sent(whole: pa.RecordBatch, strings: str) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time: OUT_ROWS, fewer where their ``strings`` are long."""
+    ends = np.cumsum(pc.binary_length(whole.column(strings)).to_numpy(), dtype=np.int64)
     at = 0
-    while at < len(found):
-        end, size = at, 0
-        while end < len(found) and end - at < OUT_ROWS and (end == at or size < OUT_BYTES):
-            size += len(found[end][0])
-            end += 1
-        part = found[at:end]
-        digests = np.array([digest_of(t, bits) for t, _ in part], np.uint64).view(np.int64)
-        yield [t for t, _ in part], [n for _, n in part], digests
-        at = end
+    while at < len(ends):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + OUT_BYTES, "right"))
+        stop = max(at + 1, min(stop, at + OUT_ROWS))
+        yield whole.slice(at, stop - at)
+        at = stop
 
 
 def _document_counts(bits: int):
     """Documents of each term, by lang."""
 
-    def rows(tables: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, docs in tables.items():
-            for terms, counts, digests in _batches(docs, bits):
-                yield pa.RecordBatch.from_arrays(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, terms, row, term in _counted(batches):
+            names, lang = _coded(rows, "lang")
+            width = max(len(terms), 1)
+            row, term = np.divmod(_distinct(row * width + term)[0], width)
+            found, docs = _distinct(lang[row] * width + term)
+            lang, term = np.divmod(found, width)
+            yield from _sent(
+                pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(terms), pa.string()),
-                        pa.array(digests),
-                        pa.array(terms, pa.binary()).cast(pa.string()),
-                        pa.array(counts, pa.int64()),
+                        names.take(pa.array(lang)),
+                        pa.array(_digests(terms, bits)[term]),
+                        terms.take(pa.array(term)),
+                        pa.array(docs),
                     ],
                     names=["lang", "digest", "term", "docs"],
-                )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), _texts(batch)):
-                tables.setdefault(lang, Counter()).update(set(terms_of(text)))
-            if sum(map(len, tables.values())) > TASK_TERMS:
-                yield from rows(tables)
-                tables = {}
-        yield from rows(tables)
+                ),
+                "term",
+            )
 
     return run
 
@@ -113,55 +148,34 @@ def _document_counts(bits: int):
 def _source_counts(bits: int, kept: np.ndarray, shared: np.ndarray | None):
     """Occurrences of terms whose digest may be kept, by lang: a row for each term with its sources."""
 
-    def rows(tables: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
-        by_lang: dict[str, list[tuple[str, Counter]]] = {}
-        for (lang, source), counted in tables.items():
-            by_lang.setdefault(lang, []).append((source, counted))
-        for lang, sources in by_lang.items():
-            terms = [t for _, counted in sources for t in counted]
-            if not terms:
-                continue
-            counts = np.fromiter((n for _, counted in sources for n in counted.values()), np.int64, len(terms))
-            origin = np.repeat(np.arange(len(sources)), [len(counted) for _, counted in sources])
-            digests = np.fromiter((digest_of(t, bits) for t in terms), np.uint64, len(terms)).view(np.int64)
-            some = np.flatnonzero(_in_bitmap(kept, digests))
-            splits = np.full(len(terms), "", object)
-            if shared is not None:
-                for k in some[_in_bitmap(shared, digests[some])].tolist():
-                    splits[k] = terms[k].decode()
-                some = some[np.argsort(splits[some].astype(str), kind="stable")]
-            some = some[np.argsort(digests[some], kind="stable")]
-            new = np.diff(digests[some]) != 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, terms, row, term in _counted(batches):
+            names, lang = _coded(rows, "lang")
+            sources, source = _coded(rows, "source")
+            digests = _digests(terms, bits)
+            some = np.flatnonzero(_in_bitmap(kept, digests)[term])
+            row, term = row[some], term[some]
+            width = max(len(terms), 1)
+            places, counts = _distinct((lang[row] * width + term) * len(sources) + source[row])
+            owner, source = np.divmod(places, len(sources))
+            begin = np.flatnonzero(np.diff(owner, prepend=-1))
+            lang, term = np.divmod(owner[begin], width)
+            splits = pa.array([""]).take(pa.array(np.zeros(len(term), np.int64)))
             if shared is not None:
-                new |= splits[some][1:] != splits[some][:-1]
-            begin = np.concatenate(([0], np.flatnonzero(new) + 1)) if len(some) else np.empty(0, np.int64)
-            ends = np.append(begin, len(some)).astype(np.int32)
-            names = pa.array([source for source, _ in sources], pa.string())
-            pairs = pa.StructArray.from_arrays(
-                [names.take(pa.array(origin[some])), pa.array(counts[some])], names=["source", "n"]
-            )
-            whole = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(begin), pa.string()),
-                    pa.array(digests[some][begin]),
-                    pa.array(splits[some][begin].tolist(), pa.string()),
-                    pa.ListArray.from_arrays(pa.array(ends), pairs),
-                ],
-                names=["lang", "digest", "split", "counts"],
+                splits = pc.if_else(pa.array(_in_bitmap(shared, digests)[term]), terms.take(pa.array(term)), splits)
+            pairs = pa.StructArray.from_arrays([sources.take(pa.array(source)), pa.array(counts)], names=["source", "n"])
+            yield from _sent(
+                pa.RecordBatch.from_arrays(
+                    [
+                        names.take(pa.array(lang)),
+                        pa.array(digests[term]),
+                        splits,
+                        pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)), pairs),
+                    ],
+                    names=["lang", "digest", "split", "counts"],
+                ),
+                "split",
             )
-            for at in range(0, len(begin), OUT_ROWS):
-                yield whole.slice(at, OUT_ROWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[tuple[str, str], Counter] = {}
-        for batch in batches:
-            keys = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-            for key, text in zip(keys, _texts(batch)):
-                tables.setdefault(key, Counter()).update(terms_of(text))
-            if sum(map(len, tables.values())) > TASK_TERMS:
-                yield from rows(tables)
-                tables = {}
-        yield from rows(tables)
 
     return run
 
@@ -245,14 +259,13 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups: dict[tuple[str, str], int] = {}
     keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
     for table, _ in runs(batches, ["digest"]):
-        names = list(zip(table["lang"].to_pylist(), table["source"].to_pylist()))
-        code = np.array([groups.setdefault(g, len(groups)) for g in names], np.int64)
+        (langs, lang), (sources, source) = (_coded(table, c) for c in ("lang", "source"))
+        met, own = np.unique(lang * len(sources) + source, return_inverse=True)
+        names = [(langs[k].as_py(), sources[j].as_py()) for k, j in zip(*(x.tolist() for x in np.divmod(met, len(sources))))]
+        code = np.array([groups.setdefault(g, len(groups)) for g in names], np.int64)[own]
         places = (column(table, c) for c in ("digest", "p", "p0"))
         digest, p, p0 = (v.astype(np.int64) for v in places)
-        lang, split = (
-            table[c].combine_chunks().dictionary_encode() for c in ("lang", "split")
-        )
-        lang, split = (_indices(v) for v in (lang, split))
+        _, split = _coded(table, "split")
         new = (np.diff(digest) != 0) | (np.diff(lang) != 0) | (np.diff(split) != 0)
         begin = np.concatenate(([0], np.flatnonzero(new) + 1))
         size = np.diff(np.append(begin, len(digest)))
@@ -336,18 +349,17 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, bits: int = 64) ->
     zero = F.when(F.col("kept") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("kept")))
     groups = cut_lineage(groups.select("lang", "source", "total", "lang_total", "kept", zero.alias("p0")))
 
-    shares = counts.join(groups, ["lang", "source"]).select(
-        "lang",
-        "source",
-        "digest",
-        "split",
-        "p0",
-        share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
-        share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"),
+    # Terms of equal counts have equal shares, so their number is all that most of what follows needs.
+    equal = counts.groupBy("lang", "source", "n", "lang_n").agg(F.count(F.lit(1)).alias("terms"))
+    p = share(F.col("n"), F.col("total"), F.col("kept")).alias("p")
+    q = share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q")
+    equal = cut_lineage(
+        equal.join(groups, ["lang", "source"]).select("lang", "source", "n", "lang_n", "terms", "p0", p, q)
     )
-    # Terms of equal shares have equal values, so their number is all that most of what follows needs.
-    equal = cut_lineage(shares.groupBy("lang", "source", "p", "p0", "q").agg(F.count(F.lit(1)).alias("terms")))
-    return _pair_part(groups, shares, equal).unionByName(_term_part(shares, equal, kept, top))
+    # A term of one source only is common to none.
+    common = counts.where(F.col("n") < F.col("lang_n")).join(groups, ["lang", "source"])
+    common = common.select("lang", "source", "digest", "split", p, "p0")
+    return _pair_part(groups, common, equal).unionByName(_term_part(counts, equal, kept, top))
 
 
 def _ranked(df: DataFrame, part: str) -> DataFrame:
@@ -357,7 +369,7 @@ def _ranked(df: DataFrame, part: str) -> DataFrame:
     )
 
 
-def _pair_part(groups: DataFrame, shares: DataFrame, equal: DataFrame) -> DataFrame:
+def _pair_part(groups: DataFrame, common: DataFrame, equal: DataFrame) -> DataFrame:
     """All ordered pairs of sources of a lang, which is what is put out, and three sums for each."""
     others = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     differ = F.col("source") != F.col("item")
@@ -377,8 +389,7 @@ def _pair_part(groups: DataFrame, shares: DataFrame, equal: DataFrame) -> DataFr
         (F.col("terms") * (spread(q0, p) - spread(q0, p0))).alias("value"),
     )
     common = (
-        shares.select("lang", "source", "digest", "split", "p", "p0")
-        .repartition("lang", "digest", "split")
+        common.repartition("lang", "digest", "split")
         .sortWithinPartitions("digest", "lang", "split")
         .mapInArrow(_common, PAIR_SCHEMA)
     )
@@ -390,12 +401,13 @@ def _pair_part(groups: DataFrame, shares: DataFrame, equal: DataFrame) -> DataFr
     return _ranked(summed, "pair")
 
 
-def _term_part(shares: DataFrame, equal: DataFrame, kept: DataFrame, top: int) -> DataFrame:
+def _term_part(counts: DataFrame, equal: DataFrame, kept: DataFrame, top: int) -> DataFrame:
     """The largest values by digest first; strings join what can still be among them and settle the ties."""
     group = ["lang", "source"]
     over = F.col("p") > F.col("q")
     value = spread(F.col("p"), F.col("q")).alias("value")
-    values = equal.where(over).select(*group, value, "terms").groupBy(*group, "value").agg(F.sum("terms").alias("terms"))
+    valued = equal.where(over).select(*group, "n", "lang_n", value, "terms")
+    values = valued.groupBy(*group, "value").agg(F.sum("terms").alias("terms"))
     larger = Window.partitionBy(*group).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
     # The smallest value that begins among the first.
     last = (
@@ -404,7 +416,10 @@ def _term_part(shares: DataFrame, equal: DataFrame, kept: DataFrame, top: int) -
         .groupBy(*group)
         .agg(F.min("value").alias("last"))
     )
-    valued = shares.where(over).select(*group, "digest", "split", value)
-    near = valued.join(cut_lineage(last), group).where(F.col("value") >= F.col("last"))
+    first = cut_lineage(valued.join(last, group).where(F.col("value") >= F.col("last")).drop("terms", "last"))
+    # Counts tell the rows; the least of a group leave most out before rows meet.
+    least = first.groupBy(*group).agg(F.min("n").alias("least"), F.max("lang_n").alias("most"))
+    able = counts.join(cut_lineage(least), group).where((F.col("n") >= F.col("least")) & (F.col("lang_n") <= F.col("most")))
+    near = able.join(first, [*group, "n", "lang_n"]).select(*group, "digest", "split", "value")
     named = near.join(kept, ["lang", "digest", "split"]).withColumnRenamed("term", "item")
     return _ranked(named, "term").where(F.col("rank") <= top)

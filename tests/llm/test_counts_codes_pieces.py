@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -99,6 +100,14 @@ def test_divergence_of_long_texts_and_nothing(spark):
     assert audited(spark, [r for r in rows if r[0] == "none"]) == []
 
 
+def test_terms_of_many_texts():
+    texts = ["", " .a. ", "The the\tÉa\n日本 x1y", "don't--", "123", "\x00A\x7fb"] * 2
+    terms, many = divergence._terms(pa.array(texts))
+    expected = [re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low(t)) for t in texts]
+    assert terms.to_pylist() == [t for found in expected for t in found]
+    assert many.tolist() == list(map(len, expected))
+
+
 def test_shares_of_large_counts(spark):
     values = [(n, t, v) for n in (0, 7, 10**12, 10**13 - 1) for t in (n, 10**13 + 3) for v in (1, 999_999_937)]
     df = spark.createDataFrame(values, "n long, t long, v long")
