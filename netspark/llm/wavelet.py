@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ SHARD_TOKENS = 1 << 22
 #: Bits that one entry of the rank directory spans.
 RANK_BLOCK = 2048
 CHUNK = 1 << 16
+#: Bytes of texts that are encoded together, or one longer text.
+PART_BYTES = 4 << 20
 MAGIC = b"WVM1"
 
 SHARD_SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, matrix binary"
@@ -166,6 +169,16 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def text_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, PART_BYTES of texts or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode ``text`` of all rows and write their ids in ascending ``doc_id`` order, a file per shard.
 
@@ -177,21 +190,27 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, shard = piece_ids(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2")
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         sizes: list[int] = []
         total = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = pieces.ids(text.as_py())
-                doc_ids.append(doc_id)
-                ids += [own, end]
-                sizes.append(len(own) + 1)
-                total += sizes[-1]
-                if total >= shard_tokens:
-                    yield _shard(part, shard, doc_ids, sizes, ids)
-                    shard, total, doc_ids, ids, sizes = shard + 1, 0, [], [], []
+            for texts in text_parts(batch):
+                found, many = pieces.ids_of(texts.column("text"))
+                ends = np.cumsum(many)
+                found = np.insert(found, ends, np.uint16(end_id))
+                ends, own, at = ends + np.arange(1, len(ends) + 1), texts.column("doc_id").to_pylist(), 0
+                while at < len(own):  # up to the document that fills the shard, or all
+                    gone = int(ends[at - 1]) if at else 0
+                    stop = min(int(np.searchsorted(ends, gone + shard_tokens - total)) + 1, len(own))
+                    doc_ids += own[at:stop]
+                    ids.append(found[gone : ends[stop - 1]])
+                    sizes += (many[at:stop] + 1).tolist()
+                    total += int(ends[stop - 1]) - gone
+                    at = stop
+                    if total >= shard_tokens:
+                        yield _shard(part, shard, doc_ids, sizes, ids)
+                        shard, total, doc_ids, ids, sizes = shard + 1, 0, [], [], []
         if doc_ids:
             yield _shard(part, shard, doc_ids, sizes, ids)
 

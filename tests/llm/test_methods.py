@@ -39,6 +39,14 @@ def test_pieces_give_the_ids_of_the_whole(value):
     assert PIECES.ids(value).tolist() == REFERENCE.encode(value, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.sampled_from("aZé.,!#' \n\t日9<|>İȚȺst"), st.characters(codec="utf-8"))))))
+def test_ids_of_many_texts_are_those_of_each(values):
+    ids, many = PIECES.ids_of(pa.array(values, pa.string()))
+    assert many.tolist() == [len(ids_of(v)) - 1 for v in values]
+    assert ids.tolist() == [i for v in values for i in ids_of(v)[:-1]]
+
+
 @pytest.mark.parametrize("value", ["<|endoftext|> a<|startoftext|>b", "don't we'll. x's,", "A" * 400, "ÉÈÇ, ÄÖÜß."])
 def test_pieces_of_odd_texts(value):
     assert PIECES.ids(value).tolist() == REFERENCE.encode(value, add_special_tokens=False).ids
